@@ -16,11 +16,12 @@ WHITESPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 WORD = r"[\p{L}\p{N}_\u00c0-\u1ef9]"
 TOKEN = WORD + "+(?:[./-]" + WORD + "+)*"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-# Outside this set a character may change under NFC, or fold differently from lower().
-MAYBE_NOT_NFC = r"[^\x00-\u02ff\u1ea0-\u1ef9\u2010-\u2027\u2030-\u205e]"
+# A character that may change under NFC, or fold differently from lower(). The first class is one
+# range, so plain letters are passed quickly; the look-behind clears the other harmless ranges.
+MAYBE_NOT_NFC = r"[^\x00-\u02ff](?<![\u1ea0-\u1ef9\u2010-\u2027\u2030-\u205e])"
 MAYBE_FOLDS = (
-    r"[^\x00-\xb4\xb6-\xde\xe0-\u012f\u0131-\u0148\u014a-\u017e\u01a0\u01a1\u01af\u01b0"
-    r"\u1ea0-\u1ef9\u2010-\u2027\u2030-\u205e]"
+    r"[^\x00-\xb4](?<![\xb6-\xde\xe0-\u012f\u0131-\u0148\u014a-\u017e\u01a0\u01a1\u01af\u01b0"
+    r"\u1ea0-\u1ef9\u2010-\u2027\u2030-\u205e])"
 )
 IDENTIFIERS = (
     r"(?iU)\b\d{1,4}/\d{4}/[A-ZĐ-]+\b|\b(?:Điều|Khoản)\s+\d+[a-zđ]?\b|\bMẫu\s+số\s+\d+\b"
@@ -82,14 +83,19 @@ SENTENCE_END_PY = r"[.!?:;…]\s*$"
 _TOKEN_SEPARATOR = "\x01"
 
 
+def _compose(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+
+
+def _fold(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
+
+
 def nfc(text: Column) -> Column:
     """NFC by ICU, called only for rows that may need it.
 
     The call is non-deterministic to Catalyst, so filter before it, not after."""
-    composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)
-    )
-    return F.when(text.rlike(MAYBE_NOT_NFC), composed).otherwise(text)
+    return F.when(text.rlike(MAYBE_NOT_NFC), _compose(text)).otherwise(text)
 
 
 def nfkd(text: Column) -> Column:
@@ -99,9 +105,8 @@ def nfkd(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Full Unicode case folding; plain `lower` where both agree."""
-    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
-    return F.when(text.rlike(MAYBE_FOLDS), folded).otherwise(F.lower(text))
+    """NFC and full Unicode case folding; plain `lower` where that gives the same."""
+    return F.when(text.rlike(MAYBE_FOLDS), _fold(_compose(text))).otherwise(F.lower(text))
 
 
 def strip(text: Column) -> Column:
@@ -115,8 +120,8 @@ def squash(text: Column) -> Column:
 
 def label_key(value: Column) -> Column:
     """Comparison key of a label cell: NFC, folded, single blanks, no final colon."""
-    text = nfc(F.coalesce(value.cast("string"), F.lit("")))
-    return F.regexp_replace(squash(casefold(text)), ":+$", "")
+    text = casefold(F.coalesce(value.cast("string"), F.lit("")))
+    return F.regexp_replace(squash(text), ":+$", "")
 
 
 def comparison_key(text: Column) -> Column:
@@ -124,12 +129,15 @@ def comparison_key(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Search tokens: word runs joined by inner `.`, `/` or `-`, folded token by token."""
-    text = nfc(text)
-    simple = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    joined = F.array_join(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _TOKEN_SEPARATOR)
-    folded = F.filter(F.split(casefold(joined), _TOKEN_SEPARATOR), lambda t: t != "")
-    return F.when(text.rlike(MAYBE_FOLDS), folded).otherwise(simple)
+    """Search tokens: word runs joined by inner `.`, `/` or `-`, folded token by token.
+
+    Texts of plain Latin letters take one pass; the others are composed, cut, and folded as one
+    joined string."""
+    found = F.regexp_extract_all(_compose(text), F.lit(TOKEN), F.lit(0))
+    folded = F.split(_fold(F.array_join(found, _TOKEN_SEPARATOR)), _TOKEN_SEPARATOR)
+    return F.when(text.rlike(MAYBE_FOLDS), F.filter(folded, lambda t: t != "")).otherwise(
+        F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    )
 
 
 def normalize_query(query: Column) -> Column:

@@ -71,7 +71,7 @@ def main() -> None:
     folder = f"/root/testdata/{sys.argv[1]}"
     spark = (
         SparkSession.builder.master("local[8]")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
