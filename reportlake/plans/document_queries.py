@@ -50,7 +50,7 @@ def framed_lines(t):
 
 
 FRAMED = f"""framed as (
-  select doc_id, page_number, line, page_number * 100 + ord % 8 + 1 as at from ({LINES})
+  select doc_id, page_number, line, page_number * 100 + ord % 8 + 1 as pos from ({LINES})
   union all select distinct doc_id, page_number, case when doc_id % 7 = 0 then 'Số: 12/QĐ-UBND'
     else 'UBND  TỈNH ' end, page_number * 100 from ({LINES})
   union all select distinct doc_id, page_number, concat('- ', page_number, ' -'),
@@ -58,10 +58,10 @@ FRAMED = f"""framed as (
 keyed as (select *, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) as cleaned from framed),
 k2 as (select *, lower(replace(trim(regexp_replace(cleaned, '\\s+', ' ', 'g')), 'ß', 'ss')) as k
   from keyed),
-edges as (select doc_id, page_number, unnest(list_distinct([min(at), max(at)])) as at from k2
-  group by all),
+edges as (select doc_id, page_number, unnest(list_distinct([lo, hi])) as pos from
+  (select doc_id, page_number, min(pos) as lo, max(pos) as hi from k2 group by all)),
 pagecount as (select doc_id, count(distinct page_number) as n from k2 group by doc_id),
-repeated as (select e.doc_id, k, count(*) as occurrences from edges e join k2 using (doc_id, page_number, at)
+repeated as (select e.doc_id, k, count(*) as occurrences from edges e join k2 using (doc_id, page_number, pos)
   join pagecount using (doc_id) where k <> '' and length(k) <= 160
   and not regexp_matches(k, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:Số|Số hiệu)\\s*:\\s*[\\p{{L}}\\p{{N}}_./-]+')
   group by e.doc_id, k, n having count(*) >= greatest(2, (n + 1) // 2) and n >= 2),
@@ -77,8 +77,8 @@ def page_edges(t):
 
 
 @query(
-    f"""with {FRAMED} select cast(doc_id as varchar) as document_id, 'b' || at as block_id,
-      cast(row_number() over (partition by doc_id order by at) - 1 as integer) as source_order,
+    f"""with {FRAMED} select cast(doc_id as varchar) as document_id, 'b' || pos as block_id,
+      cast(row_number() over (partition by doc_id order by pos) - 1 as integer) as source_order,
       cleaned as text from judged where removal is null"""
 )
 def clean_blocks(t):
@@ -87,7 +87,7 @@ def clean_blocks(t):
 
 
 @query(
-    f"""with {FRAMED} select cast(doc_id as varchar) as document_id, removal as code, at as block_index,
+    f"""with {FRAMED} select cast(doc_id as varchar) as document_id, removal as code, pos as block_index,
       case removal when 'repeated_page_edge_removed'
       then 'Removed repeated header/footer: ' || substring(cleaned, 1, 80)
       else 'Removed isolated page marker: ' || cleaned end as message from judged
@@ -325,12 +325,11 @@ fold as (select distinct query_id, 0 as rank, 0 as n, 0::bigint as used, false a
     ''::varchar as rendered, false as taken from items
   union all select query_id, rank, case when take then n + 1 else n end, case when take then used + cost else used end,
     truncated or (not known and not fits), case when take then list_append(fps, fp) else fps end, text, take
-  from (select i.query_id, i.rank, n, used, truncated, fps, fp, text, cost, list_contains(fps, fp) as known,
-      used + cost <= {BUDGET} as fits, not list_contains(fps, fp) and used + cost <= {BUDGET} as take
-    from (select f.*, i.rank as r, i.fp, '[SOURCE_' || (n + 1) || ']' || chr(10) || body as text,
+  from (select *, list_contains(fps, fp) as known, used + cost <= {BUDGET} as fits,
+      not list_contains(fps, fp) and used + cost <= {BUDGET} as take
+    from (select f.query_id, i.rank, n, used, truncated, fps, i.fp, '[SOURCE_' || (n + 1) || ']' || chr(10) || body as text,
         greatest(1, (length('[SOURCE_' || (n + 1) || ']' || chr(10) || body) + 3) // 4) as cost
-      from fold f join items i on i.query_id = f.query_id and i.rank = f.rank + 1) j
-      join items i on i.query_id = j.query_id and i.rank = j.r)),
+      from fold f join items i on i.query_id = f.query_id and i.rank = f.rank + 1))),
 taken as (select f.query_id, n as source_number, i.chunk_id, i.document_id, rendered from fold f
   join items i on i.query_id = f.query_id and i.rank = f.rank where taken)"""
 
