@@ -232,6 +232,18 @@ def safe_file_name(name: Column) -> Column:
     return F.concat(F.substring(cleaned, 1, 180), suffix)
 
 
+def _mask_name(label: str, first: Column):
+    return lambda i: F.concat(F.lit(f"[{label}_"), (first - i).cast("string"), F.lit("]"))
+
+
+def _second(name):
+    return lambda _, i: name(i)
+
+
+def _masked(name, count: Column):
+    return lambda piece, i: F.when(i < count, F.concat(piece, name(i))).otherwise(piece)
+
+
 def mask_personal_data(text: Column, restricted: Column | None = None) -> dict[str, Column]:
     """Numbered masks, as columns `allowed`, `redacted_text`, `reasons`, `restoration_map`.
 
@@ -245,25 +257,12 @@ def mask_personal_data(text: Column, restricted: Column | None = None) -> dict[s
     for label, pattern in MASKS:
         pieces = F.split(current, pattern, -1)
         count = F.size(pieces) - 1
-        numbered = F.transform(
-            pieces,
-            lambda piece, i, count=count, used=used, label=label: F.when(
-                i < count,
-                F.concat(piece, F.lit(f"[{label}_"), (used + count - i).cast("string"), F.lit("]")),
-            ).otherwise(piece),
-        )
-        reasons.append(F.when(count > 0, F.lit(f"masked_{label.lower()}")))
+        name = _mask_name(label, used + count)
         matches = F.regexp_extract_all(current, F.lit(pattern), F.lit(0))
         originals.append(matches)
-        names.append(
-            F.transform(
-                matches,
-                lambda _, i, count=count, used=used, label=label: F.concat(
-                    F.lit(f"[{label}_"), (used + count - i).cast("string"), F.lit("]")
-                ),
-            )
-        )
-        current, used = F.array_join(numbered, ""), used + count
+        names.append(F.transform(matches, _second(name)))
+        reasons.append(F.when(count > 0, F.lit(f"masked_{label.lower()}")))
+        current, used = F.array_join(F.transform(pieces, _masked(name, count)), ""), used + count
     found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
     refused = F.array(F.lit("restricted_or_classified_content"))
     return {

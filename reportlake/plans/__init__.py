@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from reportlake.plans import document_queries, extract_queries, report_queries, search_queries  # noqa: F401
+from reportlake.plans import document_queries, extract_queries, report_queries, search_queries, store_queries  # noqa: F401
 from reportlake.plans.registry import ORACLES, QUERIES  # noqa: F401
