@@ -1,6 +1,6 @@
 """Cell text to typed values."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions.ids import uuid5
 from reportlake.functions.text import label_key, strip
@@ -9,6 +9,8 @@ from reportlake.functions.text import label_key, strip
 UNIT_SUFFIX = r"(?iU)\s*(?:người|hộ|đơn|lượt|vụ|nhiệm vụ|%)\s*$"
 GROUPED_DIGITS = r"(?U)^[-+]?\d{1,3}(?:\.\d{3})+$"
 DECIMAL_COMMA = r"(?U)^[-+]?\d+,\d+$"
+LOCAL_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+ISO_DATE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 NUMBER = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?$"
 MONTH_IN_NAME = r"(?iU)thang[_\s-]*(\d{1,2})[_-](\d{4})"
 MONTH_IN_TEXT = r"(?iU)(?:tháng|kỳ báo cáo)\s*:?[ _-]*(\d{1,2})[/_-](\d{4})"
@@ -36,41 +38,51 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
-def parse_scalar(value: Column) -> Column:
-    """Typed cell: struct(kind, value_text, value_num, value_date, issue).
-
-    kind is null for an empty cell, else date, integer, decimal or text. A text shaped like a date
-    that is none yields kind `date`, a null value and an issue."""
-    text = strip(value.cast("string"))
-    local, iso = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+def parse_date(text: Column) -> Column:
+    """Date of a d/m/Y or Y-m-d text; null for anything else."""
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    date = F.when(
-        text.rlike(local), _date(part(local, 3), part(local, 2), part(local, 1))
-    ).when(text.rlike(iso), _date(part(iso, 1), part(iso, 2), part(iso, 3)))
-    is_date = text.rlike(local) | text.rlike(iso)
+    return F.when(
+        text.rlike(LOCAL_DATE), _date(part(LOCAL_DATE, 3), part(LOCAL_DATE, 2), part(LOCAL_DATE, 1))
+    ).when(text.rlike(ISO_DATE), _date(part(ISO_DATE, 1), part(ISO_DATE, 2), part(ISO_DATE, 3)))
 
+
+def bare_number(text: Column) -> Column:
+    """Number text without its unit and with dots and comma as a number has them."""
     bare = F.regexp_replace(text, UNIT_SUFFIX, "")
-    plain = (
+    return (
         F.when(bare.rlike(GROUPED_DIGITS), F.replace(bare, F.lit("."), F.lit("")))
         .when(bare.rlike(DECIMAL_COMMA), F.replace(bare, F.lit(","), F.lit(".")))
         .otherwise(bare)
     )
-    number = F.when(~is_date, to_decimal(plain))
-    empty = value.isNull() | (value.cast("string") == "")
+
+
+def parse_cells(df: DataFrame, column: str) -> DataFrame:
+    """Add kind, value_text, value_num, value_date and issue for a column of cell text.
+
+    kind is null for an empty cell, else date, integer, decimal or text. A text shaped like a date
+    that is none yields kind `date`, a null value and an issue. Each step is a projection of its
+    own, so no pattern runs twice on a cell."""
+    value = F.col(column).cast("string")
+    empty = value.isNull() | (value == "")
+    staged = df.withColumn("_text", F.when(~empty, strip(value)))
+    staged = staged.withColumn(
+        "_dated", F.col("_text").rlike(LOCAL_DATE) | F.col("_text").rlike(ISO_DATE))
+    dated = F.col("_dated")
+    staged = staged.withColumns({
+        "value_date": F.when(dated, parse_date(F.col("_text"))),
+        "_bare": F.when(~dated, bare_number(F.col("_text"))),
+    }).withColumn("value_num", to_decimal(F.col("_bare")))
     kind = (
-        F.when(empty, F.lit(None).cast("string"))
-        .when(is_date, F.lit("date"))
-        .when(number.isNull(), F.lit("text"))
-        .when(number == F.floor(number), F.lit("integer"))
+        F.when(F.col("_text").isNull(), F.lit(None).cast("string"))
+        .when(dated, F.lit("date"))
+        .when(F.col("value_num").isNull(), F.lit("text"))
+        .when(F.col("value_num") == F.floor("value_num"), F.lit("integer"))
         .otherwise(F.lit("decimal"))
     )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "text", text).alias("value_text"),
-        F.when(~empty, number).cast(DECIMAL).alias("value_num"),
-        F.when(~empty, date).alias("value_date"),
-        F.when(~empty & is_date & date.isNull(), F.lit("INVALID_DATE")).alias("issue"),
-    )
+    return staged.withColumn("kind", kind).withColumns({
+        "value_text": F.when(F.col("kind") == "text", F.col("_text")),
+        "issue": F.when(dated & F.col("value_date").isNull(), F.lit("INVALID_DATE")),
+    }).drop("_text", "_dated", "_bare")
 
 
 def _month(text: Column, pattern: str) -> Column:

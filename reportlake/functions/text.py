@@ -8,7 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 # Character classes and patterns that decide results.
@@ -173,9 +173,10 @@ def is_heading(text: Column) -> Column:
 STRUCTURE_TYPE = "struct<kind:string,level:int,identifier:string,title:string,label:string>"
 
 
-def classify_structure(text: Column) -> Column:
-    """Kind, level, identifier and title of a structural line; null for body text."""
-    line = squash(text)
+def classify_structure(line: Column) -> Column:
+    """Kind, level, identifier and title of a structural line; null for body text.
+
+    `line` has its blanks squashed already: every pattern looks at it, so it should be a column."""
 
     def found(kind: str, level: int, identifier: Column, title: Column) -> Column:
         return F.struct(
@@ -232,11 +233,11 @@ def safe_file_name(name: Column) -> Column:
     return F.concat(F.substring(cleaned, 1, 180), suffix)
 
 
-def _mask_name(label: str, first: Column):
+def _numbered(label: str, first: Column):
     return lambda i: F.concat(F.lit(f"[{label}_"), (first - i).cast("string"), F.lit("]"))
 
 
-def _second(name):
+def _tokens_for(name):
     return lambda _, i: name(i)
 
 
@@ -244,35 +245,52 @@ def _masked(name, count: Column):
     return lambda piece, i: F.when(i < count, F.concat(piece, name(i))).otherwise(piece)
 
 
-def mask_personal_data(text: Column, restricted: Column | None = None) -> dict[str, Column]:
-    """Numbered masks, as columns `allowed`, `redacted_text`, `reasons`, `restoration_map`.
+def mask_personal_data(df: DataFrame, column: str, restricted: Column | None = None) -> DataFrame:
+    """Add `allowed`, `redacted_text`, `reasons` and `restoration_map` for a text column.
 
     A text is cut at each pattern; piece i is followed by the i-th match, and matches are numbered
-    from the last one back, going on from one pattern to the next."""
-    blocked = text.rlike(CLASSIFIED)
+    from the last one back, going on from one pattern to the next. One projection per pattern, so
+    that each is matched once; texts without a match are passed on whole."""
+    blocked = F.col(column).rlike(CLASSIFIED)
     if restricted is not None:
         blocked = blocked | restricted
-    current, used = text, F.lit(0)
-    reasons, names, originals = [], [], []
+    no_text = F.array().cast("array<string>")
+    staged = df.withColumns(
+        {"_blocked": blocked, "_text": F.col(column), "_used": F.lit(0), "_names": no_text,
+         "_originals": no_text, "reasons": no_text}
+    )
     for label, pattern in MASKS:
-        pieces = F.split(current, pattern, -1)
-        count = F.size(pieces) - 1
-        name = _mask_name(label, used + count)
-        matches = F.regexp_extract_all(current, F.lit(pattern), F.lit(0))
-        originals.append(matches)
-        names.append(F.transform(matches, _second(name)))
-        reasons.append(F.when(count > 0, F.lit(f"masked_{label.lower()}")))
-        current, used = F.array_join(F.transform(pieces, _masked(name, count)), ""), used + count
-    found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
+        found = F.col("_text").rlike(pattern)
+        staged = staged.withColumn(
+            "_pieces", F.when(found, F.split("_text", pattern, -1)).otherwise(F.array("_text"))
+        ).withColumns({
+            "_n": F.size("_pieces") - 1,
+            "_matches": F.when(
+                F.size("_pieces") > 1, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
+            ).otherwise(no_text),
+        })
+        count = F.col("_n")
+        name = _numbered(label, F.col("_used") + count)
+        reason = F.when(count > 0, F.array(F.lit(f"masked_{label.lower()}"))).otherwise(no_text)
+        staged = staged.withColumns({
+            "_text": F.when(
+                count > 0, F.array_join(F.transform("_pieces", _masked(name, count)), "")
+            ).otherwise(F.col("_text")),
+            "_names": F.concat("_names", F.transform("_matches", _tokens_for(name))),
+            "_originals": F.concat("_originals", "_matches"),
+            "reasons": F.concat("reasons", reason),
+            "_used": F.col("_used") + count,
+        })
     refused = F.array(F.lit("restricted_or_classified_content"))
-    return {
-        "allowed": ~blocked,
-        "redacted_text": F.when(blocked, F.lit("")).otherwise(current),
-        "reasons": F.when(blocked, refused).otherwise(found),
+    done = staged.withColumns({
+        "allowed": ~F.col("_blocked"),
+        "redacted_text": F.when(F.col("_blocked"), F.lit("")).otherwise(F.col("_text")),
+        "reasons": F.when(F.col("_blocked"), refused).otherwise(F.col("reasons")),
         "restoration_map": F.when(
-            ~blocked, F.map_from_arrays(F.concat(*names), F.concat(*originals))
-        ),
-    }
+            ~F.col("_blocked"), F.map_from_arrays("_names", "_originals")),
+    })
+    return done.drop(
+        "_blocked", "_text", "_used", "_names", "_originals", "_pieces", "_n", "_matches")
 
 
 def table_text(table: Column) -> Column:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from reportlake.functions.ids import combined_checksum, uuid5
 from reportlake.operators.extract import ROLE_FIELDS
 from reportlake.operators.rules import (
+    CANONICAL_FIELDS,
     ERROR,
     Rule,
     canonical_population_rules,
     explode_issues,
     issues_of,
     status_of,
+    with_numbers,
 )
 from reportlake.settings import OFFICIAL, SYNTHETIC
 
@@ -109,7 +111,8 @@ def standardize(sources: DataFrame, values: DataFrame) -> DataFrame:
     for closing, (plus, minus) in CLOSING.items():
         total = sum((F.col(f) for f in plus), F.lit(0)) - sum((F.col(f) for f in minus), F.lit(0))
         staged = staged.withColumn(closing, F.when(usable, total))
-    found = issues_of(canonical_population_rules(staged))
+    staged = with_numbers(staged, CANONICAL_FIELDS)
+    found = issues_of(canonical_population_rules())
     key = F.concat_ws(
         ":", F.lit("population-bundle"), F.col("organization_id"),
         F.col("period.start").cast("string"), F.col("period.end").cast("string"),

@@ -157,11 +157,12 @@ def map_fields(cells: DataFrame) -> DataFrame:
     last = above.groupBy("file_id", "domain", "field").agg(
         F.max_by(F.struct("value", "sheet", "row", "label"), _place()).alias("v")
     )
-    return last.withColumn("parsed", scalars.parse_scalar(F.col("v.value"))).select(
-        "file_id", "domain", "field", "parsed.*",
+    flat = last.select(
+        "file_id", "domain", "field", F.col("v.value").alias("value"),
         F.col("v.sheet").alias("sheet"), F.col("v.row").alias("row"),
         F.col("v.label").alias("evidence"),
     )
+    return scalars.parse_cells(flat, "value").drop("value")
 
 
 def task_records(cells: DataFrame) -> DataFrame:
@@ -186,12 +187,12 @@ def task_records(cells: DataFrame) -> DataFrame:
     run = after.join(ends, "file_id", "left").filter("stop is null or place < stop")
 
     def typed(field: str) -> Column:
-        value = scalars.parse_scalar(F.col(field))
+        value = strip(F.col(field))
         if field.endswith("_date"):
-            return value["value_date"].alias(field)
+            return scalars.parse_date(value).alias(field)
         if field == "progress_percent":
-            return value["value_num"].alias(field)
-        return strip(F.col(field)).alias(field)
+            return scalars.to_decimal(scalars.bare_number(value)).alias(field)
+        return value.alias(field)
 
     return run.select("file_id", "sheet_no", "row", *[typed(f) for f in TASK_HEADERS])
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions.scalars import to_decimal
+from reportlake.operators.rules import with_numbers
 from reportlake.settings import SYNTHETIC
 
 # How each indicator is combined over periods.
@@ -18,7 +19,7 @@ COMPLETED = ("COMPLETED_ON_TIME", "COMPLETED_LATE")
 
 
 def _value(name: str) -> Column:
-    return to_decimal(F.col(name)).cast("decimal(18,4)")
+    return F.col(f"_n_{name}").cast("decimal(18,4)")
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -78,8 +79,9 @@ def catalogue_kpis(reports: DataFrame, domain: str) -> DataFrame:
     """(report_id, kpi_id, value, issue): null with an issue for official data, a missing field or
     a zero denominator."""
     official = ~F.coalesce(F.col("classification") == SYNTHETIC, F.lit(False))
-    entries = []
-    for kpi_id, (value, fields, denominator) in kpi_columns(domain, reports.columns).items():
+    entries, defined = [], kpi_columns(domain, reports.columns)
+    staged = with_numbers(reports, sorted({f for _, fields, _ in defined.values() for f in fields}))
+    for kpi_id, (value, fields, denominator) in defined.items():
         missing = F.lit(False)
         for field in fields:
             missing = missing | _value(field).isNull()
@@ -93,7 +95,7 @@ def catalogue_kpis(reports: DataFrame, domain: str) -> DataFrame:
                 problem.alias("issue"),
             )
         )
-    return reports.select("report_id", F.explode(F.array(*entries)).alias("k")).select(
+    return staged.select("report_id", F.explode(F.array(*entries)).alias("k")).select(
         "report_id", "k.*"
     )
 

@@ -29,6 +29,7 @@ COMPLAINT_FIELDS = (
     "received_cases", "complaint_cases", "denunciation_cases", "petition_cases",
     "within_authority", "outside_authority", "resolved_cases",
 )
+COMPLAINT_BALANCE = ("beginning_cases", "ending_cases")
 
 
 @dataclass(frozen=True)
@@ -84,11 +85,29 @@ def status_rollup(reports: DataFrame, issues: DataFrame, key: str = "report_id")
     )
 
 
-def numbers(df: DataFrame, fields: Iterable[str]) -> dict[str, Column]:
-    """Fields as lenient numbers; a field the table lacks is missing everywhere."""
-    known = set(df.columns)
-    return {f: to_decimal(F.col(f)) if f in known else F.lit(None).cast("decimal(38,10)")
-            for f in fields}
+def with_numbers(df: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Fields as numbers under `_n_<field>`; a field the table lacks is missing everywhere.
+
+    Integers and decimals are taken as they are, text is parsed once per row."""
+    types = dict(df.dtypes)
+
+    def number(field: str) -> Column:
+        kind = types.get(field)
+        if kind is None:
+            return F.lit(None).cast("bigint")
+        exact = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
+        return F.col(field) if exact else to_decimal(F.col(field))
+
+    return df.withColumns({f"_n_{f}": number(f) for f in fields})
+
+
+def without_numbers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_n_")])
+
+
+class _Numbers(dict):
+    def __missing__(self, field: str) -> Column:
+        return F.col(f"_n_{field}")
 
 
 def _total(v: dict[str, Column], plus: tuple[str, ...], minus: tuple[str, ...] = ()) -> Column:
@@ -104,8 +123,8 @@ def _required(v: dict[str, Column], fields, code: str) -> list[Rule]:
     return [Rule(code, v[f].isNull(), f, message="Thiếu trường bắt buộc.") for f in fields]
 
 
-def canonical_population_rules(df: DataFrame) -> list[Rule]:
-    v = numbers(df, CANONICAL_FIELDS)
+def canonical_population_rules() -> list[Rule]:
+    v = _Numbers()
     rules = []
     for f in CANONICAL_FIELDS:
         rules += _required(v, [f], "POP_REQUIRED_FIELD_MISSING")
@@ -138,8 +157,8 @@ def canonical_population_rules(df: DataFrame) -> list[Rule]:
     return rules
 
 
-def legacy_population_rules(df: DataFrame) -> list[Rule]:
-    v = numbers(df, LEGACY_POPULATION_FIELDS)
+def legacy_population_rules() -> list[Rule]:
+    v = _Numbers()
     expected = _total(v, ("population_start", "arrivals", "births"), ("departures", "deaths"))
     parts = "Tổng thành phần không khớp dân số cuối kỳ."
     total = v["population_total"]
@@ -153,8 +172,8 @@ def legacy_population_rules(df: DataFrame) -> list[Rule]:
     ]
 
 
-def complaint_rules(df: DataFrame) -> list[Rule]:
-    v = numbers(df, COMPLAINT_FIELDS + ("beginning_cases", "ending_cases"))
+def complaint_rules() -> list[Rule]:
+    v = _Numbers()
     parts = "Tổng phân loại không khớp số đơn tiếp nhận."
     received = v["received_cases"]
     types = _total(v, ("complaint_cases", "denunciation_cases", "petition_cases"))
@@ -169,11 +188,17 @@ def complaint_rules(df: DataFrame) -> list[Rule]:
     ]
 
 
-def task_rules(df: DataFrame, as_of: Column) -> list[Rule]:
-    """Rules of one task record; `as_of` is the end of its reporting period."""
+def validate_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:
+    """Task records with `issues`; `as_of` is the end of their reporting period."""
+    judged = with_numbers(tasks, ["progress_percent"]).withColumn("issues", issues_of(task_rules(as_of)))
+    return without_numbers(judged)
+
+
+def task_rules(as_of: Column) -> list[Rule]:
+    """Rules of one task record."""
     status = F.lower(F.coalesce(F.col("status"), F.lit("")))
     done, late = status.startswith("hoàn thành"), status.contains("quá hạn")
-    progress = to_decimal(F.col("progress_percent"))
+    progress = F.col("_n_progress_percent")
     assigned, due, completed = (F.col(c) for c in ("assignment_date", "due_date", "completion_date"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return [
@@ -208,18 +233,19 @@ def official_gate(rules: list[Rule], classification: Column) -> list[Rule]:
 def validate_population(reports: DataFrame) -> DataFrame:
     """Reports with `issues` and `status`. The canonical vocabulary decides where it is present:
     a table with `population_opening` is canonical, else legacy."""
-    canonical = "population_opening" in reports.columns
-    rules = canonical_population_rules(reports) if canonical else legacy_population_rules(reports)
-    return _validated(reports, rules)
+    if "population_opening" in reports.columns:
+        return _validated(reports, CANONICAL_FIELDS, canonical_population_rules())
+    return _validated(reports, LEGACY_POPULATION_FIELDS, legacy_population_rules())
 
 
 def validate_complaints(reports: DataFrame) -> DataFrame:
-    return _validated(reports, complaint_rules(reports))
+    return _validated(reports, COMPLAINT_FIELDS + COMPLAINT_BALANCE, complaint_rules())
 
 
-def _validated(reports: DataFrame, rules: list[Rule]) -> DataFrame:
+def _validated(reports: DataFrame, fields: Iterable[str], rules: list[Rule]) -> DataFrame:
     issues = issues_of(official_gate(rules, F.col("classification")))
-    return reports.withColumn("issues", issues).withColumn("status", status_of(F.col("issues")))
+    judged = with_numbers(reports, fields).withColumn("issues", issues)
+    return without_numbers(judged).withColumn("status", status_of(F.col("issues")))
 
 
 def missing_task_lists(reports: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -276,11 +302,12 @@ def arithmetic(operator: str, left: Column, right: Column) -> Column:
     return result.cast("decimal(38,10)")
 
 
-def compare(operator: str, left: Column, right: Column) -> Column:
-    """Equality on any scalar (numbers by value), order on numbers only; null if not comparable."""
+def compare(operator: str, left: Column, right: Column, x: Column, y: Column) -> Column:
+    """Equality on any scalar (numbers by value), order on numbers only; null if not comparable.
+
+    x and y are the operands as numbers, null where they are none."""
     if operator not in COMPARISONS:
         raise ValueError(f"unknown operator: {operator}")
-    x, y = to_decimal(left), to_decimal(right)
     equal = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(left.eqNullSafe(right))
     return {
         "equal": lambda: equal,
@@ -322,28 +349,44 @@ def evaluate_rules(reports: DataFrame, definitions: list[Definition]) -> DataFra
 
     A missing field or a value that cannot be compared raises DEFINITION_FIELD_MISSING or
     DEFINITION_NOT_NUMERIC, a refused definition DEFINITION_NOT_APPROVED."""
-    values, rules = F.col("values"), []
-    for d in definitions:
-        may = allowed(d, F.col("classification"))
-        absent = d.left.absent(values) | d.right.absent(values)
-        passed = compare(d.operator, d.left.value(values), d.right.value(values))
+    rules, staged = [], _with_operands(reports, definitions)
+    for n, d in enumerate(definitions):
+        may, absent, passed = (F.col(f"_d{n}.{part}") for part in ("may", "absent", "passed"))
         rules += [
             Rule("DEFINITION_NOT_APPROVED", ~may, d.id),
             Rule("DEFINITION_FIELD_MISSING", may & absent, d.id),
             Rule("DEFINITION_NOT_NUMERIC", may & ~absent & passed.isNull(), d.id),
             Rule(d.id, may & ~absent & ~passed, d.left.field, d.severity, d.message),
         ]
-    return explode_issues(reports, issues_of(rules), "report_id")
+    return explode_issues(staged, issues_of(rules), "report_id")
+
+
+def _with_operands(reports: DataFrame, definitions: list[Definition]) -> DataFrame:
+    """One struct per definition with its resolved operands, each parsed once."""
+    values = F.col("values")
+    resolved = reports.withColumns({
+        f"_o{n}": F.struct(
+            d.left.value(values).alias("left"), d.right.value(values).alias("right"),
+            to_decimal(d.left.value(values)).alias("x"), to_decimal(d.right.value(values)).alias("y"))
+        for n, d in enumerate(definitions)
+    })
+    o = lambda n, part: F.col(f"_o{n}.{part}")
+    return resolved.withColumns({
+        f"_d{n}": F.struct(
+            allowed(d, F.col("classification")).alias("may"),
+            (d.left.absent(values) | d.right.absent(values)).alias("absent"),
+            (compare(d.operator, o(n, "left"), o(n, "right"), o(n, "x"), o(n, "y"))
+             if d.operator in COMPARISONS else F.lit(None).cast("boolean")).alias("passed"),
+            o(n, "x").alias("x"), o(n, "y").alias("y"))
+        for n, d in enumerate(definitions)
+    })
 
 
 def evaluate_kpis(reports: DataFrame, definitions: list[Definition]) -> DataFrame:
     """(report_id, kpi_id, value, source_fields, label, issue) for every report and definition."""
-    values, results = F.col("values"), []
-    for d in definitions:
-        left = to_decimal(d.left.value(values))
-        right = to_decimal(d.right.value(values))
-        absent = d.left.absent(values) | d.right.absent(values)
-        may = allowed(d, F.col("classification"))
+    results, staged = [], _with_operands(reports, definitions)
+    for n, d in enumerate(definitions):
+        may, absent, left, right = (F.col(f"_d{n}.{p}") for p in ("may", "absent", "x", "y"))
         problem = (
             F.when(~may, "DEFINITION_NOT_APPROVED")
             .when(absent, "DEFINITION_FIELD_MISSING")
@@ -359,7 +402,7 @@ def evaluate_kpis(reports: DataFrame, definitions: list[Definition]) -> DataFram
                 problem.alias("issue"),
             )
         )
-    return reports.select("report_id", F.explode(F.array(*results)).alias("r")).select(
+    return staged.select("report_id", F.explode(F.array(*results)).alias("r")).select(
         "report_id", "r.*"
     )
 

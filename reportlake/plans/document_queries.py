@@ -157,7 +157,8 @@ CLASSIFIED = f"""classified as (select *, {_KIND} as kind, cast({_LEVEL} as inte
       where kind is not null"""
 )
 def structure_classes(t):
-    found = adapters.structured_lines(t).withColumn("m", text.classify_structure(F.col("line")))
+    squashed = adapters.structured_lines(t).withColumn("line", text.squash(F.col("line")))
+    found = squashed.withColumn("m", text.classify_structure(F.col("line")))
     return found.filter("m is not null").select("doc_id", "ord", "m.kind", "m.level", "m.identifier")
 
 

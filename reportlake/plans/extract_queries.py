@@ -72,7 +72,7 @@ def alias_map(t):
     from orders"""
 )
 def scalar_parse(t):
-    from reportlake.functions.scalars import parse_scalar
+    from reportlake.functions.scalars import parse_cells
 
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     bad = key % 5 == 0
@@ -87,10 +87,10 @@ def scalar_parse(t):
         .when(key % 7 == 4, F.concat(F.lit("  "), F.col("o_orderpriority")))
         .when(key % 7 == 5, F.concat(F.lit("+"), F.col("o_custkey").cast("string"), F.lit(" vụ")))
     )
-    parsed = t.orders.select("o_orderkey", parse_scalar(text).alias("p"))
+    parsed = parse_cells(t.orders.select("o_orderkey", text.alias("cell")), "cell")
     return parsed.select(
-        "o_orderkey", "p.kind", "p.value_date", F.col("p.value_num").cast("double").alias("value_num"),
-        "p.value_text", "p.issue")
+        "o_orderkey", "kind", "value_date", F.col("value_num").cast("double").alias("value_num"),
+        "value_text", "issue")
 
 
 @query(

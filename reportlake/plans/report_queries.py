@@ -125,9 +125,7 @@ TASK_CHECKS = [
 
 @query(sql_issues(TASKS, "task_id", TASK_CHECKS))
 def rules_tasks(t):
-    tasks = adapters.tasks(t)
-    found = rules.issues_of(rules.task_rules(tasks, F.expr(AS_OF)))
-    return rules.explode_issues(tasks, found, "task_id").drop("ord", "message")
+    return exploded(rules.validate_tasks(adapters.tasks(t), F.expr(AS_OF)), "task_id")
 
 
 @query(

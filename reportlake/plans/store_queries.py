@@ -62,10 +62,9 @@ def dirty_texts(t):
     from n join w using (doc_id) group by n.doc_id, blocked, n.n1, n.n2, n.n3, n.n4"""
 )
 def mask_pii(t):
-    masked = text.mask_personal_data(F.col("text"))
-    return spread(dirty_texts(t)).select(
-        "doc_id", masked["allowed"].alias("allowed"), masked["redacted_text"].alias("redacted_text"),
-        F.array_join(masked["reasons"], ",").alias("reasons"))
+    masked = text.mask_personal_data(spread(dirty_texts(t)), "text")
+    return masked.select(
+        "doc_id", "allowed", "redacted_text", F.array_join("reasons", ",").alias("reasons"))
 
 
 _WORDS = {tag: pattern for tag, pattern in text.INTENTS}
