@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 # Character classes and patterns that decide results.
-WHITESPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITESPACE = r"[\s\x1c-\x1f]"  # under the flag U
 WORD = r"[\p{L}\p{N}_\u00c0-\u1ef9]"
 TOKEN = WORD + "+(?:[./-]" + WORD + "+)*"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -68,6 +68,8 @@ STRUCTURE = (
     ("point", 6, r"(?iU)^([a-zđ])\s*[.)]\s+(.+)$"),
     ("appendix", 1, r"(?iU)^(?:PHỤ\s+LỤC|APPENDIX)\s*([A-ZÀ-Ỹ0-9IVXLCDM.-]*)\s*(.*)$"),
 )
+# What a structural line other than a heading may start with.
+STRUCTURE_START = r"(?iU)^(?:PH|CHƯƠNG|MỤC|Điều|APPENDIX|[ivx\d]|[a-zđ]\s*[.)])"
 UPPER_LINE = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
 TITLE_LINE = (
     r"^[^\p{Lu}\p{Lt}\p{Ll}]*(?:[\p{Lu}\p{Lt}]\p{Ll}*(?:[^\p{Lu}\p{Lt}\p{Ll}]+|$))+$"
@@ -110,12 +112,12 @@ def casefold(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(text, f"(?U)^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def squash(text: Column) -> Column:
     """Runs of white space become one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U){WHITESPACE}+", " "))
 
 
 def label_key(value: Column) -> Column:
@@ -188,6 +190,7 @@ def classify_structure(line: Column) -> Column:
         ).cast(STRUCTURE_TYPE)
 
     empty = F.lit("")
+    heading = F.when(is_heading(line), found("heading", 3, empty, empty))
     branches = F.when(line.rlike(TEMPLATE_SECTION), found("template_section", 2, empty, empty))
     for kind, level, pattern in STRUCTURE:
         branches = branches.when(
@@ -199,7 +202,8 @@ def classify_structure(line: Column) -> Column:
                 F.trim(F.regexp_extract(line, pattern, 2)),
             ),
         )
-    return branches.when(is_heading(line), found("heading", 3, empty, empty))
+    # Body text fails the common start and is tested as a heading only.
+    return F.when(line.rlike(STRUCTURE_START), branches.otherwise(heading)).otherwise(heading)
 
 
 def intent_tags(request: Column) -> Column:

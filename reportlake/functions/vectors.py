@@ -18,8 +18,13 @@ def dot(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; null for the zero vector, which the caller reports as an issue."""
-    norm = F.sqrt(squared_norm(vector))
-    return F.when(norm > 0, F.transform(_double(vector), lambda x: x / norm))
+    values = _double(vector)
+    return F.aggregate(
+        values,
+        F.lit(0.0),
+        lambda total, x: total + x * x,
+        lambda total: F.when(total > 0, F.transform(values, lambda x: x / F.sqrt(total))),
+    )
 
 
 def vector_issue(vector: Column, dimension: Column | None = None) -> Column:

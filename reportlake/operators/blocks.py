@@ -61,14 +61,17 @@ def page_blocks(raw: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def pad_table(rows: Column) -> Column:
     """First row as headers, all rows padded to the widest one."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    padded = F.transform(
-        rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int")))
+    padded = F.aggregate(
+        rows,
+        F.lit(0),
+        lambda width, r: F.greatest(width, F.size(r)),
+        lambda width: F.transform(
+            rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))),
     )
     return F.struct(
         F.lit(None).cast("string").alias("name"),
         padded[0].alias("headers"),
-        F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))).alias("rows"),
+        F.slice(padded, 2, F.greatest(F.size(rows) - 1, F.lit(0))).alias("rows"),
     ).cast(TABLE_TYPE)
 
 

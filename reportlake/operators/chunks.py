@@ -197,12 +197,15 @@ def embedding_input(chunks: DataFrame) -> Column:
     have = set(chunks.columns)
     column = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
     hierarchy = F.coalesce(column("heading_hierarchy", "array<string>"), F.array().cast("array<string>"))
-    places = hierarchy
-    for label, name in (("Article", "article"), ("Clause", "clause"), ("Point", "point"),
-                        ("Table", "table_name")):
-        value = F.nullif(column(name), F.lit(""))
-        entry = F.when(~F.array_contains(places, value), F.concat(F.lit(f"{label}: "), value))
-        places = F.array_compact(F.concat(places, F.array(entry)))
+    labelled = F.array(*[
+        F.struct(F.lit(f"{label}: ").alias("label"), F.nullif(column(name), F.lit("")).alias("value"))
+        for label, name in (("Article", "article"), ("Clause", "clause"), ("Point", "point"),
+                            ("Table", "table_name"))
+    ])
+    places = F.aggregate(
+        labelled, hierarchy,
+        lambda known, x: F.when(x["value"].isNull() | F.array_contains(known, x["value"]), known)
+        .otherwise(F.concat(known, F.array(F.concat(x["label"], x["value"])))))
     location = F.when(F.size(places) > 0, F.concat(F.lit("Location: "), F.array_join(places, ", ")))
     return F.concat_ws(
         "\n",

@@ -5,6 +5,7 @@ The folds run over the candidate list of one query, which is at most k long (k <
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions import text
+from reportlake.operators.distribution import materialize
 from reportlake.settings import CONTEXT_TOKENS
 
 SCORES = ("score", "dense_score", "lexical_score", "fused_score", "reranker_score")
@@ -111,11 +112,12 @@ def _body(have: set[str]) -> Column:
 
 def build_context(candidates: DataFrame, order: str = "rank", max_tokens: int = CONTEXT_TOKENS
                   ) -> tuple[DataFrame, DataFrame]:
-    """Numbered sources and the context text of each query.
+    """Numbered sources and the context text of each query. The candidates (at most k per query)
+    are written first, because both results are made from them.
 
     In order, a candidate is passed over when its chunk or its folded content was taken already,
     or when it does not fit (later, smaller ones still may). Numbers count accepted sources."""
-    described = describe_source(candidates)
+    described = materialize(describe_source(candidates))
     prepared = described.withColumns({
         "body": _body(set(described.columns)),
         "fingerprint": text.comparison_key(F.col("content")),

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportlake import settings
 from reportlake.functions import text
-from reportlake.functions.vectors import l2_normalize
 from reportlake.operators.distribution import (
     BROADCAST_BYTES,
     broadcast_if_small,
@@ -120,10 +119,9 @@ def term_table(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
     marked = F.concat(F.array(F.lit(None).cast("string")), F.col("words"))
     exploded = tokenized.select("chunk_id", "doc_len", F.explode(marked).alias("term"))
-    known = vocabulary.select(F.col("term").alias("known_term")).distinct()
-    kept = exploded.join(
-        broadcast_if_small(known), exploded["term"] == known["known_term"], "left"
-    ).filter(F.col("term").isNull() | F.col("known_term").isNotNull())
+    kept = exploded.join(vocabulary, exploded["term"] == vocabulary["known_term"], "left").filter(
+        F.col("term").isNull() | F.col("known_term").isNotNull()
+    )
     return kept.groupBy("chunk_id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
@@ -137,9 +135,12 @@ def bm25_search(
     """Best chunks per query: (query_id, chunk_id, score, rank).
 
     Document frequency, corpus size and mean length belong to the filtered corpus. The reduced
-    term table is written once and read for the statistics and for scoring."""
+    term table is written once and read for the statistics and for scoring. The query terms are
+    measured once; vocabulary and weights have at most as many rows, so they are broadcast too."""
     terms = query_terms(queries)
-    table = materialize(term_table(apply_filters(corpus, filters), terms))
+    small = F.broadcast if measured_bytes(terms) <= BROADCAST_BYTES else (lambda df: df)
+    vocabulary = small(terms.select(F.col("term").alias("known_term")).distinct())
+    table = materialize(term_table(apply_filters(corpus, filters), vocabulary))
     postings, chunks = table.filter("term is not null"), table.filter("term is null")
     totals = chunks.agg(
         F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")
@@ -157,10 +158,11 @@ def bm25_search(
     by_chunk = postings.select("chunk_id", "term", saturation.alias("saturation")).repartition(
         "chunk_id"
     )
+    part = F.rint(F.col("saturation") * F.col("weight") * FIXED).cast("bigint")
     scores = (
-        by_chunk.join(broadcast_if_small(weighted), "term")
+        by_chunk.join(small(weighted), "term")
         .groupBy("chunk_id", "query_id")
-        .agg(F.sum(F.rint(F.col("saturation") * F.col("weight") * FIXED).cast("bigint")).alias("fixed"))
+        .agg(F.sum(part).alias("fixed"))
         .select("chunk_id", "query_id", (F.col("fixed") / FIXED).alias("score"))
         .filter(F.col("score") > 0)
     )
@@ -194,14 +196,12 @@ def dense_search(
     For EUCLID and MANHATTAN the score is the negative distance, so larger is always better."""
     if distance not in DISTANCES:
         raise ValueError(f"unknown distance: {distance}")
-    normalize = distance == "COSINE"
-    vector = l2_normalize(F.col("vector")) if normalize else F.col("vector").cast("array<double>")
     candidates = spread(
         apply_filters(corpus, filters, by_processing_status=False)
-        .select("chunk_id", vector.alias("vector"))
+        .select("chunk_id", "vector")
         .filter("vector is not null and size(vector) > 0"),
     )
-    wanted = queries.select("query_id", vector.alias("vector")).filter("vector is not null")
+    wanted = queries.select("query_id", "vector").filter("vector is not null and size(vector) > 0")
     query_type = queries.schema["query_id"].dataType.simpleString()
     chunk_type = corpus.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {query_type}, chunk_id {chunk_type}, score double"
@@ -253,16 +253,26 @@ def _best(scores: np.ndarray, chunk_ids: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def _matrix(vectors: pd.Series, ids: pd.Series, distance: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of unit length where the distance asks for it; zero vectors have none."""
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    if distance != "COSINE":
+        return rows, ids.to_numpy()
+    norms = np.sqrt((rows**2).sum(1))
+    kept = norms > 0
+    return rows[kept] / norms[kept, None], ids.to_numpy()[kept]
+
+
 def _nearest(block: pd.DataFrame, k: int, distance: str):
-    ids = block["query_id"].to_numpy()
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in block["vector"]])
+    matrix, ids = _matrix(block["vector"], block["query_id"], distance)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            chunk_ids = batch["chunk_id"].to_numpy()
-            vectors = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+            vectors, chunk_ids = _matrix(batch["vector"], batch["chunk_id"], distance)
+            if not len(chunk_ids) or not len(ids):
+                continue
             scores = np.round(_similarity(matrix, vectors, distance), 12)
             rows, columns = _best(scores, chunk_ids, k)
             yield pd.DataFrame(
@@ -338,10 +348,12 @@ def rerank_by_overlap(
 
 
 def with_content(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach chunk columns to the (few) candidates: the corpus is cut to the wanted ids first."""
+    """Attach chunk columns to the (few) candidates, at most k per query. They are written first:
+    the search runs once, and its size is known when the corpus is cut to the wanted ids."""
+    found = materialize(candidates)
     extra = [c for c in corpus.columns if c == "chunk_id" or c not in candidates.columns]
-    wanted = broadcast_if_small(candidates.select("chunk_id").distinct())
-    return candidates.join(corpus.select(*extra).join(wanted, "chunk_id", "left_semi"), "chunk_id")
+    wanted = broadcast_if_small(found.select("chunk_id").distinct())
+    return found.join(corpus.select(*extra).join(wanted, "chunk_id", "left_semi"), "chunk_id")
 
 
 def rerank_by_scores(

@@ -4,6 +4,7 @@ Texts in braces are table names; Spark and the SQL checks share these statements
 
 from pyspark.sql import DataFrame, functions as F
 
+from reportlake.operators.distribution import spread
 from reportlake.plans.registry import Tables
 
 CORPUS = """
@@ -101,7 +102,8 @@ def queries(t: Tables) -> DataFrame:
 
 def lines(t: Tables) -> DataFrame:
     """Text lines of the documents on pages of eight lines, blank ones left out."""
-    split = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    texts = spread(t.documents.select("doc_id", "text"), "doc_id")
+    split = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     return split.filter(F.trim("line") != "").withColumn(
         "page_number", (1 + F.floor(F.col("ord") / 8)).cast("int")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions import text
 from reportlake.operators import blocks, chunks, context, search
+from reportlake.operators.distribution import materialize
 from reportlake.operators.search import Filters
 from reportlake.plans import adapters
 from reportlake.plans.adapters import LINES, STRUCTURED_LINES
@@ -82,7 +83,7 @@ def page_edges(t):
       cleaned as text from judged where removal is null"""
 )
 def clean_blocks(t):
-    kept = blocks.kept_blocks(blocks.judged_blocks(framed_lines(t)), tile=64)
+    kept = blocks.kept_blocks(materialize(blocks.judged_blocks(framed_lines(t))), tile=64)
     return kept.select("document_id", "block_id", "source_order", "text")
 
 
@@ -230,7 +231,7 @@ grouped as (select b.doc_id, g, string_agg(trim(line), chr(10) || chr(10) order
       pages from grouped"""
 )
 def chunk_pack(t):
-    groups = chunks.pack(structured_blocks(t), document_kinds(t))
+    groups = chunks.pack(materialize(structured_blocks(t)), document_kinds(t))
     meta = chunks.group_metadata(F.col("blocks"))
     return groups.select(
         "document_id", "group", chunks.render_group(F.col("blocks")).alias("body"),
@@ -284,7 +285,8 @@ def chunk_split(t):
       lpad(cast(i - n as varchar), 5, '0') end as parent_chunk_id from numbered"""
 )
 def chunk_documents(t):
-    made = chunks.chunk_documents(structured_blocks(t), document_kinds(t), Chunking())
+    made = chunks.chunk_documents(
+        materialize(structured_blocks(t)), document_kinds(t), Chunking())
     return made.select("document_id", "chunk_id", "chunk_index", "content", "parent_chunk_id")
 
 

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from reportlake.operators import bundle, extract
+from reportlake.operators.distribution import materialize
 from reportlake.plans import adapters
 from reportlake.plans.registry import query
-from reportlake.plans.search_queries import sql_tokens  # noqa: F401
 
 POPULATION = adapters.plain(adapters.POPULATION)
 COMPLAINTS = adapters.plain(adapters.COMPLAINTS)
@@ -55,7 +55,7 @@ def complaint_cells(t):
     )
 )
 def alias_map(t):
-    found = extract.map_fields(complaint_cells(t))
+    found = extract.map_fields(materialize(complaint_cells(t)))
     return found.select(
         "file_id", "field", "kind", F.col("value_num").cast("double").alias("value"), "row")
 
@@ -182,7 +182,7 @@ def task_cells(t):
     where o_orderkey >= start and (stop is null or o_orderkey < stop)"""
 )
 def record_run(t):
-    found = extract.task_records(task_cells(t))
+    found = extract.task_records(materialize(task_cells(t)))
     return found.select(
         "file_id", "row", "task_id", "task_description", "lead_unit", "assignment_date",
         F.col("progress_percent").cast("double").alias("progress_percent"))
@@ -292,7 +292,7 @@ books as (select unit, week, role, concat(unit, '/', week, '/', role) as file_id
     case when unit = 17 then 'POP_SOURCE_ROLE_UNDETERMINED' end as issue from books"""
 )
 def role_detect(t):
-    return extract.detect_roles(workbook_cells(t))
+    return extract.detect_roles(materialize(workbook_cells(t)))
 
 
 @query(
@@ -302,7 +302,7 @@ def role_detect(t):
     'SYNTHETIC_TEST_DATA' as classification from books"""
 )
 def workbook_heads(t):
-    cells = workbook_cells(t)
+    cells = materialize(workbook_cells(t))
     periods = extract.workbook_periods(cells).select(
         "file_id", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"))
     names = extract.workbook_organizations(cells).drop("organization_id")
@@ -325,7 +325,7 @@ def workbook_heads(t):
       where role = 'RESIDENCE_MOVEMENT'"""
 )
 def detail_counts(t):
-    cells = workbook_cells(t)
+    cells = materialize(workbook_cells(t))
     of = lambda role: cells.filter(F.col("file_id").endswith(role))
     none = F.lit(None).cast("bigint")
     opening = extract.opening_counts(of("OPENING_BALANCE")).select(
@@ -366,7 +366,7 @@ def _reconciled(role: str) -> str:
     from c"""
 )
 def summary_detail(t):
-    cells = workbook_cells(t)
+    cells = materialize(workbook_cells(t))
     of = lambda role: cells.filter(F.col("file_id").endswith(role))
     detail = extract.detail_values(extract.opening_counts(of("OPENING_BALANCE")), "OPENING_BALANCE")
     detail = detail.unionByName(
