@@ -242,7 +242,7 @@ def _numbered(label: str, first: Column):
 
 
 def _tokens_for(name):
-    return lambda _, i: name(i)
+    return lambda match, i: name(i)
 
 
 def _masked(name, count: Column):
@@ -273,8 +273,9 @@ def mask_personal_data(df: DataFrame, column: str, restricted: Column | None = N
                 F.size("_pieces") > 1, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
             ).otherwise(no_text),
         })
+        staged = staged.withColumn("_first", F.col("_used") + F.col("_n"))
         count = F.col("_n")
-        name = _numbered(label, F.col("_used") + count)
+        name = _numbered(label, F.col("_first"))
         reason = F.when(count > 0, F.array(F.lit(f"masked_{label.lower()}"))).otherwise(no_text)
         staged = staged.withColumns({
             "_text": F.when(
@@ -283,7 +284,7 @@ def mask_personal_data(df: DataFrame, column: str, restricted: Column | None = N
             "_names": F.concat("_names", F.transform("_matches", _tokens_for(name))),
             "_originals": F.concat("_originals", "_matches"),
             "reasons": F.concat("reasons", reason),
-            "_used": F.col("_used") + count,
+            "_used": F.col("_first"),
         })
     refused = F.array(F.lit("restricted_or_classified_content"))
     done = staged.withColumns({
@@ -294,7 +295,7 @@ def mask_personal_data(df: DataFrame, column: str, restricted: Column | None = N
             ~F.col("_blocked"), F.map_from_arrays("_names", "_originals")),
     })
     return done.drop(
-        "_blocked", "_text", "_used", "_names", "_originals", "_pieces", "_n", "_matches")
+        "_blocked", "_text", "_used", "_names", "_originals", "_pieces", "_n", "_first", "_matches")
 
 
 def table_text(table: Column) -> Column:

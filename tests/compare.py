@@ -45,7 +45,7 @@ def frame(pdf: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def compare(spark_df, con, sql: str) -> list[str]:
+def compare(spark_df, con, sql: str) -> tuple[list[str], int]:
     problems = []
     rel = con.sql(sql)
     want_types = {c: kind(str(d)) for c, d in zip(rel.columns, rel.types)}
@@ -53,7 +53,7 @@ def compare(spark_df, con, sql: str) -> list[str]:
     if want_types != got_types:
         problems.append(f"types differ: spark {got_types} sql {want_types}")
     if set(want_types) != set(got_types):
-        return problems
+        return problems, 0
     got = frame(pd.DataFrame([r.asDict() for r in spark_df.collect()], columns=spark_df.columns))
     want = frame(pd.DataFrame(rel.fetchall(), columns=rel.columns))
     if got != want:
