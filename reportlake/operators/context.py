@@ -5,7 +5,7 @@ The folds run over the candidate list of one query, which is at most k long (k <
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions import text
-from reportlake.operators.distribution import materialize
+from reportlake.operators.distribution import fan_out, materialize
 from reportlake.settings import CONTEXT_TOKENS
 
 SCORES = ("score", "dense_score", "lexical_score", "fused_score", "reranker_score")
@@ -29,7 +29,7 @@ def expand_parents(candidates: DataFrame, corpus: DataFrame, max_tokens: int = C
         text.estimate_tokens(F.col("content"), 1).alias("cost"),
         text.estimate_tokens(F.col("parent_content"), 1).alias("parent_cost"),
     )
-    lists = paired.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = fan_out(paired, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     start = F.struct(
         F.aggregate("items", F.lit(0), lambda total, c: total + c["cost"]).alias("used"),
@@ -118,7 +118,7 @@ def build_context(candidates: DataFrame, order: str = "rank", max_tokens: int =
     In order, a candidate is passed over when its chunk or its folded content was taken already,
     or when it does not fit (later, smaller ones still may). Numbers count accepted sources."""
     described = materialize(describe_source(candidates))
-    prepared = described.withColumns({
+    prepared = fan_out(described, "query_id").withColumns({
         "body": _body(set(described.columns)),
         "fingerprint": text.comparison_key(F.col("content")),
     })

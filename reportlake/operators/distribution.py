@@ -21,6 +21,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Put a small table with costly work ahead on all cores; adaptive planning would merge it
+    into one task by its size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned input as Catalyst knows it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -54,12 +60,10 @@ def working_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, even: bool = True) -> DataFrame:
     """Write a reused intermediate result as Parquet and read it back; this cuts lineage and
-    survives the loss of executors."""
+    survives the loss of executors. With `even`, the rows of a small input are spread first, or
+    one file would be written and every later read would be one task."""
     path = f"{working_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    (spread(df) if even else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

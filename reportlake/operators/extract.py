@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reportlake.functions import scalars
 from reportlake.functions.text import label_key, strip
+from reportlake.operators.distribution import materialize
 from reportlake.settings import OFFICIAL, SYNTHETIC
 
 # Report labels and the fields they name.
@@ -180,7 +181,8 @@ def task_records(cells: DataFrame) -> DataFrame:
     )
     named = F.coalesce(F.col("task_id").rlike(TASK_ID), F.lit(False))
     described = F.coalesce(F.col("task_description"), F.lit("")) != ""
-    marked = wide.withColumns({"ok": named & described, "place": _place()})
+    # Read three times below: written once.
+    marked = materialize(wide.withColumns({"ok": named & described, "place": _place()}))
     starts = marked.filter("ok").groupBy("file_id").agg(F.min("place").alias("start"))
     after = marked.join(starts, "file_id").filter("place >= start")
     ends = after.filter("not ok").groupBy("file_id").agg(F.min("place").alias("stop"))
@@ -362,7 +364,7 @@ def _with_all_files(counts: DataFrame, cells: DataFrame, required) -> DataFrame:
 def opening_counts(cells: DataFrame) -> DataFrame:
     """Sums of the area table above its first total row."""
     rows = _detail_rows(cells, OPENING_HEADERS).withColumn("id", _text(F.col("c0")))
-    rows = rows.withColumn("is_total", label_key(F.col("id")) == TOTAL_LABEL)
+    rows = materialize(rows.withColumn("is_total", label_key(F.col("id")) == TOTAL_LABEL))
     cut = rows.filter("is_total").groupBy("file_id").agg(F.min("row").alias("cut"))
     kept = rows.join(cut, "file_id", "left").filter("(cut is null or row < cut) and id <> ''")
     numbers = kept.withColumns(

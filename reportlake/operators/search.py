@@ -15,6 +15,7 @@ from reportlake.functions import text
 from reportlake.operators.distribution import (
     BROADCAST_BYTES,
     broadcast_if_small,
+    fan_out,
     materialize,
     measured_bytes,
     spread,
@@ -140,7 +141,7 @@ def bm25_search(
     terms = query_terms(queries)
     small = F.broadcast if measured_bytes(terms) <= BROADCAST_BYTES else (lambda df: df)
     vocabulary = small(terms.select(F.col("term").alias("known_term")).distinct())
-    table = materialize(term_table(apply_filters(corpus, filters), vocabulary))
+    table = materialize(term_table(apply_filters(corpus, filters), vocabulary), even=False)
     postings, chunks = table.filter("term is not null"), table.filter("term is null")
     totals = chunks.agg(
         F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")
@@ -353,7 +354,8 @@ def with_content(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     found = materialize(candidates)
     extra = [c for c in corpus.columns if c == "chunk_id" or c not in candidates.columns]
     wanted = broadcast_if_small(found.select("chunk_id").distinct())
-    return found.join(corpus.select(*extra).join(wanted, "chunk_id", "left_semi"), "chunk_id")
+    texts = corpus.select(*extra).join(wanted, "chunk_id", "left_semi")
+    return found.join(fan_out(texts, "chunk_id"), "chunk_id")
 
 
 def rerank_by_scores(
