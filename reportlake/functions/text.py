@@ -172,38 +172,34 @@ def is_heading(text: Column) -> Column:
     )
 
 
-STRUCTURE_TYPE = "struct<kind:string,level:int,identifier:string,title:string,label:string>"
-
-
-def classify_structure(line: Column) -> Column:
-    """Kind, level, identifier and title of a structural line; null for body text.
-
-    `line` has its blanks squashed already: every pattern looks at it, so it should be a column."""
-
-    def found(kind: str, level: int, identifier: Column, title: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(level).alias("level"),
-            F.nullif(identifier, F.lit("")).alias("identifier"),
-            F.nullif(title, F.lit("")).alias("title"),
-            line.alias("label"),
-        ).cast(STRUCTURE_TYPE)
-
-    empty = F.lit("")
-    heading = F.when(is_heading(line), found("heading", 3, empty, empty))
-    branches = F.when(line.rlike(TEMPLATE_SECTION), found("template_section", 2, empty, empty))
-    for kind, level, pattern in STRUCTURE:
-        branches = branches.when(
-            line.rlike(pattern),
-            found(
-                kind,
-                level,
-                F.regexp_extract(line, pattern, 1),
-                F.trim(F.regexp_extract(line, pattern, 2)),
-            ),
-        )
+def classify_structure(df: DataFrame, column: str, name: str = "match") -> DataFrame:
+    """Add struct(kind, level, identifier, title, label) of structural lines; null for body text.
+
+    The column has its blanks squashed already. The number of the first rule that matches is
+    found first; only its pattern then takes the line apart, which keeps the generated code small."""
+    line, number = F.col(column), F.col("_rule")
+    heading_no = len(STRUCTURE) + 1
+    heading = F.when(is_heading(line), F.lit(heading_no))
+    rules = F.when(line.rlike(TEMPLATE_SECTION), F.lit(0))
+    for i, (_, _, pattern) in enumerate(STRUCTURE, 1):
+        rules = rules.when(line.rlike(pattern), F.lit(i))
     # Body text fails the common start and is tested as a heading only.
-    return F.when(line.rlike(STRUCTURE_START), branches.otherwise(heading)).otherwise(heading)
+    first = F.when(line.rlike(STRUCTURE_START), rules.otherwise(heading)).otherwise(heading)
+
+    def pick(values) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), number)
+
+    pattern = pick([None, *[p for _, _, p in STRUCTURE], None])
+    part = lambda i: F.call_function("regexp_extract", line, pattern, F.lit(i))
+    found = F.struct(
+        pick(["template_section", *[k for k, _, _ in STRUCTURE], "heading"]).alias("kind"),
+        pick([2, *[n for _, n, _ in STRUCTURE], 3]).alias("level"),
+        F.nullif(part(1), F.lit("")).alias("identifier"),
+        F.nullif(F.trim(part(2)), F.lit("")).alias("title"),
+        line.alias("label"),
+    )
+    return df.withColumn("_rule", first).withColumn(
+        name, F.when(number.isNotNull(), found)).drop("_rule")
 
 
 def intent_tags(request: Column) -> Column:

@@ -198,7 +198,7 @@ def propagate_structure(blocks: DataFrame, tile: int = TILE) -> DataFrame:
     smaller level came after it. Clause and point end with the article or clause above them."""
     plain = ~F.col("block_type").isin(PAGE_BREAK, TABLE)
     lines = blocks.withColumn("_line", text.squash(F.when(plain, F.col("text"))))
-    found = lines.withColumn("match", text.classify_structure(F.col("_line"))).drop("_line")
+    found = text.classify_structure(lines, "_line").drop("_line")
     heading = F.struct(
         F.col("source_order").alias("at"), F.col("match.label").alias("label"),
         F.col("block_id").alias("id"), F.col("match.identifier").alias("identifier"),

@@ -64,8 +64,10 @@ def test_heading_equals_python(spark):
     ],
 )
 def test_structure(spark, line, kind, identifier):
-    (found,) = column(spark, [line], text.classify_structure)
+    df = spark.createDataFrame([(line,), ("Cơ quan thực hiện.",)], "x string")
+    found, body = (r["match"] for r in text.classify_structure(df, "x").collect())
     assert (found["kind"], found["identifier"]) == (kind, identifier)
+    assert body is None
 
 
 def test_cleaning(spark):
