@@ -1,4 +1,11 @@
 """Registered queries over the given tables."""
 
-from reportlake.plans import document_queries, extract_queries, report_queries, search_queries, store_queries  # noqa: F401
+from reportlake.plans import (  # noqa: F401
+    document_queries,
+    extract_queries,
+    model_queries,
+    report_queries,
+    search_queries,
+    store_queries,
+)
 from reportlake.plans.registry import ORACLES, QUERIES  # noqa: F401
