@@ -3,8 +3,8 @@
 Texts are cut into words by vectorised character classes, equal to the pattern of the public
 vocabulary: contractions, an optional space before letters, numbers or other signs, white space.
 Distinct words of a slice are looked up in the transducer; unseen words are merged pair by pair, the
-pair of lowest rank first. Frequent words come from Misra-Gries summaries over all documents; which
-words they hold changes the speed only, never a result."""
+pair of lowest rank first. Frequent words come from lossy counting over all documents; which words
+it finds changes the speed only, never a result."""
 
 import functools
 import json
@@ -67,14 +67,15 @@ class Vocabulary:
         counts = ends - starts
         ids = self.byte_id[data[arrays.ragged(starts, counts)]]
         word = np.repeat(np.arange(len(starts)), counts)
-        done_word, done_ids, done_at = [], [], []
+        out = np.full(len(ids), -1, np.int64)
         place = np.arange(len(ids))
         none = len(self.merged)
+        rank = np.full(len(ids), none, np.int64)
+        changed = np.arange(max(len(ids) - 1, 0))
         while len(ids):
-            rank = np.full(len(ids), none, np.int64)
-            same = word[1:] == word[:-1]
-            found = self.pairs.find(ids[:-1] << 24 | ids[1:])
-            rank[:-1] = np.where(same & (found >= 0), found, none)
+            # Only pairs with a new part are looked up again.
+            found = self.pairs.find(ids[changed] << 24 | ids[changed + 1])
+            rank[changed] = np.where((word[changed] == word[changed + 1]) & (found >= 0), found, none)
             head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             length = np.diff(np.r_[head, len(ids)])
             # The first pair of the lowest rank of each word: rank and position in one number.
@@ -83,15 +84,16 @@ class Vocabulary:
             at = best[more] % len(ids)
             ids[at] = self.merged[rank[at]]
             keep = np.repeat(more, length)
-            done_word.append(word[~keep])
-            done_ids.append(ids[~keep])
-            done_at.append(place[~keep])
+            out[place[~keep]] = ids[~keep]
             keep[at + 1] = False
-            ids, word, place = ids[keep], word[keep], place[keep]
-        order = np.argsort(np.concatenate(done_at)) if done_at else np.zeros(0, int)
-        word = np.concatenate(done_word)[order] if done_at else np.zeros(0, np.int64)
-        ids = np.concatenate(done_ids)[order] if done_at else np.zeros(0, np.int64)
-        return ids, np.bincount(word, minlength=len(starts))
+            new = np.zeros(len(ids), bool)
+            new[at] = True
+            rank[at] = none
+            ids, word, place, rank, new = ids[keep], word[keep], place[keep], rank[keep], new[keep]
+            new[:-1] |= new[1:]
+            changed = np.flatnonzero(new[:-1]) if len(ids) else np.zeros(0, int)
+        of = np.repeat(np.arange(len(starts)), counts)[out >= 0]
+        return out[out >= 0], np.bincount(of, minlength=len(starts))
 
 
 @functools.cache
@@ -168,26 +170,33 @@ def _slices(batch: pa.RecordBatch, special: list[str]):
 
 
 def _heavy(limit: int):
-    """Misra-Gries summary of the words of a task: at most `limit` counters, over all of its words."""
+    """Lossy counting of the words of a task: each slice is one bucket, and words that cannot have
+    more occurrences than there were buckets are let go. The `limit` most frequent are returned."""
 
     def run(stream):
-        keys, counts, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        keys, counts, late, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+        bucket = 0
         for batch in stream:
             for _, _, part in _slices(batch, []):
+                seen = np.bincount(part.place, minlength=len(part.keys))
+                at = np.searchsorted(keys, part.keys)
+                held = np.zeros(len(part.keys), bool)
+                inside = at < len(keys)
+                held[inside] = keys[at[inside]] == part.keys[inside]
+                counts[at[held]] += seen[held]
+                new = np.flatnonzero(~held & (seen > 1))
                 raw = part.data.tobytes()
-                words = np.empty(len(part.keys), object)
-                words[:] = [raw[a:b] for a, b in zip(part.start.tolist(), part.end.tolist())]
-                both = np.concatenate([keys, part.keys])
-                both_counts = np.concatenate([counts, np.bincount(part.place, minlength=len(part.keys))])
-                both_names = np.concatenate([names, words])
-                keys, where, place = np.unique(both, return_index=True, return_inverse=True)
-                counts = np.bincount(place, weights=both_counts, minlength=len(keys)).astype(np.int64)
-                names = both_names[where]
-                if len(keys) > limit:
-                    counts = counts - np.partition(counts, -limit - 1)[-limit - 1]
-                    keys, names, counts = keys[counts > 0], names[counts > 0], counts[counts > 0]
+                words = np.empty(len(new), object)
+                words[:] = [raw[a:b] for a, b in zip(part.start[new].tolist(), part.end[new].tolist())]
+                keys, counts = np.concatenate([keys, part.keys[new]]), np.concatenate([counts, seen[new]])
+                late, names = np.concatenate([late, np.full(len(new), bucket)]), np.concatenate([names, words])
+                bucket += 1
+                order = np.argsort(keys, kind="stable")
+                order = order[(counts + late)[order] > bucket]
+                keys, counts, late, names = keys[order], counts[order], late[order], names[order]
+        top = np.argsort(-counts, kind="stable")[:limit]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.tolist(), pa.binary()), pa.array(counts)], ["word", "n"]
+            [pa.array(names[top].tolist(), pa.binary()), pa.array(counts[top])], ["word", "n"]
         )
 
     return run

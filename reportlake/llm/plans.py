@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, exact_dedup
+from reportlake.llm import bpe, exact_dedup, pii
 
 QUERIES = {}
 ORACLES = {}
@@ -46,3 +46,15 @@ def op6_bpe(spark, folder):
     return bpe.decode(digests, TOKENIZER).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query()
+def op8_pii(spark, folder):
+    """Personal data of every document."""
+    found = pii.find(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
