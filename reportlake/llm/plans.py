@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, exact_dedup, pii
+from reportlake.llm import bpe, exact_dedup, langid, pii
+from reportlake.llm.work import held_out
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +25,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op2_langid(spark, folder):
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
+    return langid.predict(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 @query("""
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
