@@ -84,9 +84,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of consecutive documents: `start`, `end` (bytes), `doc`, and `first` word per document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> None:
         self.data, self.offsets = data, offsets
-        inside = ~IS_SPACE[data]
+        inside = ~outside[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
         edge = np.empty(len(data), bool)

@@ -219,6 +219,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double, ambiguous boolean")
 
 
-def rejected(lang: Column, ambiguous: Column) -> Column:
-    """Documents of no known language: no letters at all, or two languages equally near."""
-    return (lang == UNKNOWN) | ambiguous
+def rejected(lang: Column) -> Column:
+    """Documents without a letter to judge by."""
+    return lang == UNKNOWN

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, exact_dedup, langid, pii
+from reportlake.llm import bpe, exact_dedup, langid, pii, toxicity
 from reportlake.llm.work import held_out
 
 QUERIES = {}
@@ -35,6 +35,18 @@ def op2_langid(spark, folder):
     )
 
 
+@query()
+def op3_toxicity(spark, folder):
+    """Toxicity of every document, learned from the labels of the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    field = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id").where(~held_out("doc_id")))
+    return toxicity.score(docs, field).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans",
+    )
+
+
 @query("""
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
