@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, exact_dedup, langid, pii, toxicity
+from reportlake.llm import bpe, decontaminate, exact_dedup, langid, pii, toxicity
 from reportlake.llm.work import held_out
 
 QUERIES = {}
@@ -47,6 +47,25 @@ def op3_toxicity(spark, folder):
     )
 
 
+@query(r"""
+with t as (
+  select 0 kind, doc_id id, text from documents union all select 1, item_id, text from benchmark),
+w as (
+  select kind, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
+  from t),
+s as (
+  select distinct kind, id, array_to_string(w[i:i + 4], ' ') g
+  from (select kind, id, w, unnest(range(1, len(w) - 3)) i from w where len(w) >= 5)),
+n as (select id, count(*) n from s where kind = 1 group by id)
+select d.id doc_id, b.id item_id, any_value(n.n) n_shingles, count(*) n_found
+from s d join s b on d.kind = 0 and b.kind = 1 and d.g = b.g join n on n.id = b.id
+group by d.id, b.id having count(*) >= 0.8 * any_value(n.n)""")
+def op4_decontaminate(spark, folder):
+    """Documents that hold benchmark items."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("""
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
