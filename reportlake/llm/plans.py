@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, decontaminate, exact_dedup, langid, pii, toxicity
+from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, toxicity
 from reportlake.llm.work import held_out
 
 QUERIES = {}
@@ -100,3 +100,9 @@ def op8_pii(spark, folder):
         "doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op7_near_dedup(spark, folder):
+    """Groups of near duplicates."""
+    return near_dedup.near_groups(table(spark, folder, "documents"), shingle=4)
