@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, toxicity
+from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, substring_dedup, toxicity
 from reportlake.llm.work import held_out
 
 QUERIES = {}
@@ -106,3 +106,10 @@ def op8_pii(spark, folder):
 def op7_near_dedup(spark, folder):
     """Groups of near duplicates."""
     return near_dedup.near_groups(table(spark, folder, "documents"), shingle=4)
+
+
+@query()
+def op1_substring_dedup(spark, folder):
+    """Documents without the passages that also stand earlier."""
+    done = substring_dedup.drop_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
