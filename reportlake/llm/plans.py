@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, substring_dedup, toxicity
+from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup, pii, quality, substring_dedup, toxicity, warc
 from reportlake.llm.work import held_out
 
 QUERIES = {}
@@ -113,3 +113,16 @@ def op1_substring_dedup(spark, folder):
     """Documents without the passages that also stand earlier."""
     done = substring_dedup.drop_repeats(table(spark, folder, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_warc(spark, folder):
+    """Pages written to archives and read back."""
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query()
+def op9_quality(spark, folder):
+    """Quality of every document, learned from overlapping heuristics."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs))
