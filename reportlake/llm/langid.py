@@ -8,7 +8,8 @@ a text whose two best codewords are close is flagged as ambiguous."""
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reportlake.llm import arrays
 from reportlake.llm.work import stored
@@ -219,6 +220,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double, ambiguous boolean")
 
 
-def rejected(lang: Column) -> Column:
-    """Documents without a letter to judge by."""
-    return lang == UNKNOWN
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents in a language that the model knows, with all their columns; texts that are null or
+    have no letter go. Ambiguous texts stay, since a short clean one may be ambiguous."""
+    source = docs.withColumn("__text", F.col(text_col))
+    names = docs.columns
+    run = _predict(docs.sparkSession.sparkContext.broadcast(model))
+
+    def known(stream):
+        for batch in stream:
+            plain = batch.select(["__text"]).rename_columns(["text"])
+            lang = next(iter(run(iter([plain])))).column("lang_pred")
+            yield batch.filter(pa.compute.not_equal(lang, UNKNOWN)).select(names)
+
+    return source.mapInArrow(known, docs.schema)
