@@ -1,6 +1,7 @@
 """Quality without labels: votes of heuristics, a label model, and a linear scorer.
 
-Overlapping heuristics vote good, bad or abstain. Expectation-maximisation over the counts of vote
+Overlapping heuristics vote bad, good or not at all (most know one kind of junk and abstain on the
+rest). Expectation-maximisation over the counts of vote
 patterns of all documents estimates how each votes on good and on bad documents, and the posterior
 of each pattern. A linear scorer over hashed bytes, byte triples and word
 shapes learns the posteriors on a
@@ -15,7 +16,7 @@ from reportlake.llm.toxicity import _one_row, _summed
 from reportlake.llm.work import stored
 
 BAD, GOOD, NONE = 0, 1, 2
-LABELLERS = ("signs", "bars", "word_length", "variety", "lines", "capitals", "length", "stutter")
+LABELLERS = ("signs", "bars", "odd_ends", "word_length", "variety", "stutter", "lines", "capitals", "length")
 #: The most training documents of the scorer, chosen by the hash of their id.
 TRAIN_DOCS = 4000
 BITS = 15
@@ -52,21 +53,19 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of_words = lambda mask: np.bincount(words.doc, weights=mask, minlength=len(n)) / np.maximum(n, 1)
     signs, bars, capitals = _share(sign, offsets), of_words(single), _share(upper, offsets)
 
-    def vote(bad, good):
-        return np.where(bad, BAD, np.where(good, GOOD, NONE))
-
+    ends = data[np.maximum(words.end - 1, 0)] if len(data) else np.zeros(0, np.uint8)
+    odd_ends = of_words(sign[np.maximum(words.end - 1, 0)] & ~np.isin(ends, np.frombuffer(b".,;:!?)\"'", np.uint8)) if len(data) else ends)
     same = np.zeros(len(words.doc))
     same[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
     stutter = of_words(same)
     some = n >= 5
-    return np.stack([
-        vote(signs > 0.08, some & (signs < 0.04)), vote(bars > 0.1, some & (bars < 0.02)),
-        vote(some & ((mean_length < 2.5) | (mean_length > 12)), some & (mean_length > 3.5) & (mean_length < 9)),
-        vote((n >= 50) & (distinct < 0.15), (n >= 50) & (distinct > 0.3)),
-        vote((breaks >= 4) & (fresh < 0.6), (breaks >= 2) & (fresh > 0.9)),
-        vote(some & (capitals > 0.4), some & (capitals < 0.15)), vote(n < 3, n >= 20),
-        vote(some & (stutter > 0.2), some & (stutter < 0.05)),
-    ], axis=1)
+    bad = [
+        signs > 0.07, bars > 0.05, odd_ends > 0.1, some & ((mean_length < 2.5) | (mean_length > 12)),
+        (n >= 50) & (distinct < 0.15), some & (stutter > 0.15), (breaks >= 4) & (fresh < 0.6), some & (capitals > 0.4), n < 3,
+    ]
+    out = np.where(np.stack(bad, axis=1), BAD, NONE)
+    out[(n >= 20) & ~bad[-1], -1] = GOOD
+    return out
 
 
 def pattern(vote: np.ndarray) -> np.ndarray:
@@ -78,10 +77,11 @@ def unpack(code: np.ndarray, n: int) -> np.ndarray:
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, steps: int = 100) -> np.ndarray:
-    """Posterior of "good" for every vote pattern. The start is the share of good votes."""
+    """Posterior of "good" for every vote pattern. At the start a document is bad by as much as its bad
+    votes outweigh its good ones, one bad vote more than one good."""
     vote = unpack(patterns, n)
     good, bad = (vote == GOOD).sum(axis=1), (vote == BAD).sum(axis=1)
-    p = (good + 1) / (good + 3 * bad + 2)
+    p = (good + 1) / (good + 4.0 * bad + 1.2)
     for _ in range(steps):
         old, logs = p, []
         for weight in (counts * (1 - p), counts * p):
