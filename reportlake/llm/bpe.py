@@ -19,7 +19,7 @@ from reportlake.llm.lexicon import IntMap, Transducer
 
 LEXICON_WORDS = 50_000
 SUMMARY_WORDS = 50_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The Unicode property White_Space.
