@@ -8,8 +8,8 @@ below the next step.
 Documents with equal shingle sets form a class, and only its smallest id goes on. Bands of slots
 deal the ids into buckets. First every id is compared with the most central id of its buckets, so a
 large group of copies costs one comparison a member. Ids of one bucket that are still in different
-components are then compared too, unless their sizes, or the number of their shingles that any
-candidate shares, rule a link out. All comparisons are of full sets."""
+components are then compared too, if they agree on one of their rarest shingles, as every link must
+(prefix filter), and that leaves room for enough others. All comparisons are of full sets."""
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve
 from reportlake.llm.components import components
+from reportlake.llm.packed import BLOBS, by_document, dealt, gathered, per_document, shares
 from reportlake.llm.work import stored
 
 SHINGLE = 5
@@ -24,6 +25,8 @@ PERCENT = 80
 ROWS = 4
 BANDS = 32
 FRACTION = np.uint64(0xFFFFFFFF)
+#: Shingles of more documents count as common.
+RARE = 62
 STEP_SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -118,52 +121,66 @@ def _sets(shingle: int, bits):
     return run
 
 
-def _spread(parts: int):
-    """Shingles of a batch by share; a shingle of several documents is counted here and sent once."""
+def _keys(parts: int):
+    """Shingles of a batch by share, with the documents that have them; of one that more than RARE
+    documents of the batch have, only that it is common."""
 
     def run(stream):
         for batch in stream:
             column = batch.column("shingles")
-            flat = np.asarray(column.flatten()).view(np.uint64)
-            ids = np.asarray(batch.column("id"))
-            owner = np.repeat(ids, np.asarray(column.value_lengths()))
-            keys, first, place, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-            here = count[place] > 1
-            shared_ids, shared = np.unique(owner[here], return_counts=True)
-            lone = np.where(count == 1, owner[first], -1)
-            share = (keys & FRACTION) * np.uint64(parts) >> np.uint64(32)
-            order = np.argsort(share, kind="stable")
-            edges = np.searchsorted(share[order], np.arange(parts + 1))
-            rows = [k for k in range(parts) if edges[k] < edges[k + 1]]
-            blob = [keys[order[edges[k]:edges[k + 1]]].tobytes() for k in rows]
-            who = [lone[order[edges[k]:edges[k + 1]]].tobytes() for k in rows]
-            local = np.column_stack([shared_ids, shared]).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*rows, -1], pa.int32()), pa.array([*blob, b""], pa.binary()), pa.array([*who, local], pa.binary())],
-                ["part", "keys", "owners"])
+            keys = np.asarray(column.flatten()).view(np.uint64) >> np.uint64(6)
+            owner = np.repeat(np.asarray(batch.column("id")), np.asarray(column.value_lengths()))
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            count = np.diff(np.append(head, len(keys)))
+            common = np.repeat(count > RARE, count)
+            first = np.zeros(len(keys), bool)
+            first[head] = True
+            send = ~common | first
+            yield dealt(shares(keys[send], parts), parts, keys[send], owner[send], common[send].astype(np.int8))
 
     return run
 
 
-def _shared(stream):
-    """Of every document, how many of its shingles other documents have too."""
-    keys, owners = [], []
-    for batch in stream:
-        for part, key, owner in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "owners"))):
-            if part == -1:
-                rows = np.frombuffer(owner, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["id", "shared"])
-            else:
-                keys.append(np.frombuffer(key, np.uint64))
-                owners.append(np.frombuffer(owner, np.int64))
-    if keys:
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-        marked = np.zeros(len(count), bool)
-        marked[place[owners < 0]] = True
-        hit = (owners >= 0) & ((count > 1) | marked)[place]
-        ids, shared = np.unique(owners[hit], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shared)], ["id", "shared"])
+def _rare(parts: int):
+    """Shingles of at most RARE documents go back to these, marked with their number."""
+
+    def run(stream):
+        keys, owner, common = gathered(stream, "<u8", "<i8", "i1")
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys, owner, common = keys[order], owner[order], common[order]
+            head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            size = np.diff(np.append(head, len(keys)))
+            count = size.copy()
+            count[np.maximum.reduceat(common, head) > 0] = RARE + 1
+            rank = np.repeat(count, size)
+            few = rank <= RARE
+            yield by_document(parts, owner[few], (rank[few].astype(np.uint64) << np.uint64(58)) | keys[few])
+
+    return run
+
+
+def _prefixes(percent: int):
+    """The first shingles of every document in one order for all: by number of documents, common ones
+    last. Sets that are similar enough have one of them in common."""
+
+    def run(stream):
+        for batch in stream:
+            ids, parts, rows = batch.column("id").to_pylist(), batch.column("component").to_pylist(), []
+            for i, own, c, rare in zip(ids, batch.column("shingles"), parts, batch.column("v").to_pylist()):
+                rare = np.frombuffer(rare or b"", np.uint64)
+                keys = np.unique(np.asarray(own.values).view(np.uint64) >> np.uint64(6))
+                rest = keys[~np.isin(keys, rare & np.uint64((1 << 58) - 1))] | np.uint64((RARE + 1) << 58)
+                n = len(own.values)
+                keep = n - -(-percent * n // 100) + 1
+                order = np.sort(np.concatenate([rare, rest]))[:keep]
+                rows.append((np.full(len(order), i), np.full(len(order), c), np.full(len(order), n), np.arange(len(order)), order.view(np.int64)))
+            columns = [np.concatenate(x) for x in zip(*rows)] or [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["id", "component", "n", "at", "token"])
+
+    return run
 
 
 def linked(shared: Column, one: Column, other: Column, percent: int) -> Column:
@@ -219,17 +236,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = of.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     of = stored(of.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = sets.join(of.select("id").distinct(), "id", "left_semi")
-    shared = rest.mapInArrow(_spread(parts), "part int, keys binary, owners binary").repartition(parts, "part").mapInArrow(
-        _shared, "id bigint, shared bigint").groupBy("id").agg(F.sum("shared").alias("shared"))
-    of = of.join(shared, "id").where(100 * F.col("shared") >= percent * F.col("n"))
+    rest = stored(sets.join(of.select("id", "component").distinct(), "id"), "open")
+    rare = rest.mapInArrow(_keys(parts), BLOBS).repartition(parts, "part").mapInArrow(_rare(parts), BLOBS)
+    rare = rare.repartition(parts, "part").mapInArrow(per_document("<u8"), "id bigint, v binary")
+    prefix = stored(rest.join(rare, "id", "left").mapInArrow(
+        _prefixes(percent), "id bigint, component bigint, n bigint, at bigint, token bigint"), "prefixes")
     main = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("bucket").agg(
         F.max_by("component", F.struct("members", "component")).alias("main"))
-    of = stored(of, "open")
-    left = of.join(main, "bucket").where("component <> main").select(
-        "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("component").alias("c_a"))
-    most = F.least("s_a", "shared")
-    pairs = left.join(of, "bucket").where(
+    minor = of.join(main, "bucket").where("component <> main").select("id").distinct()
+    left = prefix.join(minor, "id", "left_semi").select(
+        "token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
+    # As the first common shingle of both, it leaves so many that can be common.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    pairs = left.join(prefix, "token").where(
         (F.col("c_a") != F.col("component")) & linked(most, F.col("n_a"), F.col("n"), percent))
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

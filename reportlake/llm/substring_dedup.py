@@ -19,37 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, recompress, sieve
+from reportlake.llm.packed import BLOBS, by_document, dealt, gathered, per_document, shares
 from reportlake.llm.work import stored
 
 WINDOW = 20
-LOW32 = np.uint64(0xFFFFFFFF)
-BLOBS = "part int, a binary, b binary, c binary, d binary"
-
-
-def _shares(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys & LOW32) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def _dealt(share: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row per share with its rows of every column, packed."""
-    order = np.argsort(share, kind="stable")
-    edges = np.searchsorted(share[order], np.arange(parts + 1))
-    rows = [k for k in range(parts) if edges[k] < edges[k + 1]]
-    packed = [pa.array([c[order[edges[k]:edges[k + 1]]].tobytes() for k in rows], pa.binary()) for c in columns]
-    packed += [pa.array([b""] * len(rows), pa.binary())] * (4 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *packed], ["part", "a", "b", "c", "d"])
-
-
-def _gathered(stream, *types: str) -> list[np.ndarray]:
-    held = [[np.zeros(0, t)] for t in types]
-    for batch in stream:
-        for into, name, kind in zip(held, "abcd", types):
-            into += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
-    return [np.concatenate(x) for x in held]
-
-
-def _by_document(parts: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    return _dealt(_shares(arrays.mix(ids.view(np.uint64)), parts), parts, ids, values)
 
 
 def _windows(words: arrays.Words, size: int):
@@ -76,8 +49,8 @@ def _keys(parts: int, size: int):
                 head = np.r_[True, keys[1:] != keys[:-1]]
                 many = np.add.reduceat(np.ones(len(keys), np.int64), np.flatnonzero(head)) > 1
                 repeated = many[np.cumsum(head) - 1]
-                yield _dealt(_shares(keys[head], parts), parts, keys[head], doc[head], many.astype(np.int8))
-                own = _by_document(parts, doc[repeated], keys[repeated])
+                yield dealt(shares(keys[head], parts), parts, keys[head], doc[head], many.astype(np.int8))
+                own = by_document(parts, doc[repeated], keys[repeated])
                 yield own.set_column(0, "part", pa.array(-1 - np.asarray(own.column("part")), pa.int32()))
 
     return run
@@ -94,7 +67,7 @@ def _repeated_keys(parts: int):
                 rows = batch.filter(pa.array(known))
                 yield rows.set_column(0, "part", pa.array(-1 - np.asarray(rows.column("part")), pa.int32()))
             held.append(batch.filter(pa.array(~known)))
-        keys, doc, many = _gathered(held, "<u8", "<i8", "i1")
+        keys, doc, many = gathered(held, "<u8", "<i8", "i1")
         if len(keys):
             order = np.argsort(keys, kind="stable")
             keys, doc, many = keys[order], doc[order], many[order]
@@ -102,22 +75,7 @@ def _repeated_keys(parts: int):
             count = np.diff(np.append(head, len(keys)))
             # Where a slice had the key more than once, its own documents know already.
             other = np.repeat((count > 1) | (np.maximum.reduceat(many, head) > 0), count) & (many == 0)
-            yield _by_document(parts, doc[other], keys[other])
-
-    return run
-
-
-def _per_document(kind: str):
-    def run(stream):
-        ids, values = _gathered(stream, "<i8", kind)
-        order = np.lexsort((values, ids))
-        ids, values = ids[order], values[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (values[1:] != values[:-1])
-        ids, values = ids[new], values[new]
-        head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[head]), arrays.binary_rows(values, np.append(head, len(ids)))], ["id", "v"])
+            yield by_document(parts, doc[other], keys[other])
 
     return run
 
@@ -155,8 +113,8 @@ def _hashed(parts: int, size: int):
                 head = np.r_[True, (value[1:] != value[:-1]) | (key[1:] != key[:-1])][: len(value)]
                 lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
                 later = ~head & ((doc != doc[lead]) | (at != at[lead]))
-                yield _dealt(_shares(key[head], parts), parts, key[head], value[head], doc[head], at[head].astype(np.int32))
-                own = _by_document(parts, doc[later], at[later].astype(np.int32))
+                yield dealt(shares(key[head], parts), parts, key[head], value[head], doc[head], at[head].astype(np.int32))
+                own = by_document(parts, doc[later], at[later].astype(np.int32))
                 yield own.set_column(0, "part", pa.array(-1 - np.asarray(own.column("part")), pa.int32()))
 
     return run
@@ -173,14 +131,14 @@ def _later(parts: int):
                 rows = batch.filter(pa.array(known))
                 yield rows.set_column(0, "part", pa.array(-1 - np.asarray(rows.column("part")), pa.int32()))
             held.append(batch.filter(pa.array(~known)))
-        key, value, doc, at = _gathered(held, "<u8", "<u8", "<i8", "<i4")
+        key, value, doc, at = gathered(held, "<u8", "<u8", "<i8", "<i4")
         if len(key):
             order = np.lexsort((at, doc, key, value))
             key, value, doc, at = key[order], value[order], doc[order], at[order]
             head = np.r_[True, (value[1:] != value[:-1]) | (key[1:] != key[:-1])]
             lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
             later = (doc != doc[lead]) | (at != at[lead])
-            yield _by_document(parts, doc[later], at[later])
+            yield by_document(parts, doc[later], at[later])
 
     return run
 
@@ -241,12 +199,12 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("id is not null").mapInArrow(_keys(parts, size), BLOBS)
     repeated = named.repartition(parts, "part").mapInArrow(_repeated_keys(parts), BLOBS)
-    wanted = stored(repeated.repartition(parts, "part").mapInArrow(_per_document("<u8"), "id bigint, v binary"), "keys")
+    wanted = stored(repeated.repartition(parts, "part").mapInArrow(per_document("<u8"), "id bigint, v binary"), "keys")
     bits = spark.sparkContext.broadcast(sieve.build(wanted, "id"))
     texts = docs.mapInArrow(_candidates(bits), "id bigint, text string").join(wanted, "id")
     hashed = texts.mapInArrow(_hashed(parts, size), BLOBS)
     later = hashed.repartition(parts, "part").mapInArrow(_later(parts), BLOBS)
-    return stored(later.repartition(parts, "part").mapInArrow(_per_document("<i4"), "id bigint, v binary"), "starts")
+    return stored(later.repartition(parts, "part").mapInArrow(per_document("<i4"), "id bigint, v binary"), "starts")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
