@@ -31,7 +31,7 @@ def opens_chunk(document_type: Column, block_type: Column) -> Column:
 
 
 def oversized_documents(blocks: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """(document_id, size) of documents that are refused."""
+    """(document_id, size) of documents above an upload limit; packing itself has none."""
     sizes = blocks.groupBy("document_id").agg(
         F.sum(F.octet_length(content(blocks)).cast("bigint")).alias("size")
     )
@@ -60,18 +60,15 @@ def _group_numbers(config: Chunking):
     return numbers
 
 
-def pack(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking(),
-         limit: int = MAX_FILE_BYTES) -> DataFrame:
+def pack(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """Groups of blocks: one row per group with its blocks in order.
 
     documents (document_id, document_type, …) gives the strategy. One shuffle by document; the
     later grouping reuses that partitioning."""
-    refused = oversized_documents(blocks, limit).select("document_id")
     kinds = documents.select("document_id", "document_type")
     table = F.col("table")
     rows = (
         blocks.filter(F.col("block_type") != PAGE_BREAK)
-        .join(refused, "document_id", "left_anti")
         .join(kinds, "document_id")
         .withColumn("content", content(blocks))
     )
@@ -155,10 +152,9 @@ def split_text(body: Column, config: Chunking = Chunking()) -> Column:
     return F.when(long, segments(F.when(long, body))).otherwise(F.array(body))
 
 
-def chunk_documents(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking(),
-                    limit: int = MAX_FILE_BYTES) -> DataFrame:
+def chunk_documents(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """Chunks with metadata; later segments of a group point to its first one."""
-    groups = pack(blocks, documents, config, limit).withColumn(
+    groups = pack(blocks, documents, config).withColumn(
         "body", render_group(F.col("blocks"))
     ).filter("body <> ''")
     described = groups.select(

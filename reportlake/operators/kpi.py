@@ -19,7 +19,7 @@ COMPLETED = ("COMPLETED_ON_TIME", "COMPLETED_LATE")
 
 
 def _value(name: str) -> Column:
-    return F.col(f"_n_{name}").cast("decimal(18,4)")
+    return F.col(f"_n_{name}").try_cast("decimal(24,4)")
 
 
 def _percent(part: Column, whole: Column) -> Column:

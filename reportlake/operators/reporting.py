@@ -45,15 +45,20 @@ def report_lines(reports: DataFrame, records: DataFrame | None = None) -> DataFr
 
     reports: report_id, domain, classification, period_label, organization_name, values (map of
     field to text), issues (array of struct). records: (report_id, record_no, fields map) in long
-    form, because a report may have any number of them. Official reports have no draft."""
+    form, because a report may have any number of them. Without a label the period's start is shown,
+    where there is such a column. Official reports have no draft."""
     drafted = reports.filter(F.col("classification") == SYNTHETIC)
     line = lambda section, ord_, label, value: F.struct(
         F.lit(section).alias("section"), ord_.cast("int").alias("ord"),
         label.cast("string").alias("label"), value.cast("string").alias("value"))
     none = F.lit(None).cast("string")
     header = [line("header", F.lit(0), none, F.lit(TITLE)), line("header", F.lit(1), none, F.lit(MARK))]
+    shown = {c: F.col(c) for _, c in HEADER_LABELS}
+    if "period_start" in reports.columns:
+        period = F.nullif(F.col("period_label"), F.lit(""))
+        shown["period_label"] = F.coalesce(period, F.col("period_start").cast("string"))
     header += [
-        line("header", F.lit(i), F.lit(label), F.col(c))
+        line("header", F.lit(i), F.lit(label), shown[c])
         for i, (label, c) in enumerate(HEADER_LABELS, 2)
     ]
     values = F.transform(

@@ -289,17 +289,21 @@ COMPARISONS = ("equal", "not_equal", "greater_than", "greater_or_equal", "less_t
 
 
 def arithmetic(operator: str, left: Column, right: Column) -> Column:
-    """Result of a whitelisted operation; null for division by zero."""
+    """Result of a whitelisted operation; null for division by zero and beyond 28 digits."""
     if operator not in ARITHMETIC:
         raise ValueError(f"unknown operator: {operator}")
-    left, right = left.cast("decimal(18,4)"), right.cast("decimal(18,4)")
+    narrow = [v.try_cast("decimal(18,4)") for v in (left, right)]
+    left, right = left.try_cast("decimal(28,10)"), right.try_cast("decimal(28,10)")
+    # A product of narrow factors keeps all of its digits.
+    exact = (narrow[0] == left) & (narrow[1] == right)
     result = {
-        "add": lambda: left + right,
-        "subtract": lambda: left - right,
-        "multiply": lambda: left * right,
+        "add": lambda: F.try_add(left, right),
+        "subtract": lambda: F.try_subtract(left, right),
+        "multiply": lambda: F.when(exact, F.try_multiply(*narrow).cast("decimal(38,10)")).otherwise(
+            F.try_multiply(left, right).try_cast("decimal(38,10)")),
         "divide": lambda: F.try_divide(left, right),
     }[operator]()
-    return result.cast("decimal(38,10)")
+    return result.try_cast("decimal(38,10)")
 
 
 def compare(operator: str, left: Column, right: Column, x: Column, y: Column) -> Column:

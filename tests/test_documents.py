@@ -98,11 +98,11 @@ def test_long_groups_are_split_with_parents(spark):
     assert at == len(whole)
 
 
-def test_oversized_documents_are_refused(spark):
+def test_oversized_documents_are_named_and_still_packed(spark):
     df = paragraphs(spark, "big", ["x" * 50]).unionByName(paragraphs(spark, "small", ["y"]))
     both = kinds(spark, "big", "legal").unionByName(kinds(spark, "small", "legal"))
     assert [r[0] for r in chunks.oversized_documents(df, 20).select("document_id").collect()] == ["big"]
-    assert {r["document_id"] for r in chunks.chunk_documents(df, both, limit=20).collect()} == {"small"}
+    assert {r["document_id"] for r in chunks.chunk_documents(df, both).collect()} == {"small", "big"}
 
 
 def test_page_and_word_blocks(spark):
