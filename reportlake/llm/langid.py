@@ -9,10 +9,10 @@ a text whose two best codewords are close is flagged as ambiguous."""
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays
-from reportlake.llm.work import stored
+from reportlake.llm.work import first_of_each, stored
 
 BITS = 15
 SIZE = 1 << BITS
@@ -161,10 +161,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     bounded sample, reach the driver."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")
-    )
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.withColumn("turn", turn).where(F.col("turn") <= per_language).select("id", F.col("turn") % 2)
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    chosen = first_of_each(rows, "lang", per_language).select("id", F.col("turn") % 2)
     chosen = chosen.toDF("id", "half").dropDuplicates(["id"])
     source = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     source = source.where("lang is not null and text is not null")

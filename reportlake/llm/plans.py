@@ -40,7 +40,7 @@ def op3_toxicity(spark, folder):
     """Toxicity of every document, learned from the labels of the rows that are not held out."""
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    field = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id").where(~held_out("doc_id")))
+    field = toxicity.fit(docs, labels.where(~held_out("doc_id")))
     return toxicity.score(docs, field).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans",

@@ -10,10 +10,10 @@ logistic function of its marginals; runs of tokens of high marginal are its offe
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays
-from reportlake.llm.work import stored
+from reportlake.llm.work import first_of_each, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -201,20 +201,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return beta
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         per_label: int = TRAIN_PER_LABEL) -> Field:
-    """Train on at most `per_label` documents of each label (1 toxic, 0 not; others are left out).
-    Without documents of both labels every score is near 0."""
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.withColumn("turn", turn).where(F.col("turn") <= per_label).select("id", "label").dropDuplicates(["id"])
+    """Train on at most `per_label` documents of each label (1 toxic, 0 not; others are left out) of
+    `labels`, which names documents by the same id. Without both labels every score is near 0."""
+    spark = docs.sparkSession
+    rows = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    chosen = first_of_each(rows, "label", per_label).select("id", "label").dropDuplicates(["id"])
     rates = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     field = Field()
     if len(rates) < 2:
         return field
     # The broadcast side has at most 2 * per_label rows.
-    source = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = stored(source.join(F.broadcast(chosen), "id").select("text", "label").repartition(16), "sample")
     counts = _summed(sample, _document_counts).reshape(2, SIZE + 1)
     docs = counts[:, SIZE]

@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +29,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(column):
-    """Lower-case A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def first_of_each(rows: DataFrame, group: str, n: int, salts: int = 32) -> DataFrame:
+    """The n rows of each group with the smallest hash of their `id`, numbered by `turn`. A group is
+    first cut down to n rows in each of its salted parts, so one task sees at most salts * n of it."""
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    salt = F.pmod(F.col("h"), F.lit(salts))
+    part = F.row_number().over(Window.partitionBy(group, salt).orderBy("h", "id"))
+    rows = rows.withColumn("part", part).where(F.col("part") <= n)
+    turn = F.row_number().over(Window.partitionBy(group).orderBy("h", "id"))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n)
 
 
 def held_out(id_column):

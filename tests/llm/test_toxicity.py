@@ -39,7 +39,7 @@ def corpus(n, seed):
 
 def test_learns_from_document_labels(spark):
     train = spark.createDataFrame(list(corpus(400, 1)), "doc_id bigint, text string, toxic int")
-    field = toxicity.fit(train)
+    field = toxicity.fit(train, train)
     rows = [(i, t, None, "s", 0) for i, t, _ in corpus(100, 2)]
     odd = [(1000, None, None, "s", 0), (1001, "", None, "s", 0), (None, "x é 12 rotten", None, "s", 0), (1003, "ba " * 80_000 + "vilest", None, "s", 0)]
     got = {r.doc_id: r for r in toxicity.score(documents(spark, rows + odd).selectExpr("*", "1 as score", "2 as spans"), field).collect()}
@@ -51,6 +51,6 @@ def test_learns_from_document_labels(spark):
 
 def test_without_labels(spark):
     empty = spark.createDataFrame([(1, "a b", 0), (2, None, None)], "doc_id bigint, text string, toxic int")
-    field = toxicity.fit(empty)
+    field = toxicity.fit(empty, empty)
     assert all(r.score < 0.3 for r in toxicity.score(empty, field).collect())
     assert toxicity.score(documents(spark, []), field).count() == 0
