@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reportlake.llm import arrays
+from reportlake.llm import arrays, sieve
 from reportlake.llm.work import stored
 
 WORDS = 5
@@ -152,4 +152,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, shar
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     gone = contaminated(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(stored(gone, "leaks"), id_col, "left_anti").select(*docs.columns)
+    return sieve.without(docs, stored(gone, "leaks"), id_col)

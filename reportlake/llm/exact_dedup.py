@@ -189,4 +189,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return sieve.without(docs, stored(gone, "copies"), id_col)

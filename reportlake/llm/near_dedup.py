@@ -268,4 +268,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, the smallest id, with all its columns. Rows without id stay."""
     gone = near_groups(docs, id_col, text_col, **options).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return sieve.without(docs, stored(gone, "copies"), id_col)

@@ -4,6 +4,7 @@ It only saves a shuffle: rows it passes are always joined exactly afterwards, so
 filter costs time and never changes a result."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BITS = 1 << 24
@@ -26,3 +27,21 @@ def build(df: DataFrame, column: str) -> np.ndarray:
 def test(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64) & np.uint64(BITS - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id is not in `gone`, a stored table, with all columns. Rows that the
+    filter clears stay where they are; only the few others are shuffled and compared exactly. A null
+    id is in no table."""
+    bits = docs.sparkSession.sparkContext.broadcast(build(gone, id_col))
+
+    def part(hit: bool):
+        def run(stream):
+            for batch in stream:
+                ids = batch.column(id_col).cast(pa.int64())
+                maybe = test(bits.value, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(maybe == hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).unionAll(part(True).join(gone, id_col, "left_anti").select(*docs.columns))
