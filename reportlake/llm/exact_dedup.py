@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve
-from reportlake.llm.work import stored
+from reportlake.llm.work import settled, stored
 
 LOAD = 0.75
 
@@ -188,5 +188,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col)
-    return sieve.without(docs, stored(gone, "copies"), id_col)
+    gone = settled(docs.sparkSession, lambda: exact_groups(docs, id_col, text_col).where("not kept").select(id_col), "copies")
+    return sieve.without(docs, gone, id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reportlake.llm import arrays, sieve
 from reportlake.llm.components import components
 from reportlake.llm.packed import BLOBS, by_document, dealt, gathered, per_document, shares
-from reportlake.llm.work import stored
+from reportlake.llm.work import settled, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -267,5 +267,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, the smallest id, with all its columns. Rows without id stay."""
-    gone = near_groups(docs, id_col, text_col, **options).where("not kept").select(id_col)
-    return sieve.without(docs, stored(gone, "copies"), id_col)
+    def copies():
+        return near_groups(docs, id_col, text_col, **options).where("not kept").select(id_col)
+
+    return sieve.without(docs, settled(docs.sparkSession, copies, "copies"), id_col)

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -21,14 +22,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable, name: str = "table"):
+    """What `make` returns, without the tables that it stored on the way: those are removed. A
+    DataFrame is written first, as it reads them."""
+    _scratch.append([])
+    try:
+        out = make()
+        if isinstance(out, DataFrame):
+            path, schema = new_path(spark, name), out.schema
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+        return out
+    finally:
+        for path in _scratch.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def first_of_each(rows: DataFrame, group: str, n: int, salts: int = 32) -> DataFrame:
     """The n rows of each group with the smallest hash of their `id`, numbered by `turn`. A group is
     first cut down to n rows in each of its salted parts, so one task sees at most salts * n of it."""
