@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup
 from reportlake.llm.plans import TOKENIZER, table
-from reportlake.llm.work import held_out, stored
+from reportlake.llm.work import held_out, settled, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without text or letters go."""
-    model = langid.fit(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
+    model = settled(spark, lambda: langid.fit(docs.where(~held_out("doc_id")), "doc_id", "text", "lang"))
     return langid.keep(docs, model)
 
 
