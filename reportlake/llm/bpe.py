@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.llm import arrays
 from reportlake.llm.lexicon import IntMap, Transducer
+from reportlake.llm.work import lean
 
 LEXICON_WORDS = 50_000
 SUMMARY_WORDS = 50_000
@@ -204,7 +205,7 @@ def _heavy(limit: int):
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words over all documents, sorted; at most `words` reach the driver."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_heavy(SUMMARY_WORDS), "word binary, n bigint")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_heavy(SUMMARY_WORDS)), "word binary, n bigint")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     return sorted(bytes(r["word"]) for r in top.select("word").collect())
 
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     source = docs.select(*keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in source.drop("text").dtypes)
     run = _encode(spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(lexicon))
-    return source.mapInArrow(run, f"{schema}, ids array<int>")
+    return source.mapInArrow(lean(run), f"{schema}, ids array<int>")
 
 
 def _decode(vocabulary_text, id_name):
@@ -304,7 +305,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     with open(path, encoding="utf-8") as file:
         text = encoded.sparkSession.sparkContext.broadcast(file.read())
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.drop(ids_col).dtypes)
-    return encoded.mapInArrow(_decode(text, ids_col), f"{schema}, text string")
+    return encoded.mapInArrow(lean(_decode(text, ids_col)), f"{schema}, text string")
 
 
 def ids_digest(ids: Column) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reportlake.llm.work import stored
+from reportlake.llm.work import lean, stored
 
 
 def _forest(stream):
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Every id hooks to its smallest neighbour, chains are halved until all point to their end, and
     links between the ends remain; each round at least halves the ids that still have links."""
-    edges = stored(links.where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
+    edges = stored(links.where("a <> b").mapInArrow(lean(_forest), "a bigint, b bigint").distinct(), "links")
     maps = []
     while edges.take(1):
         hooks = stored(edges.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), "hooks")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve
-from reportlake.llm.work import stored
+from reportlake.llm.work import lean, stored
 
 WORDS = 5
 SHARE = 0.8
@@ -142,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, shar
         index = Index([(r["item"], r["text"]) for r in part.collect()], words, share)
         if index.ids:
             sent = spark.sparkContext.broadcast(index)
-            out = out.unionAll(source.mapInArrow(_search(sent), "id bigint, item bigint, n_shingles bigint, n_found bigint"))
+            out = out.unionAll(source.mapInArrow(lean(_search(sent)), "id bigint, item bigint, n_shingles bigint, n_found bigint"))
     best = F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found"))
     return out.groupBy("id", "item").agg(best.alias("b")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_shingles", "b.n_found"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve
-from reportlake.llm.work import settled, stored
+from reportlake.llm.work import lean, settled, stored
 
 LOAD = 0.75
 
@@ -156,8 +156,8 @@ def _passing(bits):
 def counting_filter(fingerprints: DataFrame, parts: int | None = None) -> DataFrame:
     """Merged filters (part, filter) of a bigint column `fp`; the parts share the fingerprints out."""
     parts = parts or int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    built = fingerprints.select("fp").mapInArrow(_filters(parts), "part int, filter binary")
-    return built.repartition(parts, "part").mapInArrow(_merged, "part int, filter binary")
+    built = fingerprints.select("fp").mapInArrow(lean(_filters(parts)), "part int, filter binary")
+    return built.repartition(parts, "part").mapInArrow(lean(_merged), "part int, filter binary")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,10 +169,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    digests = stored(source.mapInArrow(_digest_rows, "id bigint, fp bigint, sha string"), "digests")
-    repeated = stored(counting_filter(digests).mapInArrow(_repeated, "fp bigint, n bigint"), "repeated")
+    digests = stored(source.mapInArrow(lean(_digest_rows), "id bigint, fp bigint, sha string"), "digests")
+    repeated = stored(counting_filter(digests).mapInArrow(lean(_repeated), "fp bigint, n bigint"), "repeated")
     bits = spark.sparkContext.broadcast(sieve.build(repeated, "fp"))
-    suspects = source.mapInArrow(_passing(bits), "id bigint, fp bigint, sha string, norm string").join(
+    suspects = source.mapInArrow(lean(_passing(bits)), "id bigint, fp bigint, sha string, norm string").join(
         repeated.select("fp"), "fp", "left_semi"
     )
     groups = suspects.groupBy("fp", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

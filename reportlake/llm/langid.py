@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays
-from reportlake.llm.work import first_of_each, stored
+from reportlake.llm.work import first_of_each, lean, stored
 
 BITS = 15
 SIZE = 1 << BITS
@@ -168,14 +168,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     source = source.where("lang is not null and text is not null")
     # The broadcast side has at most per_language rows for each language.
     sample = stored(source.join(F.broadcast(chosen), "id").select("text", "lang", "half").repartition(16), "sample")
-    counted = sample.where("half = 1").drop("half").mapInArrow(_counts, "lang string, counts binary").collect()
+    counted = sample.where("half = 1").drop("half").mapInArrow(lean(_counts), "lang string, counts binary").collect()
     langs = sorted({r["lang"] for r in counted})
     counts = np.zeros((len(langs), SIZE))
     for r in counted:
         counts[langs.index(r["lang"])] += np.frombuffer(r["counts"], "<i8")
     model = Model(langs, counts)
     sent = spark.sparkContext.broadcast(model)
-    held = sample.where("half = 0").drop("half").mapInArrow(_margins(sent), "lang string, margins array<double>").collect()
+    held = sample.where("half = 0").drop("half").mapInArrow(lean(_margins(sent)), "lang string, margins array<double>").collect()
     held = [r for r in held if r["lang"] in langs]
     bits = model.code.shape[1]
     model.calibrate([r["lang"] for r in held], np.array([r["margins"] for r in held], float).reshape(len(held), bits))
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     score 0. Rows are independent: repeated rows and null ids are kept. Other columns are ignored."""
     source = docs.select(id_col, F.col(text_col).alias("text"))
     run = _predict(docs.sparkSession.sparkContext.broadcast(model))
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(lean(run), f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -231,4 +231,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lang = next(iter(run(iter([plain])))).column("lang_pred")
             yield batch.filter(pa.compute.not_equal(lang, UNKNOWN)).select(names)
 
-    return source.mapInArrow(known, docs.schema)
+    return source.mapInArrow(lean(known), docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reportlake.llm import arrays, sieve
 from reportlake.llm.components import components
 from reportlake.llm.packed import BLOBS, by_document, dealt, gathered, per_document, shares
-from reportlake.llm.work import settled, stored
+from reportlake.llm.work import lean, settled, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -208,10 +208,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_sign(shingle, bands, rows), "id bigint, n bigint, d1 bigint, d2 bigint, bands binary"), "signed")
+    signed = stored(source.mapInArrow(lean(_sign(shingle, bands, rows)), "id bigint, n bigint, d1 bigint, d2 bigint, bands binary"), "signed")
     classes = stored(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
     chosen = signed.join(classes.where("id is not null"), ["d1", "d2", "n", "id"], "left_semi")
-    banded = chosen.select("id", "n", "bands").mapInArrow(_bands, "bucket bigint, id bigint, n bigint")
+    banded = chosen.select("id", "n", "bands").mapInArrow(lean(_bands), "bucket bigint, id bigint, n bigint")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = stored(banded.join(full, "bucket"), "buckets")
     central = placed.groupBy("id").agg(F.sum("members").alias("central"))
@@ -225,7 +225,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = near.groupBy("id").agg(F.max(F.struct("weight", -F.col("hub"))).alias("best"))
     star = stored(star.select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b")), "star")
     bits = spark.sparkContext.broadcast(sieve.build(placed, "id"))
-    sets = source.mapInArrow(_sets(shingle, bits), "id bigint, d1 bigint, d2 bigint, shingles array<bigint>")
+    sets = source.mapInArrow(lean(_sets(shingle, bits)), "id bigint, d1 bigint, d2 bigint, shingles array<bigint>")
     wanted = chosen.select("id", "d1", "d2").join(placed.select("id").distinct(), "id", "left_semi")
     sets = stored(sets.join(wanted, ["id", "d1", "d2"], "left_semi").select("id", "shingles"), "sets")
     links = stored(_verified(star, sets, percent), "links")
@@ -237,10 +237,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = stored(of.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = stored(sets.join(of.select("id", "component").distinct(), "id"), "open")
-    rare = rest.mapInArrow(_keys(parts), BLOBS).repartition(parts, "part").mapInArrow(_rare(parts), BLOBS)
-    rare = rare.repartition(parts, "part").mapInArrow(per_document("<u8"), "id bigint, v binary")
+    rare = rest.mapInArrow(lean(_keys(parts)), BLOBS).repartition(parts, "part").mapInArrow(lean(_rare(parts)), BLOBS)
+    rare = rare.repartition(parts, "part").mapInArrow(lean(per_document("<u8")), "id bigint, v binary")
     prefix = stored(rest.join(rare, "id", "left").mapInArrow(
-        _prefixes(percent), "id bigint, component bigint, n bigint, at bigint, token bigint"), "prefixes")
+        lean(_prefixes(percent)), "id bigint, component bigint, n bigint, at bigint, token bigint"), "prefixes")
     main = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("bucket").agg(
         F.max_by("component", F.struct("members", "component")).alias("main"))
     minor = of.join(main, "bucket").where("component <> main").select("id").distinct()

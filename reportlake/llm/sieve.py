@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from reportlake.llm.work import lean
+
 BITS = 1 << 24
 
 
@@ -42,6 +44,6 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
                 maybe = test(bits.value, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
                 yield batch.filter(pa.array(maybe == hit))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
 
     return part(False).unionAll(part(True).join(gone, id_col, "left_anti").select(*docs.columns))

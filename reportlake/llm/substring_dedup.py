@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, recompress, sieve
 from reportlake.llm.packed import BLOBS, by_document, dealt, gathered, per_document, shares
-from reportlake.llm.work import stored
+from reportlake.llm.work import lean, stored
 
 WINDOW = 20
 
@@ -197,14 +197,14 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     document of smaller id or earlier in the same one."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.where("id is not null").mapInArrow(_keys(parts, size), BLOBS)
-    repeated = named.repartition(parts, "part").mapInArrow(_repeated_keys(parts), BLOBS)
-    wanted = stored(repeated.repartition(parts, "part").mapInArrow(per_document("<u8"), "id bigint, v binary"), "keys")
+    named = docs.where("id is not null").mapInArrow(lean(_keys(parts, size)), BLOBS)
+    repeated = named.repartition(parts, "part").mapInArrow(lean(_repeated_keys(parts)), BLOBS)
+    wanted = stored(repeated.repartition(parts, "part").mapInArrow(lean(per_document("<u8")), "id bigint, v binary"), "keys")
     bits = spark.sparkContext.broadcast(sieve.build(wanted, "id"))
-    texts = docs.mapInArrow(_candidates(bits), "id bigint, text string").join(wanted, "id")
-    hashed = texts.mapInArrow(_hashed(parts, size), BLOBS)
-    later = hashed.repartition(parts, "part").mapInArrow(_later(parts), BLOBS)
-    return stored(later.repartition(parts, "part").mapInArrow(per_document("<i4"), "id bigint, v binary"), "starts")
+    texts = docs.mapInArrow(lean(_candidates(bits)), "id bigint, text string").join(wanted, "id")
+    hashed = texts.mapInArrow(lean(_hashed(parts, size)), BLOBS)
+    later = hashed.repartition(parts, "part").mapInArrow(lean(_later(parts)), BLOBS)
+    return stored(later.repartition(parts, "part").mapInArrow(lean(per_document("<i4")), "id bigint, v binary"), "starts")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -219,7 +219,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     starts = later_windows(source, size)
     bits = spark.sparkContext.broadcast(sieve.build(starts, "id"))
-    ready = source.mapInArrow(_ready(bits), "id bigint, text string, n_words bigint, kept string")
+    ready = source.mapInArrow(lean(_ready(bits)), "id bigint, text string, n_words bigint, kept string")
     done = ready.join(starts, "id", "left").mapInArrow(
-        _finish(size), "id bigint, n_words bigint, n_removed bigint, kept string")
+        lean(_finish(size)), "id bigint, n_words bigint, n_removed bigint, kept string")
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
