@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 reread as the next stage's docs. Every stage judges all that its predecessor kept."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.llm import bpe, decontaminate, exact_dedup, langid, near_dedup
@@ -10,27 +12,50 @@ from reportlake.llm.plans import TOKENIZER, table
 from reportlake.llm.work import held_out, settled, stored
 
 
+#: Bytes of the rows that go to a Python worker at once, where the session does not say.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def small_batches(stage):
+    """A stage whose texts travel in small batches: a batch lies in the executor and in its worker at the
+    same time, and what one stage took the next one finds taken."""
+
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name, size = BATCH_BYTES
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, size)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without text or letters go."""
     model = settled(spark, lambda: langid.fit(docs.where(~held_out("doc_id")), "doc_id", "text", "lang"))
     return langid.keep(docs, model)
 
 
+@small_batches
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last of equal documents."""
     return exact_dedup.drop_copies(docs)
 
 
+@small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies, by shingles of five words."""
     return near_dedup.drop_near_copies(docs)
 
 
+@small_batches
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
     return bpe.encode(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
