@@ -23,7 +23,7 @@ GRAMS = (1, 2, 3)
 SMOOTH = 0.5
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 # Bytes as n-grams see them: letters in lower case, other ASCII as a space, the rest unchanged.
 SEEN = np.arange(256, dtype=np.uint32)
