@@ -12,8 +12,9 @@ from reportlake.llm.plans import TOKENIZER, table
 from reportlake.llm.work import held_out, settled, stored
 
 
-#: Bytes of the rows that go to a Python worker at once, where the session does not say.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+#: Where the session does not say: bytes of the rows that go to a Python worker at once, and rows
+#: that the Parquet reader holds at once.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def small_batches(stage):
@@ -22,9 +23,9 @@ def small_batches(stage):
 
     @functools.wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name, size = BATCH_BYTES
-        if name not in spark.conf.getAll:
-            spark.conf.set(name, size)
+        for name, size in SMALL.items():
+            if name not in spark.conf.getAll:
+                spark.conf.set(name, size)
         return stage(spark, docs, sf_dir)
 
     return bounded
