@@ -1,15 +1,10 @@
-"""Text columns. Everything here runs in the JVM except `clean_text` on multi-line text.
+"""Text columns. Everything here runs in the JVM.
 
 Java regexes take the flag group `(?iU)` wherever Vietnamese letters or Unicode digits must match
 case-insensitively; `(?i)` alone folds ASCII only.
 """
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 # Character classes and patterns that decide results.
 WHITESPACE = r"[\s\x1c-\x1f]"  # under the flag U
@@ -74,13 +69,14 @@ UPPER_LINE = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
 TITLE_LINE = (
     r"^[^\p{Lu}\p{Lt}\p{Ll}]*(?:[\p{Lu}\p{Lt}]\p{Ll}*(?:[^\p{Lu}\p{Lt}\p{Ll}]+|$))+$"
 )
-# The same three guards for the line joiner, in Python's dialect.
-LEGAL_LINE_PY = (
-    r"^\s*(?:Phần|Chương|Mục|Điều|Khoản|Điểm)\s+[\wÀ-ỹ.-]+|^\s*\d+[.)]\s+|^\s*[a-zđ][.)]\s+"
+# Guards of the line joiner.
+LEGAL_LINE = (
+    r"(?iU)^\s*(?:(?:Phần|Chương|Mục|Điều|Khoản|Điểm)\s+[\p{L}\p{N}_\u00c0-\u1ef9.-]+|\d+[.)]\s+|[a-zđ][.)]\s+)"
 )
-DOCUMENT_NUMBER_PY = r"\b(?:Số|Số hiệu)\s*:\s*[\w./-]+"
-FILL_IN_PY = r"(?:\.{3,}|_{3,}|\[[^\]]+\]|\{[^}]+\})"
-SENTENCE_END_PY = r"[.!?:;…]\s*$"
+FILL_IN = r"\.{3,}|_{3,}|\[[^\]]+\]|\{[^}]+\}"
+SENTENCE_END = r"(?U)[.!?:;…]\s*$"
+LOWER_START = r"^\p{IsLowercase}"
+CAPITALS = r"^[^\p{IsLowercase}\p{Lt}]*\p{IsUppercase}[^\p{IsLowercase}\p{Lt}]*$"
 
 _TOKEN_SEPARATOR = "\x01"
 
@@ -311,44 +307,39 @@ def clean_line(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Cleaned block text; only texts that hold a line break are sent to Python."""
-    has_breaks = text.rlike(LINE_BREAK)
-    joined = _join_broken_lines(F.when(has_breaks, text))
-    return F.when(has_breaks, joined).otherwise(clean_line(text))
-
-
-def rejoin(text: str) -> str:
-    """Repair one text: blank runs, empty lines, and lines broken inside a sentence."""
-    flags = re.IGNORECASE
-    text = unicodedata.normalize("NFC", text).translate({0xA0: " ", 0x200B: None})
-    paragraphs: list[str] = []
-    for line in (part.strip() for part in re.sub(r"[ \t]+", " ", text).splitlines()):
-        before = paragraphs[-1] if paragraphs else ""
-        if not line:
-            if before:
-                paragraphs.append("")
-            continue
-        hyphen = before.endswith("-")
-        continues = before and (hyphen or line[0].islower())
-        if continues:
-            kept_apart = (
-                any(re.match(LEGAL_LINE_PY, x, flags) for x in (before, line))
-                or re.search(DOCUMENT_NUMBER_PY, before, flags)
-                or re.search(FILL_IN_PY, before + line)
-                or re.search(SENTENCE_END_PY, before)
-                or before.isupper()
-                or line.isupper()
-            )
-            if not kept_apart:
-                if hyphen and line[0].islower():
-                    paragraphs[-1] = before[:-1] + line
-                else:
-                    paragraphs[-1] = f"{before} {line}"
-                continue
-        paragraphs.append(line)
-    return "\n".join(paragraphs).strip()
-
-
-@F.pandas_udf(T.StringType())
-def _join_broken_lines(texts: pd.Series) -> pd.Series:
-    return texts.map(rejoin, na_action="ignore")
+    """Cleaned block text; lines broken inside a sentence are put together again."""
+    return F.when(text.rlike(LINE_BREAK), _mended(text)).otherwise(clean_line(text))
+
+
+def _mended(text: Column) -> Column:
+    """Paragraphs of a text of several lines.
+
+    The fold holds the finished paragraphs and the open one; a blank line is an empty open
+    paragraph, so further blank lines change nothing."""
+    even = F.regexp_replace(F.translate(nfc(text), "\u00a0\u200b", " "), r"[ \t]+", " ")
+    lines = F.transform(F.split(even, rf"\r\n|{LINE_BREAK}", -1), strip)
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+
+    def add(kept: Column, line: Column) -> Column:
+        done, open_ = kept["done"], kept["open"]
+        word_cut = open_.endswith("-") & line.rlike(LOWER_START)
+        glued = F.when(word_cut, F.concat(open_.substr(F.lit(1), F.length(open_) - 1), line))
+        return (
+            F.when((line == "") & (open_ == ""), kept)
+            .when(_goes_on(open_, line), state(done, glued.otherwise(F.concat_ws(" ", open_, line))))
+            .otherwise(state(F.concat(done, F.array(open_)), line))
+        )
+
+    start = state(F.array().cast("array<string>"), F.lit(""))
+    whole = lambda kept: F.array_join(F.concat(kept["done"], F.array(kept["open"])), "\n")
+    return strip(F.aggregate(lines, start, add, whole))
+
+
+def _goes_on(paragraph: Column, line: Column) -> Column:
+    """Whether a line continues the paragraph above it."""
+    broken = paragraph.endswith("-") | line.rlike(LOWER_START)
+    own_line = paragraph.rlike(LEGAL_LINE) | line.rlike(LEGAL_LINE)
+    complete = paragraph.rlike(DOCUMENT_NUMBER) | paragraph.rlike(SENTENCE_END)
+    form = F.concat(paragraph, line).rlike(FILL_IN)
+    title = paragraph.rlike(CAPITALS) | line.rlike(CAPITALS)
+    return (paragraph != "") & (line != "") & broken & ~(own_line | complete | form | title)

@@ -3,6 +3,8 @@
 Packing depends on the blocks before, so it sees a document as one array. That array is bounded:
 documents above the size limit are refused first, as at upload."""
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +21,8 @@ BOUNDARIES = {
     "template": ("template_section", "heading", "appendix"),
 }
 ISOLATED_TABLES = ("template",)
-SPLIT_MARKERS = ("\n\n", ". ", "; ")
+# A text is split at these, two characters each; they may overlap.
+SPLIT_AT, MARKER_SIZE = r"(?=\n\n|\. |; )", 2
 METADATA = ("heading_hierarchy", "article", "clause", "point", "parent_block_id")
 
 
@@ -125,28 +128,30 @@ def group_metadata(blocks: Column) -> dict[str, Column]:
     }
 
 
-def cut(body: str, config: Chunking) -> list[str]:
-    """Overlapping windows that end at a paragraph or sentence where one is near enough."""
-    pieces, begin = [], 0
-    while True:
-        end = begin + config.maximum
-        if end >= len(body):
-            pieces.append(body[begin:])
-            break
-        mark = max(body.rfind(m, begin, end) for m in SPLIT_MARKERS)
-        if mark > begin + config.target // 2:
-            end = mark + 1
-        pieces.append(body[begin:end])
-        begin = max(end - config.overlap, begin + 1)
-    return [piece.strip() for piece in pieces if piece.strip()]
+def windows(size: int, marks: list[int], config: Chunking) -> Iterator[tuple[int, int]]:
+    """(start, end) of overlapping windows over `size` characters; `marks` are the places of all
+    split markers in order. A window ends behind the first character of the last marker that lies
+    in it, if that leaves more than half of the target."""
+    start, least = 0, config.target // 2
+    while size - start > config.maximum:
+        room = bisect_right(marks, start + config.maximum - MARKER_SIZE)
+        near = marks[room - 1] - start if room else 0
+        length = near + 1 if near > least else config.maximum
+        yield start, start + length
+        start += max(length - config.overlap, 1)
+    yield start, size
 
 
 def split_text(body: Column, config: Chunking = Chunking()) -> Column:
-    """Segments of a text; only texts above the maximum are sent to Python."""
+    """Segments of a text; only texts above the maximum are split in Python. The marks of a text are
+    found once, so the work grows with its length."""
 
     @F.pandas_udf("array<string>")
     def segments(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: cut(b, config), na_action="ignore")
+        found = [[m.start() for m in re.finditer(SPLIT_AT, b or "")] for b in bodies]
+        ranges = [windows(len(b or ""), marks, config) for b, marks in zip(bodies, found)]
+        return pd.Series([[p for x, y in own if (p := b[x:y].strip())] if b else []
+                          for b, own in zip(bodies, ranges)], dtype=object)
 
     long = F.length(body) > config.maximum
     return F.when(long, segments(F.when(long, body))).otherwise(F.array(body))

@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -91,10 +92,10 @@ def test_long_groups_are_split_with_parents(spark):
     assert all(r["content"].endswith(".") for r in out)
     whole, config = (sentence * 150).strip(), Chunking()
     at = 0
-    for piece in chunks.cut(whole, config):
-        place = whole.find(piece, max(0, at - config.overlap - 5))
-        assert 0 <= place <= at
-        at = place + len(piece)
+    marks = [m.start() for m in re.finditer(chunks.SPLIT_AT, whole)]
+    for begin, end in chunks.windows(len(whole), marks, config):
+        assert begin <= at < end <= begin + config.maximum
+        at = end
     assert at == len(whole)
 
 
