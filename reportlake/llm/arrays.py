@@ -36,6 +36,10 @@ class Powers:
         self.base, self.inverse = base, U64(pow(int(base), -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        # Functions take this along to the workers; the 32 MB of powers are made anew there.
+        return type(self), (self.base,)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, SLICE_BYTES + 1)

@@ -66,3 +66,15 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, S.drop_repeats(documents(spark, rows)).collect()), key=repr)
     assert got == sorted([(5, 25, 0, passage)] * 2 + [(None, 25, 0, passage), (7, 26, 25, "lead")], key=repr)
     assert S.drop_repeats(documents(spark, [])).count() == 0
+
+
+def test_worker_functions_travel_without_the_power_table():
+    import pickle
+
+    from reportlake.llm import arrays
+
+    powers = arrays.Powers(arrays.BASE)
+    up, down = powers.get(5)
+    other = pickle.loads(pickle.dumps(powers))
+    assert len(pickle.dumps(powers)) < 10_000
+    assert (other.get(5)[0] == up).all() and (other.get(5)[1] == down).all()
