@@ -86,7 +86,8 @@ def status_rollup(reports: DataFrame, issues: DataFrame, key: str = "report_id")
 
 
 def with_numbers(df: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Fields as numbers under `_n_<field>`; a field the table lacks is missing everywhere.
+    """Fields as numbers under `_n_<field>`, and under `_null_<field>` whether they hold nothing at
+    all; a field the table lacks is missing everywhere.
 
     Integers and decimals are taken as they are, text is parsed once per row."""
     types = dict(df.dtypes)
@@ -98,11 +99,13 @@ def with_numbers(df: DataFrame, fields: Iterable[str]) -> DataFrame:
         exact = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
         return F.col(field) if exact else to_decimal(F.col(field))
 
-    return df.withColumns({f"_n_{f}": number(f) for f in fields})
+    absent = lambda f: F.col(f).isNull() if f in types else F.lit(True)
+    fields = list(fields)
+    return df.withColumns({f"_n_{f}": number(f) for f in fields} | {f"_null_{f}": absent(f) for f in fields})
 
 
 def without_numbers(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_n_")])
+    return df.drop(*[c for c in df.columns if c.startswith(("_n_", "_null_"))])
 
 
 class _Numbers(dict):
@@ -119,15 +122,25 @@ def _total(v: dict[str, Column], plus: tuple[str, ...], minus: tuple[str, ...] =
     return total
 
 
-def _required(v: dict[str, Column], fields, code: str) -> list[Rule]:
-    return [Rule(code, v[f].isNull(), f, message="Thiếu trường bắt buộc.") for f in fields]
+def _required(missing, fields, code: str) -> list[Rule]:
+    """A rule per field; `missing` says of a field whether it is."""
+    return [Rule(code, missing(f), f, message="Thiếu trường bắt buộc.") for f in fields]
+
+
+def _no_number(field: str) -> Column:
+    return F.col(f"_n_{field}").isNull()
+
+
+def _no_value(field: str) -> Column:
+    """Null as read: text that is no number is a value too."""
+    return F.col(f"_null_{field}")
 
 
 def canonical_population_rules() -> list[Rule]:
     v = _Numbers()
     rules = []
     for f in CANONICAL_FIELDS:
-        rules += _required(v, [f], "POP_REQUIRED_FIELD_MISSING")
+        rules += _required(_no_number, [f], "POP_REQUIRED_FIELD_MISSING")
         rules.append(
             Rule("POP_NEGATIVE_VALUE", v[f] < 0, f,
                  message="Chỉ tiêu phải là số nguyên không âm.")
@@ -162,7 +175,7 @@ def legacy_population_rules() -> list[Rule]:
     expected = _total(v, ("population_start", "arrivals", "births"), ("departures", "deaths"))
     parts = "Tổng thành phần không khớp dân số cuối kỳ."
     total = v["population_total"]
-    return _required(v, LEGACY_POPULATION_FIELDS, "REQUIRED_FIELD_MISSING") + [
+    return _required(_no_value, LEGACY_POPULATION_FIELDS, "REQUIRED_FIELD_MISSING") + [
         Rule("POP_BALANCE_MISMATCH", expected != total, "population_total",
              message="Dân số cuối kỳ không khớp biến động."),
         Rule("POP_GENDER_TOTAL_MISMATCH", v["male"] + v["female"] != total,
@@ -179,7 +192,7 @@ def complaint_rules() -> list[Rule]:
     types = _total(v, ("complaint_cases", "denunciation_cases", "petition_cases"))
     authority = _total(v, ("within_authority", "outside_authority"))
     left = _total(v, ("beginning_cases", "received_cases"), ("resolved_cases",))
-    return _required(v, COMPLAINT_FIELDS, "REQUIRED_FIELD_MISSING") + [
+    return _required(_no_value, COMPLAINT_FIELDS, "REQUIRED_FIELD_MISSING") + [
         Rule("COM_TYPE_TOTAL_MISMATCH", types != received, "received_cases", message=parts),
         Rule("COM_AUTHORITY_TOTAL_MISMATCH", authority != received, "received_cases",
              message=parts),
@@ -189,8 +202,14 @@ def complaint_rules() -> list[Rule]:
 
 
 def validate_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:
-    """Task records with `issues`; `as_of` is the end of their reporting period."""
-    judged = with_numbers(tasks, ["progress_percent"]).withColumn("issues", issues_of(task_rules(as_of)))
+    """Task records with `issues`; `as_of` is the end of their reporting period.
+
+    Where the records tell the `classification` of their report, only synthetic ones are judged;
+    the others carry the one warning that no official rules are there."""
+    rules = task_rules(as_of)
+    if "classification" in tasks.columns:
+        rules = official_gate(rules, F.col("classification"))
+    judged = with_numbers(tasks, ["progress_percent"]).withColumn("issues", issues_of(rules))
     return without_numbers(judged)
 
 
