@@ -164,3 +164,19 @@ def test_empty_reports_have_a_no_issue_line(spark):
     assert [r["value"] for r in lines if r["section"] == "issues"] == [reporting.NO_ISSUES]
     assert [(r["label"], r["value"]) for r in lines if r["section"] == "values"] == [
         ("Đăng ký thường trú đến", "4"), ("x", "")]
+
+
+def test_text_in_a_required_field_is_no_missing_field(spark):
+    report = spark.sql("""select 'r' as report_id, 'SYNTHETIC_TEST_DATA' as classification, 'không rõ' as received_cases,
+        cast(null as string) as resolved_cases""")
+    missing = {i["field_path"] for i in rules.validate_complaints(report).first()["issues"]
+               if i["code"] == "REQUIRED_FIELD_MISSING"}
+    assert "received_cases" not in missing and "resolved_cases" in missing
+
+
+def test_official_tasks_get_one_warning(spark):
+    task = spark.sql("""select 'NV-1' as task_id, '' as lead_unit, '120' as progress_percent, date'2026-01-05' as assignment_date,
+        cast(null as date) as completion_date, date'2026-01-02' as due_date, '' as status, '' as completion_result,
+        'OFFICIAL_CANDIDATE' as classification""")
+    found = rules.validate_tasks(task, F.lit("2026-01-31").cast("date")).first()["issues"]
+    assert [i["code"] for i in found] == ["OFFICIAL_RULES_UNAVAILABLE"]
