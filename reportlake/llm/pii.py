@@ -43,6 +43,10 @@ BRACKET = re.compile(rf"\s*[\[({{<]\s*(?:({_at}|@)|({_dot}|\.))\s*[\])}}>]\s*",
 BARE = re.compile(
     rf"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+(?:{_at})\s+)[A-Za-z0-9-]+((?:\s+(?:{_dot})\s+[A-Za-z0-9-]+)+)(?!\w)", re.I)
 BARE_DOT = re.compile(rf"\s+(?:{_dot})\s+", re.I)
+AFTER_AT = re.compile(rf"@([A-Za-z0-9.-]*[A-Za-z0-9-])((?:\s+(?:{_dot})\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)+)(?!\w)", re.I)
+BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9])\s+(?:{_dot})\s+(?=[0-9])", re.I)
+# Every byte outside the words of these patterns; bytes above 0x7F count as inside.
+NOT_WORD = np.array([not (chr(c).isalnum() or c == 95 or c > 127) for c in range(256)])
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,7 +168,14 @@ def undisguise(text: str) -> Tape:
     for m in BARE.finditer(tape.text):
         changes.append((*m.span(1), "@"))
         changes += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in BARE_DOT.finditer(m.group(2))]
-    return tape.rewrite(changes)
+    tape = tape.rewrite(changes)
+    changes = []
+    for m in AFTER_AT.finditer(tape.text):
+        # A domain with dots that stands so in the source is whole: "mail a@b.co point taken".
+        if not ("." in m.group(1) and text[tape.start[m.start()]:tape.end[m.end(1) - 1]] == "@" + m.group(1)):
+            changes += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in BARE_DOT.finditer(m.group(2))]
+    tape = tape.rewrite(changes)
+    return tape.rewrite([(*m.span(), ".") for m in BETWEEN_NUMBERS.finditer(tape.text)])
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -176,25 +187,34 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     return sorted(x for x in found if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base))
 
 
-def _hints(words: arrays.Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with a digit, and documents that could hold a disguise."""
+def _hints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with a digit, and all documents that `undisguise` could change."""
 
     def any_of(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask)])
         return total[at[1:]] > total[at[:-1]]
 
     digit = any_of((data >= 48) & (data <= 57), offsets)
-    # Characters above U+00FF, and the signs U+0080-U+00BF (lead byte 0xC2), but not accented letters.
-    strange = any_of((data == 0xC2) | (data >= 0xC4), offsets)
+    # Characters above U+00FF, and the signs U+0080-U+00BF (lead byte 0xC2), × and ÷, but not accented letters.
+    lead = (data == 0xC2) | (data >= 0xC4)
+    lead[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
     bracket = any_of(np.isin(data, np.frombuffer(b"[({<", np.uint8)), offsets)
+    # Words end wherever the patterns can end one; a spelled number is a run of digit and dot words.
+    words = arrays.Words(data, offsets, NOT_WORD)
     hashes = words.hashes(lower=True)
-    total = np.concatenate([[0], np.cumsum(np.isin(hashes, _word_hashes(tuple(DIGITS))))])
-    many = total[words.first[1:]] - total[words.first[:-1]] >= LEAST_DIGIT_WORDS
-    return digit, strange | bracket | many | any_of(np.isin(hashes, _word_hashes(tuple(DOT_WORDS.split()))), words.first)
+    value, dot, at = (np.isin(hashes, _word_hashes(tuple(x))) for x in (DIGITS, DOT_WORDS.split(), AT_WORDS.split()))
+    new = ~(value | dot)
+    new[1:] |= words.doc[1:] != words.doc[:-1]
+    run = np.cumsum(new)
+    many = np.zeros(len(offsets) - 1, bool)
+    many[words.doc[value & (np.bincount(run, value)[run] >= LEAST_DIGIT_WORDS)]] = True
+    beside = digit | any_of(data == 64, offsets) | any_of(at, words.first)
+    return digit, any_of(lead, offsets) | bracket | many | any_of(dot, words.first) & beside
 
 
 def _word_hashes(listed: tuple[str, ...]) -> np.ndarray:
-    data, offsets = arrays.string_buffer(pa.array(listed))
+    """Hashes of words, whose accented letters (the only ones not lowered in texts) have either case."""
+    data, offsets = arrays.string_buffer(pa.array([x for w in listed for x in {w, w.upper()}]))
     return arrays.span_hashes(arrays.LOWER_CODE[data], offsets[:-1], offsets[1:])
 
 
@@ -206,7 +226,7 @@ def _find(stream):
         texts = batch.column("text")
         for a, b in arrays.slices(offsets):
             own, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-            digit, hidden = _hints(arrays.Words(own, at), own, at)
+            digit, hidden = _hints(own, at)
             sign = np.concatenate([[0], np.cumsum(own == 64)])
             for i in range(b - a):
                 if not (digit[i] or hidden[i] or sign[at[i + 1]] > sign[at[i]]):

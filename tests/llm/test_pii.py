@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from reportlake.llm import pii
@@ -55,6 +56,53 @@ def test_clean_text_stays_clean():
     assert added("She looked at example pages; one two dogs (at home) dot the i. [a] <b> 3 at 4") == []
 
 
+def through_find(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    rows = [spans for part in pii._find(iter([batch])) for spans in part.column("spans").to_pylist()]
+    return [sorted((s["kind"], s["start"], s["end"], s["base"]) for s in spans) for spans in rows]
+
+
+def ungated(text):
+    base = pii.detect(text)
+    return sorted([(*s, True) for s in base] + [(*s, False) for s in pii.disguised(text, base)])
+
+
+SPELT = [
+    "call plus-one-nine-one-seven-five-five-five-one-two-three-four", "plus-one nine-one-seven five-five-five one-two-three-four ok",
+    "four-one-one-one 1111 1111 one-one-one-one", "4111 1111 1111 one one one one.", "x ten.168.0.1 one-dot-two-dot-three-dot-four!",
+    "\"EINS ZWEI DREI FÜNF\" 4111", "plus one\x1cnine\x1done five five five one two three four",
+    "mail bob@example dot com", "mail bob at example\x1fdot\x1fcom", "ip 192 dot 168 dot 0 dot 1", "×one two three four÷ 5",
+]
+
+
+def test_gate_passes_what_the_rewriters_take():
+    """In ASCII texts without brackets, next to each other, as in the text alone."""
+    assert through_find(SPELT) == [ungated(t) for t in SPELT]
+    assert [s for t in SPELT[:2] for s in through_find([t])[0]] == [("phone", 5, 62, False), ("phone", 0, 57, False)]
+
+
+WORDS = st.sampled_from(["one", "Two", "FÜNF", "zéro", "ZÉRO", "plus", "MÁS", "dot", "Punkt", "point", "at", "@", "bob", "example", "com",
+                         "1", "192", "255", "x", "four.", "\"six", "_", "×", "é", "(", "[at]", ".", "１", "ſix"])
+GAPS = st.sampled_from([" ", "-", "  ", "\n", ", ", "", "\x1c", "- ", "\xa0", "\x85"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.lists(st.tuples(WORDS, GAPS), max_size=12).map(lambda x: "".join(a + b for a, b in x)), min_size=1, max_size=4))
+def test_gate_is_wider_than_the_rewriters(texts):
+    _, hidden = pii._hints(*pii.arrays.string_buffer(pa.array(texts)))
+    assert not [t for t, h in zip(texts, hidden) if not h and pii.undisguise(t).text != t]
+    assert through_find(texts) == [ungated(t) for t in texts]
+
+
+def test_bare_dots_beside_at_signs_and_numbers():
+    assert added("mail bob@example dot com now") == [("email", "bob@example dot com")]
+    assert added("mail bob [at] mail (dot) example dot co dot uk.") == [("email", "bob [at] mail (dot) example dot co dot uk")]
+    assert added("ip 192 dot 168 dot 0 dot 1.") == [("ip", "192 dot 168 dot 0 dot 1")]
+    assert added("ip 192 dot one six eight dot zero dot one") == [("ip", "192 dot one six eight dot zero dot one")]
+    assert added("call +1 919 dot 555 dot 1234") == [("phone", "+1 919 dot 555 dot 1234")]
+    assert added("mail a@b.co point taken, 3 point 5 percent, 2 point 1") == []
+
+
 def test_table(spark):
     texts = ["mail a@b.co 1.2.3.4", None, "", "x" * 200_000 + " q@w.er", "bob [at] ex [dot] org", "1" * 50_000]
     df = from_texts(spark, texts).selectExpr("*", "3 as spans", "'k' as kind")
