@@ -245,19 +245,34 @@ def single_mode(t):
     return best.select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
+SHORT_KEY = 8
+
+
 def passages_in_documents(t):
     """(query_id, item): documents that hold a passage verbatim.
 
     Equi-join on the longest inner word of the passage (a whole word of any text around it), then
-    the exact test on the pairs left."""
+    the exact test on the pairs left. A passage without an inner word may stand within words: its
+    key is its first characters, SHORT_KEY at most, and texts are cut into all pieces of the key
+    lengths in use. A text has each key once."""
     words = F.split("text", r"\s+")
     inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    passages = t.benchmark.select("item_id", F.col("text").alias("passage"), longest["w"].alias("word"))
-    held = search.spread(t.documents.select("doc_id", "text")).select(
-        "doc_id", "text", F.explode(F.array_distinct(words)).alias("word")
+    start = F.when(longest.isNull(), F.substring("text", 1, SHORT_KEY))
+    passages = t.benchmark.select(
+        "item_id", F.col("text").alias("passage"), F.coalesce(longest["w"], start).alias("word"), F.length(start).alias("cut")
+    )
+    cuts = passages.agg(F.collect_set("cut").alias("cuts"))
+    none = F.array().cast("array<string>")
+    # A group in a lookahead is found at every position.
+    pieces = [F.array(F.lit(""))] + [
+        F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, SHORT_KEY + 1)
+    ]
+    used = [F.when(F.array_contains("cuts", n), piece).otherwise(none) for n, piece in enumerate(pieces)]
+    held = search.spread(t.documents.select("doc_id", "text")).crossJoin(F.broadcast(cuts)).select(
+        "doc_id", "text", F.explode(F.array_distinct(F.concat(words, *used))).alias("word")
     )
-    found = held.join(search.broadcast_if_small(passages), "word").filter(
+    found = held.join(search.broadcast_if_small(passages.drop("cut")), "word").filter(
         F.contains("text", "passage")
     )
     return found.select(

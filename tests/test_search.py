@@ -2,13 +2,18 @@ import math
 import re
 from collections import Counter
 from datetime import date
+from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from reportlake.operators import evaluate, search
 from reportlake.operators.search import Filters, SearchMode
+from reportlake.plans import search_queries
+from tests.compare import compare
 
 CHUNKS = [
     ("c1", "d1", "Nghị định 09/2019/NĐ-CP", "legal", "common", "active",
@@ -146,3 +151,32 @@ def test_metrics(spark):
     assert rows[0]["precision"] == pytest.approx(2 / 3)
     assert rows[0]["ndcg"] == pytest.approx((1 + 1 / 2) / (1 + 1 / math.log2(3)))
     assert rows[1]["recall"] == 0 and rows[1]["ndcg"] == 0
+
+
+def test_short_passages_are_found(spark):
+    texts = ["alpha beta gamma delta", "xalpha beta, gammas", "", None, "😀é ß two  words\nhere", "aaaa", " alpha"]
+    asked = ["alpha beta gamma", "alpha", "pha be", "a", "", " ", "two  words", "ds\nhe", "aaa", "😀é", "é", "gammas and more", None,
+             "beta, gammas", " alpha", "alphabetical", "beta gamma", "?", "a b"]
+    tables = SimpleNamespace(
+        documents=spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"),
+        benchmark=spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string"),
+    )
+    want = sorted((i, f"{d}-chunk-00000") for i, p in enumerate(asked) for d, x in enumerate(texts) if None not in (p, x) and p in x)
+    assert sorted(map(tuple, search_queries.passages_in_documents(tables).collect())) == want
+    tables.benchmark = tables.benchmark.where("item_id = 0")
+    assert sorted(map(tuple, search_queries.passages_in_documents(tables).collect())) == [(0, "0-chunk-00000")]
+
+
+@pytest.mark.parametrize("name", ["retrieval_metrics", "mean_retrieval_metrics"])
+def test_metrics_of_short_passages_equal_sql(spark, tmp_path, name):
+    given = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{given}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{given}/benchmark.parquet")
+    words = F.split("text", r"\s+")
+    short = items.withColumn("text", F.when(F.col("item_id") % 2 == 0, words[1]).otherwise(F.concat_ws(" ", words[1], words[2])))
+    items.unionByName(short.withColumn("item_id", F.col("item_id") + 1_000_000)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    database = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        database.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    problems, _ = compare(entry.queries()[name](spark, str(tmp_path)), database, entry.oracle_sql()[name])
+    assert not problems, problems
