@@ -187,6 +187,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = settled(docs.sparkSession, lambda: exact_groups(docs, id_col, text_col).where("not kept").select(id_col), "copies")
-    return sieve.without(docs, gone, id_col)
+    """One row of each text, that of the largest id, with all its columns.
+
+    Rows are told apart by id and text: of rows that share an id, only the copies go. Rows without id
+    go where an equal text has one; of equal rows of the same id, or of none, any one stays."""
+    def copies():
+        found = exact_groups(docs, id_col, text_col).where("group_size > 1")
+        rows = found.groupBy(id_col, F.col("text_sha256").alias("mark"), "kept").agg(F.count(F.lit(1)).alias("n"))
+        return rows.where("not kept or n > 1").select(id_col, "mark", "kept")
+
+    listed = settled(docs.sparkSession, copies, "copies")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mark = F.sha2(F.translate(F.coalesce(text_col, F.lit("")), upper, upper.lower()), 256)
+    left = sieve.without(docs, listed.where("not kept"), id_col, mark)
+    repeated = listed.where("kept")
+    if repeated.take(1):
+        left, same = sieve.split(left, repeated, id_col, mark)
+        left = left.unionAll(same.withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).select(*docs.columns))
+    return left

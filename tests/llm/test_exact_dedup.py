@@ -49,3 +49,12 @@ def test_empty_and_stage(spark):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_dropping_tells_rows_of_one_id_apart(spark):
+    rows = [(5, "A"), (5, "B"), (9, "a"), (None, "a"), (None, "C"), (None, "c"), (7, None), (8, ""), (3, "D"), (3, "d"), (3, "E"),
+            (None, "F"), (2, "É"), (1, "é")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, (r.text or "").replace("C", "c").replace("D", "d")) for r in exact_dedup.drop_copies(docs).collect()]
+    want = [(5, "B"), (9, "a"), (None, "c"), (8, ""), (3, "d"), (3, "E"), (None, "F"), (2, "É"), (1, "é")]
+    assert sorted(got, key=str) == sorted(want, key=str)
