@@ -93,7 +93,7 @@ def parts(batch: pa.RecordBatch, size: int):
     """Slices of a batch: (first row, bytes, offsets, place of the first byte in its text). A very long
     text comes in pieces whose windows do not overlap."""
     data, offsets = arrays.string_buffer(batch.column("text"))
-    for first, last in arrays.slices(offsets):
+    for first, last in arrays.slices(offsets, min(arrays.SLICE_BYTES, PIECE)):
         start, end = int(offsets[first]), int(offsets[last])
         if end - start <= PIECE + size:
             yield first, data[start:end], offsets[first:last + 1] - start, 0

@@ -56,7 +56,6 @@ def test_cut_inside_a_character(spark):
 
 def test_long_texts_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 500)
-    monkeypatch.setattr(S.arrays, "SLICE_BYTES", 400)
     rng = np.random.default_rng(9)
     base = "".join(rng.choice(list("abcdefgh"), 3000))
     rows = [(1, base), (2, "q" * 77 + base[700:2500] + "w" * 90), (3, base[:300] + base[100:400]), (4, "z" * 2000)]
