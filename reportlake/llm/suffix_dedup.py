@@ -27,8 +27,8 @@ from reportlake.llm.work import lean, stored
 
 SIZE = 200
 GRAM = 64
-#: A text is read in pieces of so many windows, whatever its length.
-PIECE = 4 << 20
+#: A text is read in pieces of so many windows, whatever its length; short texts share a piece.
+PIECE = 1 << 20
 #: Bytes of fragments that are sorted together; one gram's fragments are never split.
 BLOCK = 2 << 20
 #: Contents of a gram that are sorted in one task.
@@ -76,7 +76,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     none = np.zeros(0, np.int64)
     if not len(at):
         return none, none, none
-    keys = arrays.span_hashes(arrays.BYTE_CODE[data], at, at + gram)
+    keys = arrays.ngrams(arrays.BYTE_CODE[data], gram)
     least = sliding_minimum((keys & ~LOW) | at.astype(np.uint64), size - gram + 1)
     whole = np.ones(len(least) + size, bool)
     for end in offsets[1:-1]:  # windows that begin shortly before the end of a text reach into the next
@@ -89,11 +89,18 @@ def fragments(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     return windows[new], windows[np.append(new[1:], len(windows)) - 1], keys[anchor[new]].view(np.int64)
 
 
+def thin(stream, column: str = "text"):
+    """The rows of the batches in slices of about PIECE bytes of a column."""
+    for batch in stream:
+        for first, last in arrays.slices(arrays.string_buffer(batch.column(column))[1], PIECE):
+            yield batch.slice(first, last - first)
+
+
 def parts(batch: pa.RecordBatch, size: int):
     """Slices of a batch: (first row, bytes, offsets, place of the first byte in its text). A very long
     text comes in pieces whose windows do not overlap."""
     data, offsets = arrays.string_buffer(batch.column("text"))
-    for first, last in arrays.slices(offsets, min(arrays.SLICE_BYTES, PIECE)):
+    for first, last in arrays.slices(offsets, PIECE):
         start, end = int(offsets[first]), int(offsets[last])
         if end - start <= PIECE + size:
             yield first, data[start:end], offsets[first:last + 1] - start, 0
@@ -305,42 +312,61 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
     return stored(runs, "runs")
 
 
-def _named(bits, hit: bool):
-    """Rows whose text's name the filter holds, with that name; or the others, finished."""
+def _owned(batch: pa.RecordBatch, bits, hit: bool) -> pa.RecordBatch:
+    owner = [name(t.as_buffer()) if t.is_valid else name(b"") for t in batch.column("text")]
+    keep = pa.array(sieve.test(bits.value, short(owner)) == hit)
+    return batch.append_column("owner", pa.array(owner, pa.binary())).filter(keep)
+
+
+def _named(bits):
+    """Rows whose text's name the filter holds, with that name."""
 
     def run(stream):
-        for batch in stream:
-            owner = [name(t.as_buffer()) if t.is_valid else name(b"") for t in batch.column("text")]
-            keep = pa.array(sieve.test(bits.value, short(owner)) == hit)
-            yield batch.append_column("owner", pa.array(owner, pa.binary())).filter(keep)
+        for batch in thin(stream):
+            yield _owned(batch, bits, True)
+
+    return run
+
+
+def _without(batch: pa.RecordBatch, runs: list, size: int) -> pa.RecordBatch:
+    n_bytes, removed, spans, kept = [], [], [], []
+    for text, own in zip(batch.column("text"), runs):
+        data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        out, end, gone, count = [], 0, 0, 0
+        for low, high in sorted((r["low"], r["high"] - 1 + size) for r in own or ()):
+            if low > end or not count:
+                out.append(data[end:low])
+                count += 1
+                gone += high - low
+                end = high
+            elif high > end:
+                gone += high - end
+                end = high
+        out.append(data[end:])
+        n_bytes.append(len(data))
+        removed.append(gone)
+        spans.append(count)
+        kept.append(b"".join(out))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("__id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+        ["__id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _untouched(bits, size: int):
+    """Rows whose text's name the filter does not hold, finished."""
+
+    def run(stream):
+        for batch in thin(stream):
+            clean = _owned(batch, bits, False)
+            yield _without(clean, [None] * clean.num_rows, size)
 
     return run
 
 
 def _finish(size: int):
     def run(stream):
-        for batch in stream:
-            n_bytes, removed, spans, kept = [], [], [], []
-            for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                out, end, gone, count = [], 0, 0, 0
-                for low, high in sorted((r["low"], r["high"] - 1 + size) for r in runs or ()):
-                    if low > end or not count:
-                        out.append(data[end:low])
-                        count += 1
-                        gone += high - low
-                        end = high
-                    elif high > end:
-                        gone += high - end
-                        end = high
-                out.append(data[end:])
-                n_bytes.append(len(data))
-                removed.append(gone)
-                spans.append(count)
-                kept.append(b"".join(out))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                ["__id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for batch in thin(stream):
+            yield _without(batch, batch.column("runs").to_pylist(), size)
 
     return run
 
@@ -358,10 +384,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = repeated_windows(source.select("text"), size, gram, gathered)
     bits = spark.sparkContext.broadcast(sieve.build(keyed(runs, "owner"), "key"))
     kind = dict(source.dtypes)["__id"]
-    shape = f"__id {kind}, text string, owner binary"
-    clean = source.mapInArrow(lean(_named(bits, False)), shape).withColumn(
-        "runs", F.lit(None).cast("array<struct<low: bigint, high: bigint>>"))
-    hits = source.mapInArrow(lean(_named(bits, True)), shape).join(runs, "owner", "left").select("__id", "text", "owner", "runs")
     out = f"__id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    done = clean.mapInArrow(lean(_finish(size)), out).unionAll(hits.mapInArrow(lean(_finish(size)), out))
+    hits = source.mapInArrow(lean(_named(bits)), f"__id {kind}, text string, owner binary")
+    hits = hits.join(runs, "owner", "left").select("__id", "text", "runs")
+    done = source.mapInArrow(lean(_untouched(bits, size)), out).unionAll(hits.mapInArrow(lean(_finish(size)), out))
     return done.withColumnRenamed("__id", id_col)
