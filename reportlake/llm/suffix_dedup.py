@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve, suffixes
@@ -92,7 +93,8 @@ def fragments(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
 def thin(stream, column: str = "text"):
     """The rows of the batches in slices of about PIECE bytes of a column."""
     for batch in stream:
-        for first, last in arrays.slices(arrays.string_buffer(batch.column(column))[1], PIECE):
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        for first, last in arrays.slices(np.concatenate([[0], np.cumsum(np.asarray(size), dtype=np.int64)]), PIECE):
             yield batch.slice(first, last - first)
 
 
@@ -259,24 +261,26 @@ def _one_by_one(hot: DataFrame, size: int) -> DataFrame:
 
 
 def _placed(stream):
-    """(owner, low, high): windows low up to high, high excluded, of a text are repeated."""
-    for batch in stream:
+    """(owner, low, high): windows low up to high, high excluded, of a text are repeated. The owners of a
+    common content are many, so rows are taken in slices of bounded size and unpacked as arrays."""
+    for batch in thin(stream, "owners"):
         names, low, high = [], [], []
         for owners, windows, places in zip(*(batch.column(c).to_pylist() for c in ("owners", "windows", "places"))):
+            own = np.frombuffer(owners, [("name", f"V{NAME}"), ("first", "<i8")])
             if places is None:
-                runs = [(0, windows)]
+                start, end = np.array([0]), np.array([windows])
             else:
-                at = np.frombuffer(places, "<i4")
+                at = np.frombuffer(places, "<i4").astype(np.int64)
                 cut = np.flatnonzero(np.diff(at) != 1) + 1
-                runs = list(zip(at[np.r_[0, cut]].tolist(), (at[np.r_[cut - 1, len(at) - 1]] + 1).tolist()))
-            for k in range(0, len(owners), NAME + 8):
-                first = int.from_bytes(owners[k + NAME:k + NAME + 8], "little")
-                for a, b in runs:
-                    names.append(owners[k:k + NAME])
-                    low.append(first + a)
-                    high.append(first + b)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["owner", "low", "high"])
+                start, end = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + 1
+            names.append(np.repeat(own["name"], len(start)))
+            low.append((own["first"][:, None] + start).ravel())
+            high.append((own["first"][:, None] + end).ravel())
+        if names:
+            packed = np.concatenate(names)
+            owner = pa.FixedSizeBinaryArray.from_buffers(pa.binary(NAME), len(packed), [None, pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [owner.cast(pa.binary()), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["owner", "low", "high"])
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
