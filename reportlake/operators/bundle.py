@@ -5,13 +5,15 @@ organization_name, classification, sha256.  values: bundle_id, source_file_id, r
 Groups are one bundle or one field of a bundle; counts and extremes are enough, nothing is
 collected before a bundle is known to have exactly three sources."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions.ids import combined_checksum, uuid5
 from reportlake.operators.extract import ROLE_FIELDS
 from reportlake.operators.rules import (
     CANONICAL_FIELDS,
     ERROR,
+    ISSUE,
+    WARNING,
     Rule,
     canonical_population_rules,
     explode_issues,
@@ -76,10 +78,33 @@ def merge_values(values: DataFrame) -> DataFrame:
     )
 
 
-def standardize(sources: DataFrame, values: DataFrame) -> DataFrame:
+def source_warnings(warnings: DataFrame) -> DataFrame:
+    """(bundle_id, source_issues): what the sources of a bundle warned of, in the order of the sources.
+
+    warnings: bundle_id, source_file_id, role, ord, code, field_path, message. A warning is told once per
+    source and field, so a list holds at most the fields of the sources times the codes."""
+    order = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))
+    once = warnings.groupBy("bundle_id", "source_file_id", "role", "code", "field_path").agg(
+        F.min("ord").alias("ord"), F.min_by("message", "ord").alias("message"))
+    issue = F.struct("code", F.lit(WARNING).alias("severity"), "field_path", "message").cast(ISSUE)
+    place = F.struct(order.alias("role"), "source_file_id", "ord", "code", "field_path", issue.alias("issue"))
+    listed = once.groupBy("bundle_id").agg(F.array_sort(F.collect_list(place)).alias("w"))
+    return listed.select("bundle_id", F.transform("w", lambda x: x["issue"]).alias("source_issues"))
+
+
+def in_order(found: Column, warned: Column) -> Column:
+    """Errors, then what the sources warned of, then the report's own warnings."""
+    errors = F.filter(found, lambda i: i["severity"] == ERROR)
+    others = F.filter(found, lambda i: i["severity"] != ERROR)
+    return F.concat(errors, F.coalesce(warned, F.array().cast(f"array<{ISSUE}>")), others)
+
+
+def standardize(sources: DataFrame, values: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """One row per bundle: canonical values, report id, checksum, issues and status.
 
-    A bundle that fails the identity checks, has conflicting or missing inputs, gets no values."""
+    A bundle that fails the identity checks, has conflicting or missing inputs, gets no values and only
+    the issues of that stage. Otherwise warnings of its sources (see `source_warnings`) stand between
+    the errors and the warnings of the report, and one alone makes its status `needs_review`."""
     facts = bundle_facts(sources).withColumn("identity_issues", issues_of(identity_rules()))
     merged = merge_values(values)
     wide = merged.groupBy("bundle_id").agg(
@@ -88,6 +113,8 @@ def standardize(sources: DataFrame, values: DataFrame) -> DataFrame:
           for f in INPUT_FIELDS],
     )
     joined = facts.join(wide, "bundle_id", "left")
+    if warnings is not None:
+        joined = joined.join(source_warnings(warnings), "bundle_id", "left")
     conflicts = [
         Rule("POP_CANONICAL_FIELD_CONFLICT", F.col(f"_conflict_{f}"), f,
              message=f"Hai nguồn cung cấp {f} với giá trị khác nhau.") for f in INPUT_FIELDS
@@ -112,7 +139,8 @@ def standardize(sources: DataFrame, values: DataFrame) -> DataFrame:
         total = sum((F.col(f) for f in plus), F.lit(0)) - sum((F.col(f) for f in minus), F.lit(0))
         staged = staged.withColumn(closing, F.when(usable, total))
     staged = with_numbers(staged, CANONICAL_FIELDS)
-    found = issues_of(canonical_population_rules())
+    warned = F.col("source_issues") if warnings is not None else F.lit(None)
+    found = in_order(issues_of(canonical_population_rules()), warned.cast(f"array<{ISSUE}>"))
     key = F.concat_ws(
         ":", F.lit("population-bundle"), F.col("organization_id"),
         F.col("period.start").cast("string"), F.col("period.end").cast("string"),

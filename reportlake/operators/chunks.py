@@ -1,17 +1,19 @@
 """Blocks to chunks: packing along structure, splitting long text, chunk metadata.
 
-Packing depends on the blocks before, so it sees a document as one array. That array is bounded:
-documents above the size limit are refused first, as at upload."""
+A document may be of any size: packing is a segmented scan (see `packing`), and chunks are counted in
+tiles. Only the blocks of one group are ever an array."""
 
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.functions import text
+from reportlake.operators import ordered, packing
 from reportlake.operators.blocks import PAGE_BREAK, content
+from reportlake.operators.distribution import materialize
 from reportlake.settings import MAX_FILE_BYTES, Chunking
 
 # Block types that open a chunk, per document type.
@@ -41,60 +43,29 @@ def oversized_documents(blocks: DataFrame, limit: int = MAX_FILE_BYTES) -> DataF
     return sizes.filter(F.col("size") > limit)
 
 
-def _walk(sizes, opens, alone, target: int) -> Iterator[int]:
-    group = used = 0
-    filled = False
-    for size, start, single in zip(sizes, opens, alone):
-        if filled and (start or single or used + size > target):
-            group, used, filled = group + 1, 0, False
-        yield group
-        used, filled = used + size + 2, True
-        if single:
-            group, used, filled = group + 1, 0, False
-
-
-def _group_numbers(config: Chunking):
-    @F.pandas_udf("array<int>")
-    def numbers(sizes: pd.Series, opens: pd.Series, alone: pd.Series) -> pd.Series:
-        return pd.Series(
-            [list(_walk(*columns, config.target)) for columns in zip(sizes, opens, alone)]
-        )
-
-    return numbers
-
-
-def pack(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+def pack(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking(), opens: Column | None = None) -> DataFrame:
     """Groups of blocks: one row per group with its blocks in order.
 
-    documents (document_id, document_type, …) gives the strategy. One shuffle by document; the
-    later grouping reuses that partitioning."""
-    kinds = documents.select("document_id", "document_type")
-    table = F.col("table")
+    documents (document_id, document_type, …) gives the strategy; `opens`, a condition over columns of
+    both tables, gives another one: it is true where a block starts a group. A document may be of any
+    size: only a group, which the target bounds, is ever an array."""
+    kinds = documents.select("document_id", *[c for c in documents.columns if c not in blocks.columns])
     rows = (
         blocks.filter(F.col("block_type") != PAGE_BREAK)
         .join(kinds, "document_id")
         .withColumn("content", content(blocks))
     )
-    single = F.col("document_type").isin(*ISOLATED_TABLES) & table.isNotNull()
+    single = F.col("document_type").isin(*ISOLATED_TABLES) & F.col("table").isNotNull()
     part = F.struct(
         F.col("source_order").alias("at"), "block_id", "content", "page_number",
-        F.length("content").alias("size"),
-        opens_chunk(F.col("document_type"), F.col("block_type")).alias("opens"),
-        single.alias("alone"),
         *[F.col(c) if c in blocks.columns else F.lit(None).cast(
             "array<string>" if c == "heading_hierarchy" else "string").alias(c) for c in METADATA],
-        table["name"].alias("table_name"),
-    )
-    whole = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(part)).alias("blocks"))
-    numbered = whole.withColumn(
-        "groups", _group_numbers(config)(
-            F.col("blocks.size"), F.col("blocks.opens"), F.col("blocks.alone"))
-    )
-    return (
-        numbered.select("document_id", F.explode(F.arrays_zip("blocks", "groups")).alias("z"))
-        .groupBy("document_id", F.col("z.groups").alias("group"))
-        .agg(F.array_sort(F.collect_list("z.blocks")).alias("blocks"))
+        F.col("table")["name"].alias("table_name"),
     )
+    if opens is None:
+        opens = opens_chunk(F.col("document_type"), F.col("block_type"))
+    packed = packing.pack(rows, "document_id", "source_order", part, F.length("content"), opens, single, config.target)
+    return packed.groupBy("document_id", "group").agg(F.array_sort(F.collect_list("item")).alias("blocks"))
 
 
 def render_group(blocks: Column) -> Column:
@@ -157,22 +128,22 @@ def split_text(body: Column, config: Chunking = Chunking()) -> Column:
     return F.when(long, segments(F.when(long, body))).otherwise(F.array(body))
 
 
-def chunk_documents(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+def chunk_documents(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking(), opens: Column | None = None) -> DataFrame:
     """Chunks with metadata; later segments of a group point to its first one."""
-    groups = pack(blocks, documents, config).withColumn(
+    groups = pack(blocks, documents, config, opens).withColumn(
         "body", render_group(F.col("blocks"))
     ).filter("body <> ''")
     described = groups.select(
         "document_id", "group", "body",
         *[v.alias(k) for k, v in group_metadata(F.col("blocks")).items()],
     )
-    segments = described.withColumn("segments", split_text(F.col("body"), config)).drop("body")
-    flat = segments.select(
+    segments = materialize(described.withColumn("segments", split_text(F.col("body"), config)).drop("body"), even=False)
+    counted = ordered.running_sum(segments, ["document_id"], "group", {"_upto": F.size("segments")})
+    indexed = counted.select(
         *[c for c in segments.columns if c != "segments"],
+        (F.col("_upto") - F.size("segments")).alias("_before"),
         F.posexplode("segments").alias("segment", "content"),
-    )
-    order = Window.partitionBy("document_id").orderBy("group", "segment")
-    indexed = flat.withColumn("chunk_index", F.row_number().over(order) - 1)
+    ).withColumn("chunk_index", (F.col("_before") + F.col("segment")).cast("int")).drop("_before")
     name = lambda index: F.format_string("%s-chunk-%05d", F.col("document_id"), index)
     parent = F.when(F.col("segment") > 0, name(F.col("chunk_index") - F.col("segment")))
     return (

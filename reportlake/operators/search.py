@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 from datetime import date
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportlake import settings
 from reportlake.functions import text
+from reportlake.functions.vectors import vector_issue
 from reportlake.operators.distribution import (
     BROADCAST_BYTES,
     broadcast_if_small,
@@ -22,7 +24,8 @@ from reportlake.operators.distribution import (
 )
 
 DISTANCES = ("COSINE", "DOT", "EUCLID", "MANHATTAN")
-QUERY_BLOCK = 4096
+# Chunks that share one bound of what a term can add.
+BLOCK = 64
 # Scores are added as whole multiples of 2**-40: the sum does not depend on the order of the rows,
 # so equal chunks get equal scores and their ids decide.
 FIXED = float(2**40)
@@ -126,53 +129,142 @@ def term_table(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return kept.groupBy("chunk_id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def bm25_search(
-    corpus: DataFrame,
-    queries: DataFrame,
-    filters: Filters | None = None,
-    k: int | None = settings.CANDIDATE_TOP_K,
-    parameters: settings.Bm25 = settings.Bm25(),
-) -> DataFrame:
-    """Best chunks per query: (query_id, chunk_id, score, rank).
+@dataclass(frozen=True)
+class Lexicon:
+    """What scoring reads: `postings` (chunk_id, block, term, saturation) and `weights` (query_id, term,
+    weight, df), both written tables. A block holds chunks of like length, at most about BLOCK."""
+
+    postings: DataFrame
+    weights: DataFrame
+
+
+def _length_class(length: Column) -> Column:
+    return F.floor(2 * F.log2(length + 1)).cast("int")
 
-    Document frequency, corpus size and mean length belong to the filtered corpus. The reduced
-    term table is written once and read for the statistics and for scoring. The query terms are
-    measured once; vocabulary and weights have at most as many rows, so they are broadcast too."""
+
+def lexicon(
+    corpus: DataFrame, queries: DataFrame, filters: Filters | None = None, parameters: settings.Bm25 = settings.Bm25(),
+) -> Lexicon:
+    """Statistics of the filtered corpus for the terms asked for. The reduced term table is written
+    once and read for the statistics and for scoring. The query terms are measured once; vocabulary
+    and weights have at most as many rows, so they are broadcast too."""
     terms = query_terms(queries)
     small = F.broadcast if measured_bytes(terms) <= BROADCAST_BYTES else (lambda df: df)
     vocabulary = small(terms.select(F.col("term").alias("known_term")).distinct())
     table = materialize(term_table(apply_filters(corpus, filters), vocabulary), even=False)
     postings, chunks = table.filter("term is not null"), table.filter("term is null")
-    totals = chunks.agg(
-        F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")
-    ).first()
-    n_docs, mean_len = totals["n_docs"], totals["mean_len"] or 1.0
+    # Lengths fall into few classes, a hundred at most.
+    classes = chunks.groupBy(_length_class(F.col("doc_len")).alias("c")).agg(
+        F.count("*").alias("n"), F.sum("doc_len").alias("length")).collect()
+    n_docs = sum(r["n"] for r in classes)
+    mean_len = (sum(r["length"] for r in classes) / n_docs if n_docs else 0) or 1.0
 
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(frequency, "term").select(
-        "query_id", "term", (F.col("weight") * idf * (parameters.k1 + 1)).alias("weight")
+    weights = terms.join(frequency, "term").select(
+        "query_id", "term", (F.col("weight") * idf * (parameters.k1 + 1)).alias("weight"), "df"
     )
     length = 1 - parameters.b + parameters.b * F.col("doc_len") / F.lit(mean_len)
     saturation = F.col("tf") / (F.col("tf") + parameters.k1 * length)
-    # Partitioned by chunk once, the sums per (chunk, query) need no shuffle of their own.
-    by_chunk = postings.select("chunk_id", "term", saturation.alias("saturation")).repartition(
-        "chunk_id"
+    parts = F.create_map(*[F.lit(int(x)) for r in classes for x in (r["c"], -(-r["n"] // BLOCK))] or [F.lit(0), F.lit(1)])
+    in_class = _length_class(F.col("doc_len"))
+    block = F.pmod(F.xxhash64("chunk_id"), parts[in_class]) * 128 + in_class
+    return Lexicon(
+        postings.select("chunk_id", block.alias("block"), "term", saturation.alias("saturation")),
+        materialize(weights, even=False),
     )
-    part = F.rint(F.col("saturation") * F.col("weight") * FIXED).cast("bigint")
-    scores = (
-        by_chunk.join(small(weighted), "term")
-        .groupBy("chunk_id", "query_id")
-        .agg(F.sum(part).alias("fixed"))
-        .select("chunk_id", "query_id", (F.col("fixed") / FIXED).alias("score"))
-        .filter(F.col("score") > 0)
+
+
+def _part(saturation: str = "saturation") -> Column:
+    """What a term adds to a score, as a whole number; it grows with the saturation."""
+    return F.rint(F.col(saturation) * F.col("weight") * FIXED).cast("bigint")
+
+
+def score_pairs(known: Lexicon, pairs: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, fixed): full scores of the given pairs."""
+    held = pairs.select("query_id", "chunk_id").join(known.postings.drop("block"), "chunk_id")
+    return (
+        held.join(known.weights, ["query_id", "term"])
+        .groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
     )
+
+
+def score_all(known: Lexicon) -> DataFrame:
+    """(query_id, chunk_id, fixed) of all pairs that share a term."""
+    return (
+        known.postings.join(known.weights, "term")
+        .groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
+    )
+
+
+def thresholds(known: Lexicon, k: int) -> DataFrame:
+    """(query_id, bound): a score that at least k chunks reach, from the chunks that hold a query's rarest
+    terms; 0 where there are fewer."""
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = known.weights.withColumn("seen", F.sum("df").over(rarest)).filter(F.coalesce("seen", F.lit(0)) < k)
+    partial = (
+        known.postings.join(seeds, "term").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
+    )
+    best = rank_by(partial, [F.desc("fixed")], k)
+    return score_pairs(known, best).groupBy("query_id").agg(
+        F.when(F.count("*") >= k, F.min("fixed")).otherwise(F.lit(0)).alias("bound"))
+
+
+def promising_pairs(known: Lexicon, k: int) -> DataFrame:
+    """(query_id, chunk_id): all pairs that may be among the k best of their query.
+
+    A term adds at most what it adds in the chunk of its block that holds it most. In a block, the
+    terms of a query are taken from the weakest on as long as their greatest sum stays below the
+    bound of the query: a chunk with these terms alone cannot reach it. Only the other terms are
+    matched, and only chunks that can still reach the bound with all the weak ones remain. Blocks
+    whose terms together stay below the bound are never looked at."""
+    tops = known.postings.groupBy("block", "term").agg(F.max("saturation").alias("top"))
+    bounds = materialize(thresholds(known, k), even=False)
+    inside = Window.partitionBy("query_id", "block")
+    weakest = inside.orderBy("part", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    strong = (
+        tops.join(known.weights, "term")
+        .select("query_id", "block", "term", "weight", _part("top").alias("part"))
+        .join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+        .withColumn("upto", F.sum("part").over(weakest))
+        .withColumn("rest", F.coalesce(F.max(F.when(F.col("upto") < F.col("bound"), F.col("upto"))).over(inside), F.lit(0)))
+        .filter(F.col("upto") >= F.col("bound"))
+        .drop("part", "upto")
+    )
+    matched = known.postings.join(strong, ["block", "term"])
+    partial = matched.groupBy("query_id", "chunk_id").agg(
+        F.sum(_part()).alias("fixed"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
+    return partial.filter(F.col("fixed") + F.col("rest") >= F.col("bound")).select("query_id", "chunk_id")
+
+
+def bm25_search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    filters: Filters | None = None,
+    k: int | None = settings.CANDIDATE_TOP_K,
+    parameters: settings.Bm25 = settings.Bm25(),
+) -> DataFrame:
+    """Best chunks per query: (query_id, chunk_id, score, rank).
+
+    Document frequency, corpus size and mean length belong to the filtered corpus. With k, only pairs
+    that can be among the k best are scored; the result is exact either way."""
+    known = lexicon(corpus, queries, filters, parameters)
+    fixed = score_all(known) if k is None else score_pairs(known, promising_pairs(known, k))
+    scores = fixed.select("chunk_id", "query_id", (F.col("fixed") / FIXED).alias("score")).filter(F.col("score") > 0)
     return rank_by(scores, [F.desc("score")], k).select("query_id", "chunk_id", "score", "rank")
 
 
 # --- dense search -------------------------------------------------------------------------------
 
 
+# Queries and corpus rows of a tile; a tile of queries is held as one matrix, a tile of the corpus is read
+# in batches.
+QUERY_TILE = 8192
+CORPUS_TILE = 1 << 18
+# Scores computed at once, rows of the tile times rows of a batch.
+SCORES = 1 << 22
+
+
 def _similarity(queries: np.ndarray, vectors: np.ndarray, distance: str) -> np.ndarray:
     if distance in ("COSINE", "DOT"):
         return queries @ vectors.T
@@ -182,107 +274,147 @@ def _similarity(queries: np.ndarray, vectors: np.ndarray, distance: str) -> np.n
     return -np.stack([np.abs(vectors - query).sum(1) for query in queries])
 
 
+def usable(column: str, distance: str) -> Column:
+    """Vectors that can be compared: some components, none null or not finite, and a direction where the
+    distance is an angle. The others are named by `refused_vectors`."""
+    v = F.col(column)
+    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(
+        v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    if distance == "COSINE":
+        fine = fine & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))
+
+
+def refused_vectors(table: DataFrame, id_column: str, distance: str = "COSINE") -> DataFrame:
+    """(id, issue) of rows that dense search leaves out."""
+    return table.filter(~usable("vector", distance)).select(id_column, vector_issue(F.col("vector")).alias("issue"))
+
+
 def dense_search(
     corpus: DataFrame,
     queries: DataFrame,
     filters: Filters | None = None,
     k: int = settings.CANDIDATE_TOP_K,
     distance: str = "COSINE",
+    query_tile: int = QUERY_TILE,
+    corpus_tile: int = CORPUS_TILE,
 ) -> DataFrame:
     """Exact nearest chunks: corpus (chunk_id, vector), queries (query_id, vector).
 
-    A block of queries travels to the tasks as one matrix of measured size. Each Arrow batch of
-    the corpus keeps its own k best per query, which cannot lose a global winner, so the shuffle
-    carries k rows per query and batch instead of all pairs. More queries mean more blocks.
-    For EUCLID and MANHATTAN the score is the negative distance, so larger is always better."""
+    Both sides are cut into tiles. Every tile of queries meets every tile of the corpus in one task: the
+    queries come first and are held, the corpus follows in batches, and the k best per query are kept
+    as they come and sent once at the end. Nothing passes the driver but two counts.
+
+    Only vectors of equal length are compared; see `usable` for those left out. For EUCLID and
+    MANHATTAN the score is the negative distance, so larger is always better."""
     if distance not in DISTANCES:
         raise ValueError(f"unknown distance: {distance}")
-    candidates = spread(
-        apply_filters(corpus, filters, by_processing_status=False)
-        .select("chunk_id", "vector")
-        .filter("vector is not null and size(vector) > 0"),
+    held = apply_filters(corpus, filters, by_processing_status=False).filter(usable("vector", distance))
+    asked = queries.filter(usable("vector", distance))
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(corpus.dtypes)["chunk_id"]}
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    query_tiles = max(1, -(-asked.count() // query_tile))
+    corpus_tiles = max(-(-held.count() // corpus_tile), -(-cores // query_tiles))
+
+    def side(table: DataFrame, own: str, tile: Column, other: Column) -> DataFrame:
+        ids = [(F.col(name) if name == own else F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
+        vector = F.col("vector").cast("array<double>").alias("vector")
+        placed = table.select(*ids, vector, F.size("vector").alias("length"), tile.alias("a"), F.explode(other).alias("b"))
+        return placed.withColumn("is_query", F.lit(own == "query_id"))
+
+    sequence = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    place = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
+    left = side(asked, "query_id", place("query_id", query_tiles), sequence(corpus_tiles))
+    right = side(held, "chunk_id", place("chunk_id", corpus_tiles), sequence(query_tiles))
+    pairs = left.withColumn("tile", F.struct("length", "a", "b")).unionByName(
+        right.withColumn("tile", F.struct("length", F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = pairs.withColumn("tile", F.concat_ws("/", "tile.length", "tile.a", "tile.b"))
+    met = (
+        pairs.select("tile", "is_query", *kinds, "vector")
+        .repartition(query_tiles * corpus_tiles, "tile").sortWithinPartitions("tile", F.desc("is_query"))
     )
-    wanted = queries.select("query_id", "vector").filter("vector is not null and size(vector) > 0")
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    chunk_type = corpus.schema["chunk_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {chunk_type}, score double"
-
-    parts = []
-    for block in _query_blocks(wanted):
-        best = candidates.mapInPandas(_nearest(block, k, distance), schema)
-        parts.append(best)
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    best = rank_by(scored, [F.desc("score")], k)
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    best = rank_by(met.mapInArrow(_nearest(k, distance), schema), [F.desc("score")], k)
     # A chunk stored twice counts once, with its best score.
     distinct = best.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return rank_by(distinct, [F.desc("score")], None)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """Query matrices of bounded size, one at a time on the driver."""
-    if measured_bytes(queries) <= BROADCAST_BYTES:
-        block = queries.toPandas()
-        if len(block):
-            yield block
-        return
-    rows = []
-    for row in queries.toLocalIterator(prefetchPartitions=True):
-        rows.append((row["query_id"], row["vector"]))
-        if len(rows) == QUERY_BLOCK:
-            yield pd.DataFrame(rows, columns=["query_id", "vector"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["query_id", "vector"])
-
-
-def _best(scores: np.ndarray, chunk_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best scores per row; ties go to the smaller chunk id."""
-    keep = min(k, scores.shape[1])
-    bound = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep]
-    place = np.argsort(np.argsort(chunk_ids, kind="stable"), kind="stable")
-    rows, columns = [], []
-    for row, line in enumerate(scores):
-        found = np.flatnonzero(line >= bound[row])
-        if len(found) > keep:
-            found = found[np.lexsort((place[found], -line[found]))[:keep]]
-        rows.append(np.full(len(found), row))
-        columns.append(found)
-    return np.concatenate(rows), np.concatenate(columns)
-
-
-def _matrix(vectors: pd.Series, ids: pd.Series, distance: str) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as rows of unit length where the distance asks for it; zero vectors have none."""
-    rows = np.stack(vectors.to_numpy()).astype(np.float64)
-    if distance != "COSINE":
-        return rows, ids.to_numpy()
-    norms = np.sqrt((rows**2).sum(1))
-    kept = norms > 0
-    return rows[kept] / norms[kept, None], ids.to_numpy()[kept]
-
-
-def _nearest(block: pd.DataFrame, k: int, distance: str):
-    matrix, ids = _matrix(block["vector"], block["query_id"], distance)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors, chunk_ids = _matrix(batch["vector"], batch["chunk_id"], distance)
-            if not len(chunk_ids) or not len(ids):
+def _matrix(column: pa.Array, distance: str) -> np.ndarray:
+    """Vectors of equal length as rows, of unit length where the distance asks for it."""
+    rows = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return rows / np.sqrt((rows**2).sum(1))[:, None] if distance == "COSINE" else rows
+
+
+class _Best:
+    """The k best of every query so far: rows sorted by query, then score, then chunk id."""
+
+    def __init__(self, n: int, k: int, kind: pa.DataType) -> None:
+        self.n, self.k = n, k
+        self.rows, self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], kind)
+        self.floor = np.full(n, -np.inf)
+
+    def add(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores (queries from `first` on, chunks). Only what reaches the floor is looked at."""
+        if scores.shape[1] > self.k:
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            least = np.maximum(least, self.floor[first:first + len(scores)])
+        else:
+            least = self.floor[first:first + len(scores)]
+        row, column = np.nonzero(scores >= least[:, None])
+        if not len(row):
+            return
+        self.rows = np.concatenate([self.rows, row + first])
+        self.scores = np.concatenate([self.scores, scores[row, column]])
+        self.ids = pa.concat_arrays([self.ids, ids.take(pa.array(column))])
+        ranks = np.asarray(pc.rank(self.ids, "ascending", tiebreaker="dense"))
+        order = np.lexsort((ranks, -self.scores, self.rows))
+        rows = self.rows[order]
+        head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        place = np.arange(len(rows)) - np.repeat(head, np.diff(np.append(head, len(rows))))
+        order = order[place < self.k]
+        self.rows, self.scores, self.ids = self.rows[order], self.scores[order], self.ids.take(pa.array(order))
+        count = np.bincount(self.rows, minlength=self.n)
+        full = np.flatnonzero(count >= self.k)
+        self.floor[full] = self.scores[np.cumsum(count)[full] - 1]
+
+
+def _nearest(k: int, distance: str):
+    """Rows come tile by tile, queries before chunks."""
+
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, names, parts, queries, best = None, [], [], None, None
+
+        def done():
+            found = pa.concat_arrays(names).take(pa.array(best.rows))
+            return pa.RecordBatch.from_arrays([found, best.ids, pa.array(best.scores)], ["query_id", "chunk_id", "score"])
+
+        for batch in stream:
+            if not batch.num_rows:
                 continue
-            scores = np.round(_similarity(matrix, vectors, distance), 12)
-            rows, columns = _best(scores, chunk_ids, k)
-            yield pd.DataFrame(
-                {
-                    "query_id": ids[rows],
-                    "chunk_id": chunk_ids[columns],
-                    "score": scores[rows, columns],
-                }
-            )
+            key = batch.column("tile")
+            new = np.asarray(pc.not_equal(key[1:], key[:-1])) | np.asarray(pc.not_equal(batch.column("is_query")[1:], batch.column("is_query")[:-1]))
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                piece = batch.slice(a, b - a)
+                if piece.column("tile")[0].as_py() != tile:
+                    if best is not None:
+                        yield done()
+                    tile, names, parts, queries, best = piece.column("tile")[0].as_py(), [], [], None, None
+                vectors, ids = _matrix(piece.column("vector"), distance), piece.column("chunk_id")
+                if piece.column("is_query")[0].as_py():
+                    names.append(piece.column("query_id"))
+                    parts.append(vectors)
+                elif names:
+                    if best is None:
+                        queries = np.concatenate(parts)
+                        best = _Best(len(queries), k, ids.type)
+                    step = max(1, SCORES // len(vectors))
+                    for first in range(0, len(queries), step):
+                        scores = np.round(_similarity(queries[first:first + step], vectors, distance), 12)
+                        best.add(first, scores, ids)
+        if best is not None:
+            yield done()
 
     return scan
 

@@ -3,6 +3,7 @@
 from reportlake.plans import (  # noqa: F401
     document_queries,
     extract_queries,
+    merge_queries,
     model_queries,
     report_queries,
     search_queries,

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 from datetime import date
@@ -180,3 +181,77 @@ def test_metrics_of_short_passages_equal_sql(spark, tmp_path, name):
         database.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     problems, _ = compare(entry.queries()[name](spark, str(tmp_path)), database, entry.oracle_sql()[name])
     assert not problems, problems
+
+
+def _texts(spark, n):
+    rng = random.Random(n)
+    common = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(common, k=rng.randint(3, 60)) + [f"r{rng.randint(0, 60)}" for _ in range(rng.randint(0, 4))]
+        rows.append((f"c{i:04d}", " ".join(words)))
+    corpus = spark.createDataFrame(rows + [("empty", ""), ("null", None)], "chunk_id string, content string")
+    asked = [(i, " ".join([f"r{i}", *rng.sample(common, 6)])) for i in range(30)] + [(90, "w1 w2"), (91, "unknown"), (92, "w1 w1 w1")]
+    return corpus, spark.createDataFrame(asked, "query_id int, query string")
+
+
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_bounds_lose_nothing(spark, k):
+    corpus, queries = _texts(spark, 700)
+    known = search.lexicon(corpus, queries)
+    everything = search.score_all(known)
+    best = search.rank_by(everything, [F.desc("fixed")], k)
+    want = {(r["query_id"], r["chunk_id"], r["fixed"] / search.FIXED, r["rank"]) for r in best.collect()}
+    got = search.bm25_search(corpus, queries, k=k)
+    assert {tuple(r) for r in got.select("query_id", "chunk_id", "score", "rank").collect()} == want
+    if k < 10:
+        assert search.promising_pairs(known, k).count() < everything.count() / 3
+
+
+def test_bounds_spare_pairs_on_the_given_tables(spark):
+    from reportlake.plans import adapters
+    from reportlake.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    known = search.lexicon(adapters.corpus(t), adapters.queries(t), search.Filters.for_request())
+    pairs, all_pairs = search.promising_pairs(known, 5).count(), search.score_all(known).count()
+    print("scored pairs", pairs, "of", all_pairs)
+    assert pairs < all_pairs / 10
+
+
+@pytest.mark.parametrize("distance", search.DISTANCES)
+def test_dense_tiles_equal_plain_search(spark, distance):
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(0, 1, (300, 5)), 1)
+    asked = np.round(rng.normal(0, 1, (40, 5)), 1)
+    rows = [(i % 290, v.tolist()) for i, v in enumerate(vectors)] + [(900, [1.0, 2.0]), (901, None), (902, []), (903, [float("nan")] * 5), (904, [None] * 5)]
+    corpus = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked)] + [("short", [2.0, 1.0]), ("none", None)], "query_id string, vector array<double>")
+    got = search.dense_search(corpus, queries, k=7, distance=distance, query_tile=9, corpus_tile=50).collect()
+    want = {}
+    for name, q in [(f"q{i}", q) for i, q in enumerate(asked)]:
+        if distance == "COSINE":
+            s = vectors @ q / np.linalg.norm(vectors, axis=1) / np.linalg.norm(q)
+        elif distance == "DOT":
+            s = vectors @ q
+        elif distance == "EUCLID":
+            s = -np.linalg.norm(vectors - q, axis=1)
+        else:
+            s = -np.abs(vectors - q).sum(1)
+        first = sorted(zip(-np.round(s, 12), [i % 290 for i in range(300)]))[:7]
+        kept = sorted({c: min(x for x, d in first if d == c) for _, c in first}.items(), key=lambda p: (p[1], p[0]))
+        want |= {(name, c): (n + 1, round(-x, 9)) for n, (c, x) in enumerate(kept)}
+    got = {(r["query_id"], r["chunk_id"]): (r["rank"], round(r["score"], 9)) for r in got}
+    assert got.pop(("short", 900))[0] == 1
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    refused = {r["chunk_id"]: r["issue"] for r in search.refused_vectors(corpus, "chunk_id", distance).collect()}
+    assert refused == {901: "missing_vector", 902: "empty_vector", 903: "non_finite_value", 904: "non_finite_value"}
+
+
+def test_dense_search_of_nothing(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0])], "chunk_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<double>")
+    assert search.dense_search(corpus, queries).count() == 0
+    assert [r["issue"] for r in search.refused_vectors(corpus, "chunk_id").collect()] == ["zero_vector"]
+    assert search.dense_search(corpus, queries.limit(0), distance="DOT").count() == 0
