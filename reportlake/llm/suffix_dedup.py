@@ -35,6 +35,7 @@ BLOCK = 2 << 20
 #: Contents of a gram that are sorted in one task.
 GATHERED = 512
 NAME = 16
+RUNS = "array<struct<low: int, high: int>>"
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -124,9 +125,13 @@ def _grams(size: int, gram: int):
     return run
 
 
+CONTENTS = "gram bigint, content binary, n bigint, windows int, bytes binary, owner binary, first bigint"
+
+
 def _contents(size: int, gram: int, bits):
-    """Fragments under repeated grams, one row per content and slice: gram, content (its name), n, windows,
-    bytes, and owners: names of texts and places of the first window, packed."""
+    """Fragments under repeated grams, a row for each place: gram, content (its name), windows, owner (the
+    name of the text) and first window. Once per content and slice come its bytes and `n`, how often
+    the slice has it."""
 
     def run(stream):
         for batch in stream:
@@ -135,23 +140,25 @@ def _contents(size: int, gram: int, bits):
                 low, high, keys = fragments(data, offsets, size, gram)
                 pick = np.flatnonzero(sieve.test(bits.value, keys))
                 row = np.searchsorted(offsets, low[pick], "right") - 1
-                whole, rows, again = data.tobytes(), {}, set()
+                whole, names, count, places = data.tobytes(), {}, {}, {}
                 for a, b, key, r in zip(low[pick].tolist(), high[pick].tolist(), keys[pick].tolist(), row.tolist()):
                     if first + r not in texts:
                         texts[first + r] = name(batch.column("text")[first + r].as_buffer())
                     content = whole[a:b + size]
-                    found = rows.setdefault(content, [key, 0, []])
-                    found[1] += 1
-                    place = (texts[first + r], a - int(offsets[r]) + base)
-                    if found[1] == 1 or (content, place) not in again:
-                        again.add((content, place))
-                        found[2].append(place[0] + place[1].to_bytes(8, "little"))
-                values = list(rows.values())
+                    if content not in names:
+                        names[content] = name(content)
+                    count[content] = count.get(content, 0) + 1
+                    # Equal texts share their places.
+                    places[content, texts[first + r], a - int(offsets[r]) + base] = key
+                told = set()
+                new = [not (c in told or told.add(c)) for c, _, _ in places]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v[0] for v in values], pa.int64()), pa.array([name(c) for c in rows], pa.binary()),
-                     pa.array([v[1] for v in values], pa.int64()), pa.array([len(c) - size + 1 for c in rows], pa.int32()),
-                     pa.array(list(rows), pa.binary()), pa.array([b"".join(v[2]) for v in values], pa.binary())],
-                    ["gram", "content", "n", "windows", "bytes", "owners"])
+                    [pa.array(list(places.values()), pa.int64()), pa.array([names[c] for c, _, _ in places], pa.binary()),
+                     pa.array([count[c] if f else 0 for f, (c, _, _) in zip(new, places)], pa.int64()),
+                     pa.array([len(c) - size + 1 for c, _, _ in places], pa.int32()),
+                     pa.array([c if f else None for f, (c, _, _) in zip(new, places)], pa.binary()),
+                     pa.array([o for _, o, _ in places], pa.binary()), pa.array([p for _, _, p in places], pa.int64())],
+                    ["gram", "content", "n", "windows", "bytes", "owner", "first"])
 
     return run
 
@@ -171,7 +178,7 @@ def _passing(*tests):
 
 
 def _sort_block(contents: dict[bytes, bytes], size: int):
-    """Repeated windows of some contents: (content, places, packed)."""
+    """Repeated windows of some contents: (content, runs of places)."""
     names, texts = list(contents), list(contents.values())
     length = np.array([len(t) for t in texts])
     start = np.cumsum(length) - length
@@ -179,12 +186,15 @@ def _sort_block(contents: dict[bytes, bytes], size: int):
     at = arrays.ragged(start, length - size + 1)
     found = suffixes.repeated(text, at, size)
     row = np.searchsorted(start, found, "right") - 1
-    edges = np.searchsorted(row, np.arange(len(names) + 1))
-    places = (found - start[row]).astype("<i4")
-    hit = [k for k in range(len(names)) if edges[k] < edges[k + 1]]
+    new = np.r_[True, (np.diff(found) != 1) | (row[1:] != row[:-1])][:len(found)]
+    low = (found - start[row]).astype(np.int32)
+    head = np.flatnonzero(new)
+    high = low[np.append(head[1:], len(found))[:len(head)] - 1] + np.int32(1)
+    hit, first = np.unique(row[head], return_index=True)
+    runs = pa.StructArray.from_arrays([pa.array(low[head]), pa.array(high)], ["low", "high"])
     return pa.RecordBatch.from_arrays(
-        [pa.array([names[k] for k in hit], pa.binary()),
-         pa.array([places[edges[k]:edges[k + 1]].tobytes() for k in hit], pa.binary())], ["content", "places"])
+        [pa.array([names[k] for k in hit.tolist()], pa.binary()),
+         pa.ListArray.from_arrays(pa.array(np.append(first, len(head)), pa.int32()), runs)], ["content", "runs"])
 
 
 def _sorted_blocks(size: int, block: int):
@@ -242,45 +252,15 @@ def _windows(size: int, bits=None):
     return run
 
 
-def _packed(stream):
-    """Each place as the packed places of one row."""
-    for batch in stream:
-        places = [p.to_bytes(4, "little") for p in batch.column("place").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(places, pa.binary())], ["content", "places"])
-
-
 def _one_by_one(hot: DataFrame, size: int) -> DataFrame:
-    """(content, places) of repeated windows of contents too many to gather."""
+    """(content, runs) of repeated windows of contents too many to gather."""
     spark = hot.sparkSession
     counted = hot.mapInArrow(lean(_windows(size)), "window binary, n bigint")
     again = stored(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
     bits = spark.sparkContext.broadcast(sieve.build(keyed(again, "window"), "key"))
     found = hot.mapInArrow(lean(_windows(size, bits)), "window binary, content binary, place int")
-    found = found.join(again, "window", "left_semi").select("content", "place")
-    return found.mapInArrow(lean(_packed), "content binary, places binary")
-
-
-def _placed(stream):
-    """(owner, low, high): windows low up to high, high excluded, of a text are repeated. The owners of a
-    common content are many, so rows are taken in slices of bounded size and unpacked as arrays."""
-    for batch in thin(stream, "owners"):
-        names, low, high = [], [], []
-        for owners, windows, places in zip(*(batch.column(c).to_pylist() for c in ("owners", "windows", "places"))):
-            own = np.frombuffer(owners, [("name", f"V{NAME}"), ("first", "<i8")])
-            if places is None:
-                start, end = np.array([0]), np.array([windows])
-            else:
-                at = np.frombuffer(places, "<i4").astype(np.int64)
-                cut = np.flatnonzero(np.diff(at) != 1) + 1
-                start, end = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + 1
-            names.append(np.repeat(own["name"], len(start)))
-            low.append((own["first"][:, None] + start).ravel())
-            high.append((own["first"][:, None] + end).ravel())
-        if names:
-            packed = np.concatenate(names)
-            owner = pa.FixedSizeBinaryArray.from_buffers(pa.binary(NAME), len(packed), [None, pa.py_buffer(packed.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [owner.cast(pa.binary()), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["owner", "low", "high"])
+    run = F.struct(F.col("place").alias("low"), (F.col("place") + 1).alias("high"))
+    return found.join(again, "window", "left_semi").select("content", F.array(run).cast(RUNS).alias("runs"))
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
@@ -292,9 +272,8 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
     filed = docs.mapInArrow(lean(_grams(size, gram)), "gram bigint, n bigint")
     twice = stored(filed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
     bits = spark.sparkContext.broadcast(sieve.build(twice, "gram"))
-    contents = stored(docs.mapInArrow(
-        lean(_contents(size, gram, bits)),
-        "gram bigint, content binary, n bigint, windows int, bytes binary, owners binary"), "contents")
+    found = stored(docs.mapInArrow(lean(_contents(size, gram, bits)), CONTENTS), "contents")
+    contents = found.where("n > 0")
 
     counted = stored(contents.groupBy("gram", "content").agg(F.sum("n").alias("n")), "counted")
     several = stored(counted.groupBy("gram").agg(F.count("*").alias("contents")).where("contents > 1"), "several")
@@ -304,15 +283,17 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
     few = contents.select("gram", "content", "bytes").mapInArrow(
         lean(_passing((mixed, True), (many, False))), "gram bigint, content binary, bytes binary")
     part = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(
-        lean(_sorted_blocks(size, BLOCK)), "content binary, places binary")
+        lean(_sorted_blocks(size, BLOCK)), f"content binary, runs {RUNS}")
     hot = contents.select("gram", "content", "n", "bytes").mapInArrow(
         lean(_passing((many, True))), "gram bigint, content binary, n bigint, bytes binary")
-    whole = counted.where("n > 1").select("content", F.lit(None).cast("binary").alias("places"))
+    whole = counted.where("n > 1").select("content", F.lit(None).cast(RUNS).alias("runs"))
     status = whole.unionAll(stored(part.unionAll(_one_by_one(hot, size)), "places"))
 
-    marks = contents.select("content", "windows", "owners").join(status, "content").select("owners", "windows", "places")
-    placed = marks.mapInArrow(lean(_placed), "owner binary, low bigint, high bigint")
-    runs = placed.groupBy("owner").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    every = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high"))).cast(RUNS)
+    marks = found.select("content", "windows", "owner", "first").join(status, "content").select(
+        "owner", "first", F.explode(F.coalesce("runs", every)).alias("r"))
+    placed = marks.select("owner", F.struct((F.col("first") + F.col("r.low")).alias("low"), (F.col("first") + F.col("r.high")).alias("high")).alias("run"))
+    runs = placed.repartition("owner").groupBy("owner").agg(F.collect_list("run").alias("runs"))
     return stored(runs, "runs")
 
 
