@@ -26,6 +26,10 @@ from reportlake.operators.distribution import (
 DISTANCES = ("COSINE", "DOT", "EUCLID", "MANHATTAN")
 # Chunks that share one bound of what a term can add.
 BLOCK = 64
+# Chunks looked at for a first bound of a query, as a multiple of k.
+SEEDS = 16
+# Share of the bound that unmatched terms may add when pairs are judged the second time.
+LEFT = 0.25
 # Scores are added as whole multiples of 2**-40: the sum does not depend on the order of the rows,
 # so equal chunks get equal scores and their ids decide.
 FIXED = float(2**40)
@@ -201,12 +205,12 @@ def thresholds(known: Lexicon, k: int) -> DataFrame:
     """(query_id, bound): a score that at least k chunks reach, from the chunks that hold a query's rarest
     terms; 0 where there are fewer."""
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = known.weights.withColumn("seen", F.sum("df").over(rarest)).filter(F.coalesce("seen", F.lit(0)) < k)
+    seeds = known.weights.withColumn("seen", F.sum("df").over(rarest)).filter(F.coalesce("seen", F.lit(0)) < SEEDS * k)
     partial = (
         known.postings.join(seeds, "term").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
     )
-    best = rank_by(partial, [F.desc("fixed")], k)
-    return score_pairs(known, best).groupBy("query_id").agg(
+    scored = score_pairs(known, rank_by(partial, [F.desc("fixed")], SEEDS * k))
+    return rank_by(scored, [F.desc("fixed")], k).groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("fixed")).otherwise(F.lit(0)).alias("bound"))
 
 
@@ -216,25 +220,36 @@ def promising_pairs(known: Lexicon, k: int) -> DataFrame:
     A term adds at most what it adds in the chunk of its block that holds it most. In a block, the
     terms of a query are taken from the weakest on as long as their greatest sum stays below the
     bound of the query: a chunk with these terms alone cannot reach it. Only the other terms are
-    matched, and only chunks that can still reach the bound with all the weak ones remain. Blocks
-    whose terms together stay below the bound are never looked at."""
+    matched, and only chunks that can still reach the bound with all the weak ones remain. For
+    these, weak terms are added until what is left is below a share of the bound, and chunks are
+    judged again. Blocks whose terms together stay below the bound are never looked at."""
     tops = known.postings.groupBy("block", "term").agg(F.max("saturation").alias("top"))
     bounds = materialize(thresholds(known, k), even=False)
     inside = Window.partitionBy("query_id", "block")
     weakest = inside.orderBy("part", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    strong = (
+    upto, bound = F.col("upto"), F.col("bound")
+    below = lambda limit: F.coalesce(F.max(F.when(upto < limit, upto)).over(inside), F.lit(0))
+    terms = materialize(
         tops.join(known.weights, "term")
         .select("query_id", "block", "term", "weight", _part("top").alias("part"))
         .join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
         .withColumn("upto", F.sum("part").over(weakest))
-        .withColumn("rest", F.coalesce(F.max(F.when(F.col("upto") < F.col("bound"), F.col("upto"))).over(inside), F.lit(0)))
-        .filter(F.col("upto") >= F.col("bound"))
-        .drop("part", "upto")
+        .withColumns({"rest": below(bound), "least": below(bound * LEFT), "total": F.max("upto").over(inside)})
+        .filter((F.col("total") >= bound) & (upto >= bound * LEFT))
+        .drop("part", "total"), even=False)
+    strong = known.postings.join(terms.filter(upto >= bound), ["block", "term"])
+    partial = strong.groupBy("query_id", "chunk_id", "block").agg(
+        F.sum(_part()).alias("fixed"), *[F.first(c).alias(c) for c in ("rest", "least", "bound")])
+    first = materialize(partial.filter(F.col("fixed") + F.col("rest") >= bound).drop("rest"), even=False)
+    weak = terms.filter(upto < bound).select("query_id", "block", "term", "weight")
+    more = (
+        first.select("query_id", "chunk_id", "block", F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("bound"))
+        .join(known.postings.drop("block"), "chunk_id").join(weak, ["query_id", "block", "term"])
+        .select("query_id", "chunk_id", "block", _part().alias("fixed"), "least", "bound")
     )
-    matched = known.postings.join(strong, ["block", "term"])
-    partial = matched.groupBy("query_id", "chunk_id").agg(
-        F.sum(_part()).alias("fixed"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
-    return partial.filter(F.col("fixed") + F.col("rest") >= F.col("bound")).select("query_id", "chunk_id")
+    judged = first.select(more.columns).unionByName(more).groupBy("query_id", "chunk_id").agg(
+        F.sum("fixed").alias("fixed"), F.max("least").alias("least"), F.max("bound").alias("bound"))
+    return judged.filter(F.col("fixed") + F.col("least") >= bound).select("query_id", "chunk_id")
 
 
 def bm25_search(

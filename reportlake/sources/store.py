@@ -1,35 +1,103 @@
 """Stored tables: lookups, filtered scans, keyed merges, deletion and lifecycle.
 
-A table is a folder of Parquet versions (`v=1`, `v=2`, …). Changes are computed as a whole new
-version from joins on the key and become visible when its write is committed."""
+A keyed table is a Parquet folder partitioned into buckets of one column. A change reads and overwrites
+only the buckets that its keys fall into; the files of all others stay as they are."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reportlake.functions.ids import point_id
 from reportlake.functions.vectors import vector_issue
 from reportlake.operators.search import Filters, apply_filters
 
 STATES = ("uploaded", "processing", "ready", "failed", "deleted")
+BUCKETS = 256
 
 
-def read_current(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Newest version of a table; an empty one if nothing was written yet."""
-    version = current_version(spark, folder)
-    if version == 0:
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def in_buckets(df: DataFrame, by: str, buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+
+
+def read_keyed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All rows of a keyed table; none if nothing was written yet."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, bucket int").parquet(folder).drop("bucket")
+
+
+def _rows_of(spark: SparkSession, folder: str, schema: str, buckets: list[int]) -> DataFrame:
+    """The rows of some buckets; the condition prunes the folders of all others."""
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{folder}/v={version}")
+    return spark.read.schema(f"{schema}, bucket int").parquet(folder).filter(F.col("bucket").isin(buckets)).drop("bucket")
+
+
+def _numbers(rows: DataFrame, by: str, buckets: int) -> list[int]:
+    """Buckets that some rows fall into; at most `buckets` numbers reach the driver."""
+    return [r["bucket"] for r in in_buckets(rows.select(by), by, buckets).select("bucket").distinct().collect()]
+
+
+def _overwrite(rows: DataFrame, folder: str, by: str, buckets: int) -> None:
+    placed = in_buckets(rows, by, buckets).repartition("bucket")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
+def upsert(new: DataFrame, folder: str, schema: str, keys: list[str], order: str | None = None, by: str | None = None,
+           buckets: int = BUCKETS) -> list[int]:
+    """Insert or overwrite rows by key (see `merge_by_key`); gives the buckets that were written.
+
+    `by` is the key column that names the bucket, the first one unless given. A table keeps the number
+    of buckets it was first written with. A change that is repeated leaves the same rows."""
+    spark, by = new.sparkSession, by or keys[0]
+    touched = _numbers(new, by, buckets)
+    if touched:
+        stored = _rows_of(spark, folder, schema, touched)
+        _overwrite(merge_by_key(stored, new, keys, order), folder, by, buckets)
+    return touched
+
+
+def delete_keys(gone: DataFrame, folder: str, schema: str, by: str, buckets: int = BUCKETS) -> list[int]:
+    """Delete the rows whose `by` is among `gone`; gives the buckets that were touched."""
+    spark = gone.sparkSession
+    touched = _numbers(gone, by, buckets) if exists(spark, folder) else []
+    if not touched:
+        return []
+    left = _rows_of(spark, folder, schema, touched).join(gone.select(by).distinct(), by, "left_anti")
+    still = _numbers(left, by, buckets)
+    if still:
+        _overwrite(left.select(*_columns(schema)), folder, by, buckets)
+    for empty in set(touched) - set(still):
+        remove(spark, f"{folder}/bucket={empty}")
+    return touched
 
 
-def current_version(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return max((int(f.getPath().getParent().getName()[2:]) for f in found), default=0)
+def _columns(schema: str) -> list[str]:
+    return [f.name for f in T.StructType.fromDDL(schema).fields]
 
 
-def write_version(df: DataFrame, folder: str, *partition_by: str) -> int:
-    version = current_version(df.sparkSession, folder) + 1
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/v={version}")
-    return version
+def delete_with_event(gone: DataFrame, folder: str, schema: str, events: str, at: Column, buckets: int = BUCKETS) -> list[int]:
+    """Delete the points of documents (document_id) and append a `deleted` event for each to the event
+    log. The event is written first: after a failure the call is repeated, and of equal events the
+    latest counts."""
+    ids = gone.select("document_id").distinct()
+    ids.select("document_id", at.alias("ts"), F.lit(1 << 40).alias("seq"), F.lit("deleted").alias("state"),
+               F.lit(None).cast("string").alias("stage"), F.lit(None).cast("bigint").alias("chunk_count")
+               ).write.mode("append").parquet(events)
+    return delete_keys(ids, folder, schema, "document_id", buckets)
 
 
 def merge_by_key(stored: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

@@ -1,35 +1,84 @@
 """Continuous ingest on Structured Streaming."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-LATENESS = "1 day"
+from reportlake.sources.store import exists, remove
 
+KEYS = ("checksum", "domain")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches of the state log between two compactions.
+EVERY = 10
 
-def new_uploads(uploads: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Stream without repeats of a checksum in a domain inside the watermark."""
-    return uploads.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(
-        ["checksum", "domain"])
 
+class _Once(StatefulProcessor):
+    """Lets the first row of a key pass. With an expiry, a key is forgotten that long after it."""
 
-def ingest(uploads: DataFrame, table: str, checkpoint: str, lateness: str = LATENESS,
-           **trigger) -> StreamingQuery:
-    """Append uploads that are not stored yet; partitioned by domain.
+    def __init__(self, expiry: int | None) -> None:
+        self.expiry = expiry
 
-    The watermark bounds the state and drops most repeats; the anti-join with the stored table in
-    each batch is what guarantees that none gets in, also after a restart or a replayed batch."""
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.expiry)
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        once = batch.dropDuplicates(["checksum", "domain"])
-        if _exists(spark, table):
-            stored = spark.read.parquet(table).select("checksum", "domain")
-            once = once.join(stored, ["checksum", "domain"], "left_anti")
-        once.write.mode("append").partitionBy("domain").parquet(table)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            if first is None and len(part):
+                first = part.head(1)
+        if first is not None and not self.seen.exists():
+            self.seen.update((True,))
+            yield first
 
-    return (
-        new_uploads(uploads, lateness).writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def new_uploads(uploads: DataFrame, stored: DataFrame, expiry: int | None = None) -> DataFrame:
+    """Stream of the first upload of each checksum in a domain.
+
+    What was seen is keyed state: a batch costs what its own keys cost, whatever was stored before.
+    `stored` (checksum, domain) is read once, when the query starts for the first time. `expiry` in
+    milliseconds bounds the state; without it a repeat is recognised for ever."""
+    known = stored.select(*KEYS).distinct().groupBy(*KEYS)
+    return uploads.groupBy(*KEYS).transformWithStateInPandas(
+        _Once(expiry), uploads.schema, "Append", "ProcessingTime" if expiry else "None", known)
+
+
+def ingest(uploads: DataFrame, table: str, checkpoint: str, expiry: int | None = None, **trigger) -> StreamingQuery:
+    """Append uploads that are not stored yet; partitioned by domain.
+
+    Every batch overwrites its own folder, named by the checkpoint and the batch number, so a replayed
+    batch leaves what it left before. A query with a new checkpoint starts from the keys that other
+    runs have stored; its own rows are in its state."""
+    spark = uploads.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("domain").parquet(f"{table}/run={run}/batch={batch_id}")
+
+    if exists(spark, table):
+        stored = spark.read.parquet(table).filter(F.col("run").cast("string") != run)
+    else:
+        stored = spark.createDataFrame([], "checksum string, domain string")
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        return (
+            new_uploads(uploads, stored, expiry).writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def latest_states(events: DataFrame) -> DataFrame:
@@ -39,24 +88,60 @@ def latest_states(events: DataFrame) -> DataFrame:
     ).select("document_id", "s.state", "s.ts", "s.seq")
 
 
-def track_states(events: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each batch of changed states; the last row per document is its state."""
+def track_states(events: DataFrame, folder: str, checkpoint: str, every: int = EVERY, **trigger) -> StreamingQuery:
+    """Write each batch of changed states to a log, and fold the log into a base every few batches. Base
+    and log are named by the batches they hold, so a replayed batch writes the same again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+        if batch_id % every == every - 1:
+            compact_states(batch.sparkSession, folder, batch_id)
 
     return (
         latest_states(events).writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def current_states(spark: SparkSession, folder: str) -> DataFrame:
-    """State table made of the written batches."""
-    rows = spark.read.parquet(folder)
+def _numbered(spark: SparkSession, pattern: str) -> list[int]:
+    """Numbers of the finished folders `…=number` of a pattern, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().rpartition("=")[2]) for f in found)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    at = F.struct("ts", "seq")
     return rows.groupBy("document_id").agg(
-        F.max_by("state", F.struct("ts", "seq")).alias("state"), F.max("ts").alias("ts"))
+        F.max_by("state", at).alias("state"), F.max("ts").alias("ts"), F.max_by("seq", at).alias("seq"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _generation(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame | None:
+    """The newest base and the log batches behind it, up to a batch; None where there is neither."""
+    bases = [n for n in _numbered(spark, f"{folder}/base/upto") if upto is None or n < upto]
+    base = bases[-1] if bases else -1
+    log = [n for n in _numbered(spark, f"{folder}/log/batch") if n > base and (upto is None or n <= upto)]
+    paths = [f"{folder}/base/upto={base}"] * bool(bases) + [f"{folder}/log/batch={n}" for n in log]
+    return spark.read.parquet(*paths).select("document_id", "state", "ts", "seq") if paths else None
+
+
+def compact_states(spark: SparkSession, folder: str, upto: int) -> None:
+    """Fold base and log up to a batch into a new base. What the base before it held goes; that base
+    itself stays for those who read it now."""
+    rows = _generation(spark, folder, upto)
+    if rows is None:
+        return
+    _newest(rows).write.mode("overwrite").parquet(f"{folder}/base/upto={upto}")
+    older = [n for n in _numbered(spark, f"{folder}/base/upto") if n < upto]
+    for n in older[:-1]:
+        remove(spark, f"{folder}/base/upto={n}")
+    for n in _numbered(spark, f"{folder}/log/batch"):
+        if older and n <= older[-1]:
+            remove(spark, f"{folder}/log/batch={n}")
+
+
+def current_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest state of every document: one base and at most the batches since."""
+    rows = _generation(spark, folder)
+    if rows is None:
+        return spark.createDataFrame([], "document_id string, state string, ts timestamp")
+    return _newest(rows).drop("seq")

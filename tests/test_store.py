@@ -7,18 +7,46 @@ from reportlake.sources import files, store
 from reportlake.streaming import ingest
 
 
-def test_merge_versions_and_delete(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    assert store.read_current(spark, folder, "id string, v int").count() == 0
-    first = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
-    store.write_version(first, folder)
-    new = spark.createDataFrame([("b", 2), ("c", 2), ("c", 3)], "id string, v int")
-    merged = store.merge_by_key(store.read_current(spark, folder, "id string, v int"), new, ["id"], "v")
-    assert store.write_version(merged, folder) == 2
-    rows = {r["id"]: r["v"] for r in store.read_current(spark, folder, "id string, v int").collect()}
-    assert rows == {"a": 1, "b": 2, "c": 3}
-    same = store.merge_by_key(merged, new, ["id"], "v")
-    assert same.exceptAll(merged).isEmpty()
+def _files(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_upsert_and_delete_touch_only_their_buckets(spark, tmp_path):
+    folder, schema = tmp_path / "t", "id string, v int"
+    path, rows = str(folder), lambda: {r["id"]: r["v"] for r in store.read_keyed(spark, path, schema).collect()}
+    assert store.read_keyed(spark, path, schema).count() == 0
+    assert store.delete_keys(spark.createDataFrame([("a",)], "id string"), path, schema, "id", 8) == []
+    store.upsert(spark.createDataFrame([(f"k{i}", 1) for i in range(40)], schema), path, schema, ["id"], buckets=8)
+    before = _files(folder)
+    new = spark.createDataFrame([("k1", 2), ("n", 2), ("n", 3)], schema)
+    touched = store.upsert(new, path, schema, ["id"], "v", buckets=8)
+    want = {f"k{i}": 1 for i in range(40)} | {"k1": 2, "n": 3}
+    assert rows() == want and 1 <= len(touched) <= 2
+    kept = {f for f in before if int(f.split("/")[0].split("=")[1]) not in touched}
+    assert kept and kept <= _files(folder) and not (before - kept) & _files(folder)
+    store.upsert(new, path, schema, ["id"], "v", buckets=8)
+    assert rows() == want
+    gone = spark.createDataFrame([(k,) for k in ("k1", "k2", "unknown")], "id string")
+    middle = _files(folder)
+    touched = store.delete_keys(gone, path, schema, "id", 8)
+    del want["k1"], want["k2"]
+    assert rows() == want
+    assert {f for f in middle if int(f.split("/")[0].split("=")[1]) not in touched} <= _files(folder)
+    everything = store.read_keyed(spark, path, schema).select("id")
+    store.delete_keys(everything, path, schema, "id", 8)
+    assert rows() == {} and _files(folder) == set()
+
+
+def test_delete_appends_an_event(spark, tmp_path):
+    folder, events, schema = str(tmp_path / "p"), str(tmp_path / "e"), "document_id string, chunk_id string"
+    store.upsert(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], schema), folder, schema, ["document_id", "chunk_id"])
+    spark.sql("select 'a' as document_id, timestamp'2026-01-01' as ts, 1L as seq, 'ready' as state, cast(null as string) as stage, 2L as chunk_count").write.parquet(events)
+    gone = spark.createDataFrame([("a",), ("a",)], "document_id string")
+    for _ in range(2):
+        store.delete_with_event(gone, folder, schema, events, F.lit("2026-01-02").cast("timestamp"))
+    assert [tuple(r) for r in store.read_keyed(spark, folder, schema).collect()] == [("b", "1")]
+    state = store.lifecycle_states(spark.read.parquet(events)).collect()
+    assert [(r["document_id"], r["processing_status"], r["chunk_count"]) for r in state] == [("a", "deleted", 2)]
 
 
 def test_point_metadata(spark):
@@ -114,3 +142,34 @@ def test_lifecycle(spark):
     rows = {r["document_id"]: r for r in store.lifecycle_states(events).collect()}
     assert (rows["d"]["processing_status"], rows["d"]["failed_stage"]) == ("deleted", "embedding")
     assert (rows["e"]["processing_status"], rows["e"]["failed_stage"], rows["e"]["chunk_count"]) == ("ready", None, 7)
+
+
+def _states(spark, source, rows):
+    spark.createDataFrame(rows, "document_id string, state string, t string, seq int").select(
+        "document_id", "state", F.col("t").cast("timestamp").alias("ts"), "seq").write.mode("append").json(source)
+    return spark.readStream.schema("document_id string, state string, ts timestamp, seq int").json(source)
+
+
+def test_state_log_is_compacted(spark, tmp_path):
+    source, folder, checkpoint = (str(tmp_path / n) for n in ("in", "states", "cp"))
+    assert ingest.current_states(spark, folder).count() == 0
+    for n in range(9):
+        stream = _states(spark, source, [("a", f"s{n}", f"2026-01-{n + 1:02d}", 1), (f"d{n}", "x", "2026-01-01", 1)])
+        ingest.track_states(stream, folder, checkpoint, every=3).awaitTermination()
+        found = {r["document_id"]: r["state"] for r in ingest.current_states(spark, folder).collect()}
+        assert found == {"a": f"s{n}"} | {f"d{k}": "x" for k in range(n + 1)}
+    assert ingest._numbered(spark, f"{folder}/base/upto") == [5, 8]
+    assert ingest._numbered(spark, f"{folder}/log/batch") == [6, 7, 8]
+    ingest.compact_states(spark, folder, 8)
+    assert ingest.current_states(spark, folder).count() == 10
+
+
+def test_ingest_starts_from_what_other_runs_stored(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    for n, rows in enumerate([["a", "b", "a"], ["b", "c"]]):
+        spark.createDataFrame([(x, "tasks", "2026-01-01") for x in rows], "checksum string, domain string, t string").select(
+            "checksum", "domain", F.col("t").cast("timestamp").alias("received_at")).write.mode("append").json(source)
+        stream = spark.readStream.schema("checksum string, domain string, received_at timestamp").json(source)
+        ingest.ingest(stream, table, str(tmp_path / f"cp{n}")).awaitTermination()
+        assert sorted(r["checksum"] for r in spark.read.parquet(table).collect()) == (["a", "b"] if n == 0 else ["a", "b", "c"])
+    assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
