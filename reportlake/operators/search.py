@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -587,11 +587,17 @@ def retrieve(
     candidate_k: int = settings.CANDIDATE_TOP_K,
     final_k: int = settings.FINAL_TOP_K,
     rerank: bool = True,
+    rewrite: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The search pipeline up to the final cut. `corpus` and `queries` carry a `vector` column
-    when dense search is used."""
+    when dense search is used.
+
+    `rewrite` is a user's expression of the normalized query; identifiers are read from what it gives,
+    and a query that it makes blank is refused like a blank one."""
     use_dense, use_lexical, use_both = mode.resolve()
     asked = valid_queries(queries)
+    if rewrite is not None:
+        asked = valid_queries(asked.withColumn("query", rewrite(F.col("query"))))
     dense = dense_search(corpus, asked, filters, candidate_k) if use_dense else None
     lexical = bm25_search(corpus, asked, filters, candidate_k) if use_lexical else None
     if use_both:

@@ -8,5 +8,6 @@ from reportlake.plans import (  # noqa: F401
     report_queries,
     search_queries,
     store_queries,
+    whole_queries,
 )
 from reportlake.plans.registry import ORACLES, QUERIES  # noqa: F401
