@@ -308,9 +308,13 @@ COMPARISONS = ("equal", "not_equal", "greater_than", "greater_or_equal", "less_t
 
 
 def arithmetic(operator: str, left: Column, right: Column) -> Column:
-    """Result of a whitelisted operation; null for division by zero and beyond 28 digits."""
+    """Result of a whitelisted operation; null for division by zero and where 38 digits do not hold it.
+
+    Whole numbers of more than 18 digits are taken without fractional digits."""
     if operator not in ARITHMETIC:
         raise ValueError(f"unknown operator: {operator}")
+    long = [v.try_cast("decimal(38,0)") for v in (left, right)]
+    whole = (long[0] == left) & (long[1] == right)
     narrow = [v.try_cast("decimal(18,4)") for v in (left, right)]
     left, right = left.try_cast("decimal(28,10)"), right.try_cast("decimal(28,10)")
     # A product of narrow factors keeps all of its digits.
@@ -321,8 +325,9 @@ def arithmetic(operator: str, left: Column, right: Column) -> Column:
         "multiply": lambda: F.when(exact, F.try_multiply(*narrow).cast("decimal(38,10)")).otherwise(
             F.try_multiply(left, right).try_cast("decimal(38,10)")),
         "divide": lambda: F.try_divide(left, right),
-    }[operator]()
-    return result.try_cast("decimal(38,10)")
+    }[operator]().try_cast("decimal(38,10)")
+    wide = {"add": F.try_add, "subtract": F.try_subtract, "multiply": F.try_multiply, "divide": F.try_divide}[operator]
+    return F.coalesce(result, F.when(whole, wide(*long).try_cast("decimal(38,10)")))
 
 
 def compare(operator: str, left: Column, right: Column, x: Column, y: Column) -> Column:
@@ -406,7 +411,8 @@ def _with_operands(reports: DataFrame, definitions: list[Definition]) -> DataFra
 
 
 def evaluate_kpis(reports: DataFrame, definitions: list[Definition]) -> DataFrame:
-    """(report_id, kpi_id, value, source_fields, label, issue) for every report and definition."""
+    """(report_id, kpi_id, value, source_fields, label, issue) for every report and definition. A result
+    that 38 digits do not hold is null with the issue RESULT_OUT_OF_RANGE."""
     results, staged = [], _with_operands(reports, definitions)
     for n, d in enumerate(definitions):
         may, absent, left, right = (F.col(f"_d{n}.{p}") for p in ("may", "absent", "x", "y"))
@@ -416,10 +422,12 @@ def evaluate_kpis(reports: DataFrame, definitions: list[Definition]) -> DataFram
             .when(left.isNull() | right.isNull(), "DEFINITION_NOT_NUMERIC")
             .when(F.lit(d.operator == "divide") & (right == 0), "ZERO_DENOMINATOR")
         )
+        value = arithmetic(d.operator, left, right)
+        problem = problem.when(value.isNull(), "RESULT_OUT_OF_RANGE")
         results.append(
             F.struct(
                 F.lit(d.id).alias("kpi_id"),
-                F.when(problem.isNull(), arithmetic(d.operator, left, right)).alias("value"),
+                F.when(problem.isNull(), value).alias("value"),
                 F.array(*[F.lit(f) for f in d.source_fields]).cast("array<string>").alias("source_fields"),
                 F.lit(d.label).alias("label"),
                 problem.alias("issue"),

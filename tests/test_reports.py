@@ -180,3 +180,14 @@ def test_official_tasks_get_one_warning(spark):
         'OFFICIAL_CANDIDATE' as classification""")
     found = rules.validate_tasks(task, F.lit("2026-01-31").cast("date")).first()["issues"]
     assert [i["code"] for i in found] == ["OFFICIAL_RULES_UNAVAILABLE"]
+
+
+def test_large_results_are_kept_or_reported(spark):
+    row = spark.sql("""select 'r' as report_id, 'SYNTHETIC_TEST_DATA' as classification,
+        map('a', '12345678901234567890', 'b', '1', 'c', '9999999999999999999999999999', 'd', '0.5') as values""")
+    of = lambda name, op, x, y: Definition(name, op, Operand(x), Operand(y))
+    found = rules.evaluate_kpis(row, [
+        of("sum", "add", "a", "b"), of("less", "subtract", "b", "a"), of("beyond", "multiply", "c", "c"), of("half", "multiply", "b", "d")])
+    got = {r["kpi_id"]: (r["value"] and str(r["value"].normalize()), r["issue"]) for r in found.collect()}
+    assert got == {"sum": ("12345678901234567891", None), "less": ("-12345678901234567889", None),
+                   "beyond": (None, "RESULT_OUT_OF_RANGE"), "half": ("0.5", None)}
