@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve, suffixes
-from reportlake.llm.work import lean, stored
+from reportlake.llm.work import lean, small_batches, stored
 
 SIZE = 200
 GRAM = 64
@@ -371,6 +371,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Strings are judged on the input. A null text is empty. Every row is a document of its own, also where
     ids repeat or are null; copies remove each other. Other columns are ignored. `size` is at least 31."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     runs = repeated_windows(source.select("text"), size, gram, gathered)
     bits = spark.sparkContext.broadcast(sieve.build(keyed(runs, "owner"), "key"))

@@ -71,6 +71,20 @@ def held_out(id_column):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+class Sent:
+    """A broadcast of an object's fields. The object is put together in the task: its class travels with
+    the function, so workers need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, thing) -> None:
+        self.fields, self.kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    @property
+    def value(self):
+        out = self.kind.__new__(self.kind)
+        vars(out).update(self.fields.value)
+        return out
+
+
 def hidden_file() -> int:
     """Descriptor of a file without a name: gone when its process ends."""
     handle, path = tempfile.mkstemp()
@@ -87,6 +101,19 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of the rows that go to a Python worker at once, and rows that the Parquet reader holds at once.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let texts travel in small batches where the session does not say otherwise: a batch lies in the
+    executor and in its worker at the same time. The settings stay, as DataFrames run later; they change
+    memory, never a result."""
+    for name, size in SMALL.items():
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, size)
+
+
 def lean(run: Callable) -> Callable:
     """`run` for mapInArrow in a worker that gives memory back before and after it. Workers are reused
     and wait for a minute: what they held for one task would lie beside what the next stage needs."""
