@@ -53,8 +53,32 @@ class Powers:
 _powers = Powers(BASE)
 
 
+def placed_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of codes[start:end] for spans of any length that do not overlap: the sum of a mixed value of
+    every code and its place in the span, so that no pattern of codes cancels out."""
+    lengths = ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at = ragged(starts, lengths)
+    place = (at - np.repeat(starts, lengths)).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes[at] + place * STEP))])
+    edges = np.cumsum(lengths)
+    return mix(total[edges] - total[edges - lengths] + lengths.astype(np.uint64) * STEP)
+
+
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as a number in their order; zero bytes follow the text."""
+    out = text.astype(np.uint64)
+    for width in (1, 2, 4):
+        after = np.zeros_like(out)
+        after[:-width] = out[width:]
+        out = (out << np.uint64(8 * width)) | after
+    return out
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end] for every span."""
+    """Hash of codes[start:end] for short spans, which may overlap. It is a polynomial in the codes: for long
+    spans of few codes use `placed_hashes`."""
     up, down = _powers.get(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[:-1], out=total[1:])
@@ -107,7 +131,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        return span_hashes((LOWER_CODE if lower else BYTE_CODE)[self.data], self.start, self.end)
+        return placed_hashes((LOWER_CODE if lower else BYTE_CODE)[self.data], self.start, self.end)
 
 
 def ngrams(items: np.ndarray, n: int) -> np.ndarray:

@@ -7,6 +7,7 @@ pair of lowest rank first. Frequent words come from lossy counting over all docu
 it finds changes the speed only, never a result."""
 
 import functools
+import heapq
 import json
 import unicodedata
 
@@ -21,6 +22,10 @@ from reportlake.llm.work import lean
 LEXICON_WORDS = 50_000
 SUMMARY_WORDS = 50_000
 CHUNK_BYTES = 1 << 19
+#: Longer words are merged one by one by a heap.
+LONG_WORD = 256
+#: Longer words are not kept in the lexicon.
+LEXICON_BYTES = 64
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The Unicode property White_Space.
@@ -60,11 +65,51 @@ class Vocabulary:
         for letter, byte in letters.items():
             self.byte_id[byte] = vocab[letter]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in parsed["model"]["merges"]]
-        self.pairs = IntMap.build(np.array([vocab[a] << 24 | vocab[b] for a, b in pairs], np.int64))
+        self.listed = np.array([vocab[a] << 24 | vocab[b] for a, b in pairs], np.int64)
+        self.pairs = IntMap.build(self.listed)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
 
+    @functools.cached_property
+    def ranks(self) -> dict[int, int]:
+        return {pair: rank for rank, pair in enumerate(self.listed.tolist())}
+
+    def merge_long(self, word: np.ndarray) -> list[int]:
+        """Ids of one word of any length: places wait in a heap by the rank of the pair that begins there,
+        so every merge costs a few heap steps."""
+        ids, n, ranks = self.byte_id[word].tolist(), len(word), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [rank * n + i for i in range(n - 1) if (rank := ranks.get(ids[i] << 24 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), n)
+            j = after[i]
+            if ids[i] < 0 or j >= n or ranks.get(ids[i] << 24 | ids[j]) != rank:
+                continue  # merged meanwhile
+            ids[i], ids[j], after[i] = int(self.merged[rank]), -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (rank := ranks.get(ids[a] << 24 | ids[b])) is not None:
+                    heapq.heappush(heap, rank * n + a)
+        return [x for x in ids if x >= 0]
+
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every word data[start:end], one after another, and how many each has."""
+        long = ends - starts > LONG_WORD
+        if not long.any():
+            return self.merge_short(data, starts, ends)
+        ids, some = self.merge_short(data, starts[~long], ends[~long])
+        parts = [self.merge_long(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        counts = np.zeros(len(starts), np.int64)
+        counts[~long], counts[long] = some, [len(p) for p in parts]
+        out = np.zeros(counts.sum(), np.int64)
+        first = np.cumsum(counts) - counts
+        out[arrays.ragged(first[~long], some)] = ids
+        out[arrays.ragged(first[long], counts[long])] = np.concatenate(parts)
+        return out, counts
+
+    def merge_short(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of bounded length, one merge of every word at a time."""
         counts = ends - starts
         ids = self.byte_id[data[arrays.ragged(starts, counts)]]
         word = np.repeat(np.arange(len(starts)), counts)
@@ -102,6 +147,24 @@ def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
+    """True where all spans equal their partners byte by byte, eight bytes at a time."""
+    size = end - start
+    if not np.array_equal(size, other_end - other):
+        return False
+    words = arrays.words_at(data)
+    at = 0
+    while len(size):
+        part = np.minimum(size - at, 8).astype(np.uint64)
+        shift = np.uint64(64) - part * np.uint64(8)
+        if ((words[start + at] ^ words[other + at]) >> shift).any():
+            return False
+        at += 8
+        more = size > at
+        size, start, other = size[more], start[more], other[more]
+    return True
+
+
 class Slice:
     """Words of consecutive documents: distinct ones as byte spans, and the number of each place."""
 
@@ -153,16 +216,27 @@ class Slice:
             start[a + 1:b] = False
         first = np.flatnonzero(start)
         end = np.append(first[1:], n)
-        codes = chars.astype(np.uint64) * arrays.STEP
-        hashes = arrays.span_hashes(codes, first, end)
+        hashes = arrays.placed_hashes(chars.astype(np.uint64), first, end)
         for a, _, token in marks:
             hashes[np.searchsorted(first, a)] = special.index(token)
         self.keys, where, self.place = np.unique(hashes, return_index=True, return_inverse=True)
         byte_at = np.append(char_at, len(data))
         self.start, self.end = byte_at[first[where]], byte_at[end[where]]
+        if not same_bytes(data, byte_at[first], byte_at[end], self.start[self.place], self.end[self.place]):
+            self.by_bytes(raw, byte_at[first], byte_at[end], hashes, len(special))
         self.marked = np.isin(self.keys, np.arange(len(special), dtype=np.uint64)) if marks else np.zeros(len(self.keys), bool)
         self.docs = np.searchsorted(first, docs)
 
+    def by_bytes(self, raw: bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, special: int) -> None:
+        """Two words share a hash: number the words by their bytes. Keys above the special ones only need
+        to differ."""
+        known: dict = {}
+        names = [raw[a:b] if h >= special else int(h) for a, b, h in zip(start.tolist(), end.tolist(), hashes.tolist())]
+        self.place = np.array([known.setdefault(w, len(known)) for w in names], np.int64)
+        where = np.unique(self.place, return_index=True)[1]
+        self.keys = np.array([w if isinstance(w, int) else special + k for k, w in enumerate(known)], np.uint64)
+        self.start, self.end = start[where], end[where]
+
 
 def _slices(batch: pa.RecordBatch, special: list[str]):
     data, offsets = arrays.string_buffer(batch.column("text"))
@@ -185,7 +259,8 @@ def _heavy(limit: int):
                 inside = at < len(keys)
                 held[inside] = keys[at[inside]] == part.keys[inside]
                 counts[at[held]] += seen[held]
-                new = np.flatnonzero(~held & (seen > 1))
+                # A long word is never worth a path of its own in the lexicon.
+                new = np.flatnonzero(~held & (seen > 1) & (part.end - part.start <= LEXICON_BYTES))
                 raw = part.data.tobytes()
                 words = np.empty(len(new), object)
                 words[:] = [raw[a:b] for a, b in zip(part.start[new].tolist(), part.end[new].tolist())]

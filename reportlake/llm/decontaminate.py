@@ -13,10 +13,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.llm import arrays, sieve
-from reportlake.llm.work import lean, stored
+from reportlake.llm.work import Sent, lean, stored
 
 WORDS = 5
 SHARE = 0.8
@@ -114,42 +114,46 @@ def _search(index):
                     items.append(i)
                     found.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array([own.ids[i] for i in items], pa.int64()),
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "mark")), pa.array([own.ids[i] for i in items], pa.int64()),
                  pa.array([int(own.sizes[i]) for i in items], pa.int64()), pa.array(found, pa.int64())],
-                ["id", "item", "n_shingles", "n_found"],
+                ["id", "mark", "item", "n_shingles", "n_found"],
             )
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+                 mark: Column | None = None) -> DataFrame:
     """One row (id, item, n_shingles of the item, n_found) for each document that holds at least
     `share` of the distinct word shingles of an item, after lower-casing A-Z.
 
     An item of fewer words than a shingle is one shingle, found where its words follow each other in
     a document; null or blank items and documents match nothing. Rows that share an id are one
-    document, or item, with the best match of its rows; null ids count as an id. Other columns are
-    ignored. An empty table on either side gives no rows."""
+    document, or item, with the best match of its rows; null ids count as an id. With `mark`, rows of an id
+    are told apart by that expression, and the result has it. Other columns are ignored. An empty table on either side gives no rows."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    marked = F.lit(None).cast("string") if mark is None else mark
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), marked.alias("mark"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks = -(-size // block_bytes)
-    out = spark.createDataFrame([], "id bigint, item bigint, n_shingles bigint, n_found bigint")
+    shape = "id bigint, mark string, item bigint, n_shingles bigint, n_found bigint"
+    out = spark.createDataFrame([], shape)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         index = Index([(r["item"], r["text"]) for r in part.collect()], words, share)
         if index.ids:
-            sent = spark.sparkContext.broadcast(index)
-            out = out.unionAll(source.mapInArrow(lean(_search(sent)), "id bigint, item bigint, n_shingles bigint, n_found bigint"))
+            out = out.unionAll(source.mapInArrow(lean(_search(Sent(spark, index))), shape))
     best = F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found"))
-    return out.groupBy("id", "item").agg(best.alias("b")).select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_shingles", "b.n_found"
+    return out.groupBy("id", "mark", "item").agg(best.alias("b")).select(
+        F.col("id").alias(id_col), *([] if mark is None else ["mark"]), F.col("item").alias(item_col), "b.n_shingles", "b.n_found"
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    gone = contaminated(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return sieve.without(docs, stored(gone, "leaks"), id_col)
+    """The documents that hold no benchmark item, with all their columns. Of rows that share an id, or have
+    none, those go whose own text holds an item."""
+    mark = F.sha2(F.coalesce(options.get("text_col", "text"), F.lit("")), 256)
+    gone = contaminated(docs, benchmark, id_col=id_col, mark=mark, **options).select(id_col, "mark").distinct()
+    return sieve.without(docs, stored(gone, "leaks"), id_col, mark)

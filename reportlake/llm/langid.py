@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays
-from reportlake.llm.work import first_of_each, lean, stored
+from reportlake.llm.work import Sent, first_of_each, lean, stored
 
 BITS = 15
 SIZE = 1 << BITS
@@ -174,7 +174,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     for r in counted:
         counts[langs.index(r["lang"])] += np.frombuffer(r["counts"], "<i8")
     model = Model(langs, counts)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     held = sample.where("half = 0").drop("half").mapInArrow(lean(_margins(sent)), "lang string, margins array<double>").collect()
     held = [r for r in held if r["lang"] in langs]
     bits = model.code.shape[1]
@@ -214,21 +214,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text that is null or has no letter, and any text if the model knows no language, is `und` with
     score 0. Rows are independent: repeated rows and null ids are kept. Other columns are ignored."""
     source = docs.select(id_col, F.col(text_col).alias("text"))
-    run = _predict(docs.sparkSession.sparkContext.broadcast(model))
+    run = _predict(Sent(docs.sparkSession, model))
     return source.mapInArrow(lean(run), f"`{id_col}` {source.dtypes[0][1]}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents in a language that the model knows, with all their columns; texts that are null or
-    have no letter go. Ambiguous texts stay, since a short clean one may be ambiguous."""
+    have no letter go. Ambiguous texts stay, since a short clean one may be ambiguous. If the model knows
+    no language, all texts with letters stay."""
     source = docs.withColumn("__text", F.col(text_col))
-    names = docs.columns
-    run = _predict(docs.sparkSession.sparkContext.broadcast(model))
+    names, any_language = docs.columns, bool(model.langs)
+    run = _predict(Sent(docs.sparkSession, model))
 
     def known(stream):
         for batch in stream:
             plain = batch.select(["__text"]).rename_columns(["text"])
-            lang = next(iter(run(iter([plain])))).column("lang_pred")
-            yield batch.filter(pa.compute.not_equal(lang, UNKNOWN)).select(names)
+            if any_language:
+                lang = next(iter(run(iter([plain])))).column("lang_pred")
+                good = pa.compute.not_equal(lang, UNKNOWN)
+            else:
+                good = pa.array(has_letter(*arrays.string_buffer(plain.column("text"))))
+            yield batch.filter(good).select(names)
 
     return source.mapInArrow(lean(known), docs.schema)

@@ -88,8 +88,8 @@ def _sign(shingle: int, bands: int, rows: int):
                 one, two = set_digests(values, offsets)
                 ends = np.arange(b - a + 1) * bands
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(np.diff(offsets)), pa.array(one), pa.array(two),
-                     arrays.binary_rows(keys.ravel(), ends)], ["id", "n", "d1", "d2", "bands"])
+                    [*(batch.column(c).slice(a, b - a) for c in ("id", "mark")), pa.array(np.diff(offsets)), pa.array(one), pa.array(two),
+                     arrays.binary_rows(keys.ravel(), ends)], ["id", "mark", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                bands: int = BANDS, rows: int = ROWS, mark: Column | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (smallest id it is linked with over any
     number of links, itself included), kept (it is that id).
 
@@ -205,10 +205,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower-casing A-Z; a document of fewer words has one shingle, its whole sequence, and one without
     words is linked with nothing. Rows that share an id are linked like others; those of equal sets
     stay or go together. A row without id joins its class of equal sets and makes no other link.
-    Other columns are ignored; an empty table gives no rows."""
+    With `mark`, an expression, the result has its value for each row. Other columns are ignored; an empty
+    table gives no rows."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(lean(_sign(shingle, bands, rows)), "id bigint, n bigint, d1 bigint, d2 bigint, bands binary"), "signed")
+    marked = F.lit(None).cast("string") if mark is None else mark
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), marked.alias("mark"), F.col(text_col).alias("text"))
+    signed = stored(source.mapInArrow(lean(_sign(shingle, bands, rows)), "id bigint, mark string, n bigint, d1 bigint, d2 bigint, bands binary"), "signed")
     classes = stored(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
     chosen = signed.join(classes.where("id is not null"), ["d1", "d2", "n", "id"], "left_semi")
     banded = chosen.select("id", "n", "bands").mapInArrow(lean(_bands), "bucket bigint, id bigint, n bigint")
@@ -258,16 +260,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = classes.join(part, "id", "left").select(
         "d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    some = signed.where("n > 0").select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component")
-    none = signed.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    some = signed.where("n > 0").select("id", "mark", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "mark", "n", "component")
+    none = signed.where("n = 0").select("id", "mark", "n", F.col("id").alias("component"))
     return some.unionAll(none).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").alias(id_col), *([] if mark is None else ["mark"]), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, the smallest id, with all its columns. Rows without id stay."""
+    """One document of each group, the smallest id, with all its columns. Rows without id stay. Links are
+    between ids: where rows of one id have different texts, none of them goes, since only one of the
+    texts may be a copy."""
+    mark = F.xxhash64(F.coalesce(text_col, F.lit(""))).cast("string")
+
     def copies():
-        return near_groups(docs, id_col, text_col, **options).where("not kept").select(id_col)
+        of_id = near_groups(docs, id_col, text_col, mark=mark, **options).groupBy(id_col).agg(
+            F.bool_or("kept").alias("kept"), (F.min(F.col("mark").cast("bigint")) != F.max(F.col("mark").cast("bigint"))).alias("several"))
+        return of_id.where("not kept and not several").select(id_col)
 
     return sieve.without(docs, settled(docs.sparkSession, copies, "copies"), id_col)

@@ -215,7 +215,7 @@ def _hints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _word_hashes(listed: tuple[str, ...]) -> np.ndarray:
     """Hashes of words, whose accented letters (the only ones not lowered in texts) have either case."""
     data, offsets = arrays.string_buffer(pa.array([x for w in listed for x in {w, w.upper()}]))
-    return arrays.span_hashes(arrays.LOWER_CODE[data], offsets[:-1], offsets[1:])
+    return arrays.placed_hashes(arrays.LOWER_CODE[data], offsets[:-1], offsets[1:])
 
 
 def _find(stream):

@@ -8,6 +8,8 @@ last bytes. Memory beside the text: its words, one rank per sample, and one buck
 
 import numpy as np
 
+from reportlake.llm.arrays import words_at
+
 #: A perfect difference set modulo 31: every remainder is a difference of two members.
 PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])
@@ -22,16 +24,6 @@ SHIFT = np.array([[min(d for d in range(PERIOD) if _place[(a + d) % PERIOD] >= 0
                    for b in range(PERIOD)] for a in range(PERIOD)])
 
 
-def words_at(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position on as a number in their order; zero bytes follow the text."""
-    out = text.astype(np.uint64)
-    for width in (1, 2, 4):
-        after = np.zeros_like(out)
-        after[:-width] = out[width:]
-        out = (out << np.uint64(8 * width)) | after
-    return out
-
-
 def by_period(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of some positions by their next PERIOD bytes, and where in it the bytes change."""
     last = len(words) - 1

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm import arrays
-from reportlake.llm.work import first_of_each, stored
+from reportlake.llm.work import Sent, first_of_each, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -223,13 +223,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     field.weights = np.where(counted, 0.0, -1.0)
     squares = np.full(SIZE + 6, 1e-8)
     for _ in range(STEPS):
-        gradient = _summed(sample, _gradients(spark.sparkContext.broadcast(field), known))
+        gradient = _summed(sample, _gradients(Sent(spark, field), known))
         gradient[:SIZE] -= SHRINK * field.weights
         squares += gradient**2
         step = RATE * gradient / np.sqrt(squares)
         field.weights = field.weights + step[:SIZE]
         field.moves, field.start = field.moves + step[SIZE:SIZE + 4], field.start + step[SIZE + 4:]
-    rows = sample.mapInArrow(_document_features(spark.sparkContext.broadcast(field)), "v binary").collect()
+    rows = sample.mapInArrow(_document_features(Sent(spark, field)), "v binary").collect()
     table = np.concatenate([np.frombuffer(r["v"], "<f4").astype(float).reshape(-1, 4) for r in rows])
     label = table[:, 0]
     true_share = np.array([rates[0], rates[1]], float)
@@ -268,6 +268,6 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     text alone. Null and empty texts score as texts without words. Rows are independent: repeated
     rows and null ids are kept. Other columns are ignored."""
     source = docs.select(id_col, F.col(text_col).alias("text"))
-    run = _score(docs.sparkSession.sparkContext.broadcast(field))
+    run = _score(Sent(docs.sparkSession, field))
     return source.mapInArrow(
         run, f"`{id_col}` {source.dtypes[0][1]}, score double, spans array<struct<start:int,end:int,p:double>>")
