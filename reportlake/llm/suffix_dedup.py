@@ -252,14 +252,15 @@ def _windows(size: int, bits=None):
     return run
 
 
-def _one_by_one(hot: DataFrame, size: int) -> DataFrame:
-    """(content, runs) of repeated windows of contents too many to gather."""
+def _one_by_one(hot: DataFrame, single: DataFrame, size: int) -> DataFrame:
+    """(content, runs) of repeated windows of contents too many to gather; of the contents in `single`, as
+    all others are repeated as a whole."""
     spark = hot.sparkSession
     counted = hot.mapInArrow(lean(_windows(size)), "window binary, n bigint")
     again = stored(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
     bits = spark.sparkContext.broadcast(sieve.build(keyed(again, "window"), "key"))
-    # A content that a slice has twice is repeated as a whole. Of the others each comes once for a slice.
-    found = hot.where("n = 1").mapInArrow(lean(_windows(size, bits)), "window binary, content binary, place int")
+    alone = hot.where("n = 1").join(single, "content", "left_semi").select(hot.columns)
+    found = alone.mapInArrow(lean(_windows(size, bits)), "window binary, content binary, place int")
     places = found.join(again, "window", "left_semi").groupBy("content").agg(F.sort_array(F.collect_set("place")).alias("p"))
     run = lambda p: F.struct(p.alias("low"), (p + 1).alias("high"))
     return places.select("content", F.transform("p", run).cast(RUNS).alias("runs"))
@@ -289,11 +290,13 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
     hot = contents.select("gram", "content", "n", "bytes").mapInArrow(
         lean(_passing((many, True))), "gram bigint, content binary, n bigint, bytes binary")
     whole = counted.where("n > 1").select("content", F.lit(None).cast(RUNS).alias("runs"), F.lit(True).alias("all"))
-    places = stored(part.unionAll(_one_by_one(hot, size)), "places").withColumn("all", F.lit(False))
+    single = counted.where("n = 1").select("content")
+    places = stored(part.unionAll(_one_by_one(hot, single, size)), "places").withColumn("all", F.lit(False))
     # One row a content: those repeated as a whole have no runs, and all others stand in one place only.
     status = whole.unionAll(places).groupBy("content").agg(
         F.max("all").alias("all"), F.first("runs", ignorenulls=True).alias("runs"))
-    status = status.select("content", F.when(~F.col("all"), F.col("runs")).alias("runs"))
+    # Written, so that the join with the places is a stage of its own, whose common contents can be split.
+    status = stored(status.select("content", F.when(~F.col("all"), F.col("runs")).alias("runs")), "status")
 
     every = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high"))).cast(RUNS)
     marks = found.select("content", "windows", "owner", "first").join(status, "content").select(
