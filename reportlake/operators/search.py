@@ -28,6 +28,8 @@ DISTANCES = ("COSINE", "DOT", "EUCLID", "MANHATTAN")
 BLOCK = 64
 # Chunks looked at for a first bound of a query, as a multiple of k.
 SEEDS = 16
+# Matches of terms that are added up without bounds.
+DIRECT = 20_000_000
 # Share of the bound that unmatched terms may add when pairs are judged the second time.
 LEFT = 0.25
 # Scores are added as whole multiples of 2**-40: the sum does not depend on the order of the rows,
@@ -195,9 +197,11 @@ def score_pairs(known: Lexicon, pairs: DataFrame) -> DataFrame:
 
 def score_all(known: Lexicon) -> DataFrame:
     """(query_id, chunk_id, fixed) of all pairs that share a term."""
+    # Partitioned by chunk once, the sums per (chunk, query) need no shuffle of their own.
+    by_chunk = known.postings.drop("block").repartition("chunk_id")
     return (
-        known.postings.join(known.weights, "term")
-        .groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
+        by_chunk.join(known.weights, "term")
+        .groupBy("chunk_id", "query_id").agg(F.sum(_part()).alias("fixed"))
     )
 
 
@@ -258,13 +262,16 @@ def bm25_search(
     filters: Filters | None = None,
     k: int | None = settings.CANDIDATE_TOP_K,
     parameters: settings.Bm25 = settings.Bm25(),
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Best chunks per query: (query_id, chunk_id, score, rank).
 
     Document frequency, corpus size and mean length belong to the filtered corpus. With k, only pairs
-    that can be among the k best are scored; the result is exact either way."""
+    that can be among the k best are scored, unless the terms have at most `direct` matches in all, a
+    counted number, where one pass over them costs less than bounds. Both ways give the same rows."""
     known = lexicon(corpus, queries, filters, parameters)
-    fixed = score_all(known) if k is None else score_pairs(known, promising_pairs(known, k))
+    matches = known.weights.agg(F.sum("df")).first()[0] or 0
+    fixed = score_all(known) if k is None or matches <= direct else score_pairs(known, promising_pairs(known, k))
     scores = fixed.select("chunk_id", "query_id", (F.col("fixed") / FIXED).alias("score")).filter(F.col("score") > 0)
     return rank_by(scores, [F.desc("score")], k).select("query_id", "chunk_id", "score", "rank")
 
