@@ -8,8 +8,8 @@ bytes is filed under that gram (its anchor); consecutive windows with one anchor
    stands twice is repeated as a whole and needs no sorting.
 3. Fragments under a gram with several contents meet by gram. A task takes blocks of whole grams and sorts
    the suffixes of a block bucket by bucket with a difference cover (see `suffixes`); neighbours that share
-   `size` bytes are repeated. Grams with very many contents are not gathered: their windows meet one by one
-   by digest instead.
+   `size` bytes are repeated. Grams with very many contents are not gathered: their windows are summed one
+   by one by digest instead.
 4. Places of repeated windows go back to the texts. Equal texts share one name, so what is sent back
    grows with distinct texts.
 
@@ -17,6 +17,7 @@ Grams are only told apart by a 64-bit hash, which may file more together than ne
 windows are named by 128-bit BLAKE2 digests, and windows of a block are compared by their bytes."""
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -223,47 +224,46 @@ def _sorted_blocks(size: int, block: int):
     return run
 
 
-def _windows(size: int, bits=None):
-    """Windows of contents one by one: (window, content, place, n); with a filter, only those it holds.
-    Without one, equal windows of a batch come once."""
+def _windows(size: int):
+    """Windows of contents: (window, n, content as two numbers, place). Equal windows of a few contents come
+    once, with their sum and any one of their contents and places."""
 
     def run(stream):
         for batch in stream:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out, count = [], {}
+                count, origin = {}, {}
                 for content, n, text in zip(*(part.column(c).to_pylist() for c in ("content", "n", "bytes"))):
+                    high, low = struct.unpack(">qq", content)
                     for place in range(len(text) - size + 1):
                         window = name(text[place:place + size])
-                        if bits is None:
-                            count[window] = count.get(window, 0) + n
-                        else:
-                            out.append((window, content, place))
-                if bits is None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["window", "n"])
-                elif out:
-                    keep = sieve.test(bits.value, short([w for w, _, _ in out])).tolist()
-                    window, content, place = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(window, pa.binary()), pa.array(content, pa.binary()), pa.array(place, pa.int32())],
-                        ["window", "content", "place"]).filter(pa.array(keep))
+                        count[window] = count.get(window, 0) + n
+                        origin[window] = high, low, place
+                high, low, place = zip(*origin.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64()), pa.array(high, pa.int64()),
+                     pa.array(low, pa.int64()), pa.array(place, pa.int32())], ["window", "n", "high", "low", "place"])
 
     return run
 
 
-def _one_by_one(hot: DataFrame, single: DataFrame, size: int) -> DataFrame:
-    """(content, runs) of repeated windows of contents too many to gather; of the contents in `single`, as
-    all others are repeated as a whole."""
-    spark = hot.sparkSession
-    counted = hot.mapInArrow(lean(_windows(size)), "window binary, n bigint")
-    again = stored(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
-    bits = spark.sparkContext.broadcast(sieve.build(keyed(again, "window"), "key"))
-    alone = hot.where("n = 1").join(single, "content", "left_semi").select(hot.columns)
-    found = alone.mapInArrow(lean(_windows(size, bits)), "window binary, content binary, place int")
-    places = found.join(again, "window", "left_semi").groupBy("content").agg(F.sort_array(F.collect_set("place")).alias("p"))
-    run = lambda p: F.struct(p.alias("low"), (p + 1).alias("high"))
-    return places.select("content", F.transform("p", run).cast(RUNS).alias("runs"))
+def _one_by_one(hot: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(content, runs) of repeated windows of contents too many to gather. `known` has (content, windows) of
+    the same contents.
+
+    A window that stands once belongs to one place of one content, so that sums by window tell all unique
+    places without a join; repeated are the ranges between them. A content has at most size - gram + 1."""
+    counted = hot.mapInArrow(lean(_windows(size)), "window binary, n bigint, high bigint, low bigint, place int")
+    once = counted.groupBy("window").agg(
+        F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("high", "low", "place"))).where("n = 1")
+    content = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("high", "low"))))
+    rows = known.select("content", "windows", F.lit(None).cast("int").alias("place")).unionAll(
+        once.select(content.alias("content"), F.lit(None).cast("int").alias("windows"), "place"))
+    unique = rows.groupBy("content").agg(F.max("windows").alias("windows"), F.sort_array(F.collect_set("place")).alias("u"))
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("u", lambda p: p + 1)).alias("low"),
+                           F.concat("u", F.array("windows")).alias("high"))
+    runs = F.filter(between, lambda r: r["low"] < r["high"]).cast(RUNS)
+    return unique.select("content", runs.alias("runs")).where(F.size("runs") > 0)
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
@@ -289,9 +289,10 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
         lean(_sorted_blocks(size, BLOCK)), f"content binary, runs {RUNS}")
     hot = contents.select("gram", "content", "n", "bytes").mapInArrow(
         lean(_passing((many, True))), "gram bigint, content binary, n bigint, bytes binary")
+    known = contents.select("gram", "content", "windows").mapInArrow(
+        lean(_passing((many, True))), "gram bigint, content binary, windows int")
     whole = counted.where("n > 1").select("content", F.lit(None).cast(RUNS).alias("runs"), F.lit(True).alias("all"))
-    single = counted.where("n = 1").select("content")
-    places = stored(part.unionAll(_one_by_one(hot, single, size)), "places").withColumn("all", F.lit(False))
+    places = stored(part.unionAll(_one_by_one(hot, known, size)), "places").withColumn("all", F.lit(False))
     # One row a content: those repeated as a whole have no runs, and all others stand in one place only.
     status = whole.unionAll(places).groupBy("content").agg(
         F.max("all").alias("all"), F.first("runs", ignorenulls=True).alias("runs"))
