@@ -8,8 +8,9 @@ bytes is filed under that gram (its anchor); consecutive windows with one anchor
    stands twice is repeated as a whole and needs no sorting.
 3. Fragments under a gram with several contents meet by gram. A task takes blocks of whole grams and sorts
    the suffixes of a block bucket by bucket with a difference cover (see `suffixes`); neighbours that share
-   `size` bytes are repeated. Grams with very many contents are not gathered: their windows are summed one
-   by one by digest instead.
+   `size` bytes are repeated. Grams with very many contents are not gathered: their contents are cut into
+   parts filed under all bytes that the windows of a part share, and treated in the same way; what is
+   common even then is summed window by window by digest.
 4. Places of repeated windows go back to the texts. Equal texts share one name, so what is sent back
    grows with distinct texts.
 
@@ -35,8 +36,11 @@ PIECE = 1 << 20
 BLOCK = 2 << 20
 #: Contents of a gram that are sorted in one task.
 GATHERED = 512
+#: Windows of a part into which contents of more common grams are cut.
+PART = 8
 NAME = 16
 RUNS = "array<struct<low: int, high: int>>"
+SPANS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -266,18 +270,41 @@ def _one_by_one(hot: DataFrame, known: DataFrame, size: int) -> DataFrame:
     return unique.select("content", runs.alias("runs")).where(F.size("runs") > 0)
 
 
-def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
-    """(owner, runs) of texts (column text) with repeated windows: the name of the text, and ranges low up
-    to high of places where a string of `size` bytes starts that also starts anywhere else. A text of
-    which there are several rows is repeated as a whole."""
-    spark = docs.sparkSession
-    gram = min(gram, size)
-    filed = docs.mapInArrow(lean(_grams(size, gram)), "gram bigint, n bigint")
-    twice = stored(filed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
-    bits = spark.sparkContext.broadcast(sieve.build(twice, "gram"))
-    found = stored(docs.mapInArrow(lean(_contents(size, gram, bits)), CONTENTS), "contents")
-    contents = found.where("n > 0")
+def _cut(size: int, gram: int):
+    """Contents cut into parts of up to PART windows that hold the gram at like places: rows as in CONTENTS,
+    where `owner` is the content and `gram` names the bytes that all windows of such a part share."""
+
+    def run(stream):
+        for batch in stream:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, count, told = {}, {}, set()
+                for content, n, text in zip(*(part.column(c).to_pylist() for c in ("content", "n", "bytes"))):
+                    keys = arrays.ngrams(arrays.BYTE_CODE[np.frombuffer(text[:size], np.uint8)], gram)
+                    anchor, last = int(np.argmin(keys & ~LOW)), len(text) - size
+                    for least in range((anchor - min(last, anchor)) // PART * PART, anchor + 1, PART):
+                        most = min(least + PART - 1, size - gram)
+                        low, high = max(0, anchor - most), min(last, anchor - least)
+                        piece = text[low:high + size]
+                        count[piece] = count.get(piece, 0) + n
+                        rows[piece, content, low] = text[anchor - least:anchor - most + size]
+                new = [not (p in told or told.add(p)) for p, _, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(short([name(c) for c in rows.values()])), pa.array([name(p) for p, _, _ in rows], pa.binary()),
+                     pa.array([count[p] if f else 0 for f, (p, _, _) in zip(new, rows)], pa.int64()),
+                     pa.array([len(p) - size + 1 for p, _, _ in rows], pa.int32()),
+                     pa.array([p if f else None for f, (p, _, _) in zip(new, rows)], pa.binary()),
+                     pa.array([o for _, o, _ in rows], pa.binary()), pa.array([f for _, _, f in rows], pa.int64())],
+                    ["gram", "content", "n", "windows", "bytes", "owner", "first"])
+
+    return run
+
 
+def _status(found: DataFrame, size: int, gram: int, gathered: int, whole_grams: bool) -> DataFrame:
+    """(content, runs) of contents with repeated windows: ranges of places, or null where all of them are.
+    Contents of grams too common to gather are cut into parts once, then taken window by window."""
+    spark = found.sparkSession
+    contents = found.where("n > 0")
     counted = stored(contents.groupBy("gram", "content").agg(F.sum("n").alias("n")), "counted")
     several = stored(counted.groupBy("gram").agg(F.count("*").alias("contents")).where("contents > 1"), "several")
     mixed = spark.sparkContext.broadcast(sieve.build(several, "gram"))
@@ -289,22 +316,65 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gather
         lean(_sorted_blocks(size, BLOCK)), f"content binary, runs {RUNS}")
     hot = contents.select("gram", "content", "n", "bytes").mapInArrow(
         lean(_passing((many, True))), "gram bigint, content binary, n bigint, bytes binary")
-    known = contents.select("gram", "content", "windows").mapInArrow(
-        lean(_passing((many, True))), "gram bigint, content binary, windows int")
+    if whole_grams:
+        cut = stored(hot.mapInArrow(lean(_cut(size, gram)), CONTENTS), "parts")
+        again = _placed(cut, _status(cut, size, gram, gathered, False)).select(
+            "owner", F.struct(F.col("run.low").cast("int").alias("low"), F.col("run.high").cast("int").alias("high")).alias("run"))
+        again = again.groupBy(F.col("owner").alias("content")).agg(F.collect_set("run").cast(RUNS).alias("runs"))
+    else:
+        known = contents.select("gram", "content", "windows").mapInArrow(
+            lean(_passing((many, True))), "gram bigint, content binary, windows int")
+        again = _one_by_one(hot, known, size)
     whole = counted.where("n > 1").select("content", F.lit(None).cast(RUNS).alias("runs"), F.lit(True).alias("all"))
-    places = stored(part.unionAll(_one_by_one(hot, known, size)), "places").withColumn("all", F.lit(False))
+    places = stored(part.unionAll(again), "places").withColumn("all", F.lit(False))
     # One row a content: those repeated as a whole have no runs, and all others stand in one place only.
     status = whole.unionAll(places).groupBy("content").agg(
         F.max("all").alias("all"), F.first("runs", ignorenulls=True).alias("runs"))
     # Written, so that the join with the places is a stage of its own, whose common contents can be split.
-    status = stored(status.select("content", F.when(~F.col("all"), F.col("runs")).alias("runs")), "status")
+    return stored(status.select("content", F.when(~F.col("all"), F.col("runs")).alias("runs")), "status")
+
 
+def _placed(found: DataFrame, status: DataFrame) -> DataFrame:
+    """(owner, run): ranges of repeated windows, by their places in the owner."""
     every = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high"))).cast(RUNS)
     marks = found.select("content", "windows", "owner", "first").join(status, "content").select(
         "owner", "first", F.explode(F.coalesce("runs", every)).alias("r"))
-    placed = marks.select("owner", F.struct((F.col("first") + F.col("r.low")).alias("low"), (F.col("first") + F.col("r.high")).alias("high")).alias("run"))
+    return marks.select("owner", F.struct((F.col("first") + F.col("r.low")).alias("low"), (F.col("first") + F.col("r.high")).alias("high")).alias("run"))
+
+
+def _covered(size: int):
+    """Ranges of windows of an owner as the maximal ranges of bytes that they cover."""
+
+    def run(stream):
+        for batch in stream:
+            out = []
+            for own in batch.column("runs").to_pylist():
+                spans: list[list[int]] = []
+                for low, high in sorted((r["low"], r["high"] - 1 + size) for r in own):
+                    if spans and low <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], high)
+                    else:
+                        spans.append([low, high])
+                out.append([{"low": low, "high": high} for low, high in spans])
+            yield pa.RecordBatch.from_arrays([batch.column("owner"), pa.array(out, SPANS)], ["owner", "spans"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
+    """(owner, spans) of texts (column text) with repeated strings: the name of the text, and the maximal
+    ranges low up to high of bytes covered by strings of `size` bytes that also start anywhere else. A
+    text of which there are several rows is repeated as a whole."""
+    spark = docs.sparkSession
+    gram = min(gram, size)
+    filed = docs.mapInArrow(lean(_grams(size, gram)), "gram bigint, n bigint")
+    twice = stored(filed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
+    bits = spark.sparkContext.broadcast(sieve.build(twice, "gram"))
+    found = stored(docs.mapInArrow(lean(_contents(size, gram, bits)), CONTENTS), "contents")
+    placed = _placed(found, _status(found, size, gram, gathered, True))
     runs = placed.repartition("owner").groupBy("owner").agg(F.collect_list("run").alias("runs"))
-    return stored(runs, "runs")
+    # Merged here, once a text, not for every copy of it.
+    return stored(runs.mapInArrow(lean(_covered(size)), "owner binary, spans array<struct<low: bigint, high: bigint>>"), "spans")
 
 
 def _owned(batch: pa.RecordBatch, bits, hit: bool) -> pa.RecordBatch:
@@ -323,45 +393,40 @@ def _named(bits):
     return run
 
 
-def _without(batch: pa.RecordBatch, runs: list, size: int) -> pa.RecordBatch:
+def _without(batch: pa.RecordBatch, spans_of: list) -> pa.RecordBatch:
     n_bytes, removed, spans, kept = [], [], [], []
-    for text, own in zip(batch.column("text"), runs):
+    for text, own in zip(batch.column("text"), spans_of):
         data = text.as_buffer().to_pybytes() if text.is_valid else b""
-        out, end, gone, count = [], 0, 0, 0
-        for low, high in sorted((r["low"], r["high"] - 1 + size) for r in own or ()):
-            if low > end or not count:
-                out.append(data[end:low])
-                count += 1
-                gone += high - low
-                end = high
-            elif high > end:
-                gone += high - end
-                end = high
+        out, end, gone = [], 0, 0
+        for r in own or ():
+            out.append(data[end:r["low"]])
+            end = r["high"]
+            gone += end - r["low"]
         out.append(data[end:])
         n_bytes.append(len(data))
         removed.append(gone)
-        spans.append(count)
+        spans.append(len(own or ()))
         kept.append(b"".join(out))
     return pa.RecordBatch.from_arrays(
         [batch.column("__id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
         ["__id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _untouched(bits, size: int):
+def _untouched(bits):
     """Rows whose text's name the filter does not hold, finished."""
 
     def run(stream):
         for batch in thin(stream):
             clean = _owned(batch, bits, False)
-            yield _without(clean, [None] * clean.num_rows, size)
+            yield _without(clean, [None] * clean.num_rows)
 
     return run
 
 
-def _finish(size: int):
+def _finish():
     def run(stream):
         for batch in thin(stream):
-            yield _without(batch, batch.column("runs").to_pylist(), size)
+            yield _without(batch, batch.column("spans").to_pylist())
 
     return run
 
@@ -377,11 +442,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(source.select("text"), size, gram, gathered)
-    bits = spark.sparkContext.broadcast(sieve.build(keyed(runs, "owner"), "key"))
+    spans = repeated_spans(source.select("text"), size, gram, gathered)
+    bits = spark.sparkContext.broadcast(sieve.build(keyed(spans, "owner"), "key"))
     kind = dict(source.dtypes)["__id"]
     out = f"__id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     hits = source.mapInArrow(lean(_named(bits)), f"__id {kind}, text string, owner binary")
-    hits = hits.join(runs, "owner", "left").select("__id", "text", "runs")
-    done = source.mapInArrow(lean(_untouched(bits, size)), out).unionAll(hits.mapInArrow(lean(_finish(size)), out))
+    hits = hits.join(spans, "owner", "left").select("__id", "text", "spans")
+    done = source.mapInArrow(lean(_untouched(bits)), out).unionAll(hits.mapInArrow(lean(_finish()), out))
     return done.withColumnRenamed("__id", id_col)
