@@ -138,14 +138,18 @@ def _fold(target: int):
 
 
 def _numbered(target: int):
+    """Every tile begins with its state."""
     def run(stream):
         for batch, edges in runs(stream, "key", "tile"):
             size, opens, alone = _measures(batch)
             first = batch.select(["groups", "used"]).take(pa.array(edges[:-1])).to_pylist()
-            group = [numbers(s["groups"], s["used"], size[a:b], _fresh(opens[a:b], alone[a:b]), target)
+            group = [np.append(0, numbers(s["groups"], s["used"], size[a + 1:b], _fresh(opens[a + 1:b], alone[a + 1:b]), target))
                      for s, a, b in zip(first, edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays(
+            made = pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(np.concatenate(group), pa.int32()), batch.column("item")], ["key", "group", "item"])
+            rows = np.ones(len(size), bool)
+            rows[edges[:-1]] = False
+            yield made.filter(pa.array(rows))
 
     return run
 
@@ -155,8 +159,8 @@ def pack(rows: DataFrame, key: str, order: str, item: Column, size: Column, open
     """(key, group, item) of every row, groups numbered from 0 in each key's order.
 
     `order` is an integer, dense enough that a range of `tile` values is a fit load; rows of equal order
-    follow `item`. Rows without a key form no group and are left out."""
-    source = rows.filter(F.col(key).isNotNull()).select(
+    follow `item`. Rows without a key or an order form no group and are left out."""
+    source = rows.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
         F.col(key).alias("key"), F.floor(F.col(order) / tile).cast("bigint").alias("tile"), F.col(order).cast("bigint").alias("order"),
         size.cast("bigint").alias("size"), F.coalesce(opens, F.lit(False)).alias("opens"),
         F.coalesce(alone, F.lit(False)).alias("alone"), item.alias("item"))
@@ -164,10 +168,24 @@ def pack(rows: DataFrame, key: str, order: str, item: Column, size: Column, open
     measures = source.select("key", "tile", "order", "size", "opens", "alone", F.xxhash64("item").alias("tie"))
     # Rows of equal order must stand alike in both passes.
     place = ["key", "tile", "order", "tie"]
-    tables = measures.repartition("key", "tile").sortWithinPartitions(*place).mapInArrow(
+    tables = _together(measures, "key", "tile").sortWithinPartitions(*place).mapInArrow(
         _tables(target), f"key {kind['key']}, tile bigint, {TABLE}")
     state = tables.repartition("key").sortWithinPartitions("key", "tile").mapInArrow(
         _fold(target), f"key {kind['key']}, tile bigint, groups bigint, used bigint")
-    ready = source.join(state, ["key", "tile"]).withColumn("tie", F.xxhash64("item"))
-    return ready.repartition("key", "tile").sortWithinPartitions(*place).mapInArrow(
+    # The state of a tile is a row before its first one; it has no order and so comes first.
+    none = {c: F.lit(None).cast("bigint").alias(c) for c in ("order", "groups", "used", "tie")}
+    heads = state.select(
+        "key", "tile", none["order"], F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("opens"), F.lit(False).alias("alone"),
+        F.lit(None).cast(kind["item"]).alias("item"), "groups", "used", none["tie"])
+    ready = heads.unionByName(source.select("*", none["groups"], none["used"], F.xxhash64("item").alias("tie")))
+    return _together(ready, "key", "tile").sortWithinPartitions(*[F.asc_nulls_first(c) for c in place]).mapInArrow(
         _numbered(target), f"key {kind['key']}, group int, item {kind['item']}").withColumnRenamed("key", key)
+
+
+def _together(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of equal columns in one partition.
+
+    Where a join or grouping below has placed rows by the same columns, Spark leaves a plain repartition
+    out, and adaptive planning may then turn that join into one which places nothing. No step below
+    places by this hash, so the shuffle stays."""
+    return rows.repartition(F.xxhash64(*columns))

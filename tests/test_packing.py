@@ -55,3 +55,22 @@ def test_empty_and_gaps_in_the_order(spark):
     arguments = "doc", "at", F.struct("at", "size"), F.col("size"), F.lit(False), F.lit(None).cast("boolean"), 14, 100
     assert sorted(r["group"] for r in packing.pack(df, *arguments).collect()) == [0, 0, 1, 1]
     assert packing.pack(df.limit(0), *arguments).count() == 0
+
+
+def test_packing_behind_a_join_that_becomes_a_broadcast_at_run_time(spark):
+    """Sizes are known only when the job runs: a sort-merge join is planned and replaced."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "500k"}
+    old = {name: spark.conf.get(name, None) for name in limits}
+    for name, limit in limits.items():
+        spark.conf.set(name, limit)
+    try:
+        rows = spark.range(20_000).select(
+            (F.col("id") % 2_000).cast("string").alias("doc"), F.floor(F.col("id") / 2_000).cast("int").alias("at"),
+            F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        packed = packing.pack(rows, "doc", "at", F.struct("at", "text"), F.lit(10), F.lit(False), F.lit(False), 40)
+        got = {(r["doc"], r["at"]): r["group"] for r in packed.select("doc", "item.at", "group").collect()}
+    finally:
+        for name, limit in old.items():
+            spark.conf.unset(name) if limit is None else spark.conf.set(name, limit)
+    each = plain([(10, False, False)] * 10, 40)
+    assert got == {(str(d), i): g for d in range(2_000) for i, g in enumerate(each)}
