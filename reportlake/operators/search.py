@@ -280,11 +280,15 @@ def bm25_search(
 
 
 # Queries and corpus rows of a tile; a tile of queries is held as one matrix, a tile of the corpus is read
-# in batches.
-QUERY_TILE = 8192
+# in batches. The corpus is sent once for every tile of queries, so a tile is as large as a worker holds.
+QUERY_TILE = 1 << 18
 CORPUS_TILE = 1 << 18
-# Scores computed at once, rows of the tile times rows of a batch.
-SCORES = 1 << 22
+# Bytes of the matrix of a tile of queries.
+HELD_BYTES = 1 << 27
+# Queries whose scores with a batch of the corpus are computed at once.
+SLICE = 512
+# Scores count with so many digits after the point; the margin is wider than what rounding moves.
+DIGITS, MARGIN = 12, 1e-9
 
 
 def _similarity(queries: np.ndarray, vectors: np.ndarray, distance: str) -> np.ndarray:
@@ -325,7 +329,7 @@ def dense_search(
 
     Both sides are cut into tiles. Every tile of queries meets every tile of the corpus in one task: the
     queries come first and are held, the corpus follows in batches, and the k best per query are kept
-    as they come and sent once at the end. Nothing passes the driver but two counts.
+    as they come and sent once at the end. Nothing passes the driver but two counts and a length.
 
     Only vectors of equal length are compared; see `usable` for those left out. For EUCLID and
     MANHATTAN the score is the negative distance, so larger is always better."""
@@ -335,12 +339,15 @@ def dense_search(
     asked = queries.filter(usable("vector", distance))
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(corpus.dtypes)["chunk_id"]}
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    query_tiles = max(1, -(-asked.count() // query_tile))
+    given = {dict(table.dtypes)["vector"] for table in (held, asked)}
+    kept = "array<float>" if given == {"array<float>"} else "array<double>"
+    sizes = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("longest")).first()
+    query_tiles = max(1, -(-sizes["n"] // max(1, min(query_tile, HELD_BYTES // (8 * (sizes["longest"] or 1))))))
     corpus_tiles = max(-(-held.count() // corpus_tile), -(-cores // query_tiles))
 
     def side(table: DataFrame, own: str, tile: Column, other: Column) -> DataFrame:
         ids = [(F.col(name) if name == own else F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
-        vector = F.col("vector").cast("array<double>").alias("vector")
+        vector = F.col("vector").cast(kept).alias("vector")
         placed = table.select(*ids, vector, F.size("vector").alias("length"), tile.alias("a"), F.explode(other).alias("b"))
         return placed.withColumn("is_query", F.lit(own == "query_id"))
 
@@ -376,18 +383,18 @@ class _Best:
         self.rows, self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], kind)
         self.floor = np.full(n, -np.inf)
 
-    def add(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
-        """Scores (queries from `first` on, chunks). Only what reaches the floor is looked at."""
-        if scores.shape[1] > self.k:
-            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-            least = np.maximum(least, self.floor[first:first + len(scores)])
-        else:
-            least = self.floor[first:first + len(scores)]
-        row, column = np.nonzero(scores >= least[:, None])
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores (queries, chunks). Only what comes near the floor is rounded and looked at."""
+        least = self.floor
+        if scores.shape[1] > self.k and not np.isfinite(least).all():
+            least = np.maximum(np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k], least)
+        with np.errstate(invalid="ignore"):
+            near = np.where(np.isfinite(least), least - MARGIN * np.maximum(1, np.abs(least)), -np.inf)
+        row, column = np.nonzero(scores >= near[:, None])
         if not len(row):
             return
-        self.rows = np.concatenate([self.rows, row + first])
-        self.scores = np.concatenate([self.scores, scores[row, column]])
+        self.rows = np.concatenate([self.rows, row])
+        self.scores = np.concatenate([self.scores, np.round(scores[row, column], DIGITS)])
         self.ids = pa.concat_arrays([self.ids, ids.take(pa.array(column))])
         ranks = np.asarray(pc.rank(self.ids, "ascending", tiebreaker="dense"))
         order = np.lexsort((ranks, -self.scores, self.rows))
@@ -408,8 +415,10 @@ def _nearest(k: int, distance: str):
         tile, names, parts, queries, best = None, [], [], None, None
 
         def done():
-            found = pa.concat_arrays(names).take(pa.array(best.rows))
-            return pa.RecordBatch.from_arrays([found, best.ids, pa.array(best.scores)], ["query_id", "chunk_id", "score"])
+            asked = pa.concat_arrays(names)
+            for at, own in enumerate(best):
+                found = asked.take(pa.array(own.rows + at * SLICE))
+                yield pa.RecordBatch.from_arrays([found, own.ids, pa.array(own.scores)], ["query_id", "chunk_id", "score"])
 
         for batch in stream:
             if not batch.num_rows:
@@ -421,7 +430,7 @@ def _nearest(k: int, distance: str):
                 piece = batch.slice(a, b - a)
                 if piece.column("tile")[0].as_py() != tile:
                     if best is not None:
-                        yield done()
+                        yield from done()
                     tile, names, parts, queries, best = piece.column("tile")[0].as_py(), [], [], None, None
                 vectors, ids = _matrix(piece.column("vector"), distance), piece.column("chunk_id")
                 if piece.column("is_query")[0].as_py():
@@ -429,14 +438,13 @@ def _nearest(k: int, distance: str):
                     parts.append(vectors)
                 elif names:
                     if best is None:
-                        queries = np.concatenate(parts)
-                        best = _Best(len(queries), k, ids.type)
-                    step = max(1, SCORES // len(vectors))
-                    for first in range(0, len(queries), step):
-                        scores = np.round(_similarity(queries[first:first + step], vectors, distance), 12)
-                        best.add(first, scores, ids)
+                        queries, parts = np.concatenate(parts), []
+                        queries = [queries[at:at + SLICE] for at in range(0, len(queries), SLICE)]
+                        best = [_Best(len(own), k, ids.type) for own in queries]
+                    for own, found in zip(queries, best):
+                        found.add(_similarity(own, vectors, distance), ids)
         if best is not None:
-            yield done()
+            yield from done()
 
     return scan
 

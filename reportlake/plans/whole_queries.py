@@ -25,7 +25,7 @@ from reportlake.sources import files, store
 def dense_all(t):
     """The nearest three of every vector."""
     asked = vectors(t).select(F.col("chunk_id").alias("query_id"), "vector")
-    best = search.dense_search(vectors(t), asked, k=3, distance="DOT", query_tile=700, corpus_tile=900)
+    best = search.dense_search(vectors(t), asked, k=3, distance="DOT")
     return best.select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 

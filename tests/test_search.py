@@ -255,3 +255,24 @@ def test_dense_search_of_nothing(spark):
     assert search.dense_search(corpus, queries).count() == 0
     assert [r["issue"] for r in search.refused_vectors(corpus, "chunk_id").collect()] == ["zero_vector"]
     assert search.dense_search(corpus, queries.limit(0), distance="DOT").count() == 0
+
+
+def test_dense_search_sends_the_corpus_once_for_a_tile_of_queries_that_fits_a_worker(spark, monkeypatch):
+    """The query over all vectors names no tiles of its own, and more queries than a slice stay one tile."""
+    asked = {}
+    with monkeypatch.context() as m:
+        m.setattr(search, "dense_search", lambda *a, **options: asked.update(options) or spark.createDataFrame(
+            [], "query_id int, chunk_id int, rank int, score double"))
+        entry.queries()["dense_all"](spark, entry.SMALL)
+    assert not {"query_tile", "corpus_tile"} & set(asked)
+    monkeypatch.setattr(search, "SLICE", 64)
+    rng = np.random.default_rng(5)
+    data = np.round(rng.normal(size=(9000, 4)), 2).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "chunk_id int, vector array<float>")
+    found = search.dense_search(rows, rows.withColumnRenamed("chunk_id", "query_id"), k=3, distance="DOT")
+    tasks = re.findall(r"RepartitionByExpression \[tile#\d+\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert tasks == [str(spark.sparkContext.defaultParallelism)]
+    scores = np.round(data.astype(np.float64) @ data.astype(np.float64).T, 12)
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in found.collect()}
+    want = {(q, n): int(c) for q in range(len(data)) for n, c in enumerate(np.lexsort((np.arange(len(data)), -scores[q]))[:3], 1)}
+    assert got == want
