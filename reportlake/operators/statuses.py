@@ -31,28 +31,32 @@ def resolve_aliases(aliases: DataFrame, codes: DataFrame) -> tuple[DataFrame, Da
     """aliases (alias, target), codes (code): ((alias, code, steps), (alias, issue)).
 
     A target may be another alias. Every round replaces a target by its own target, so a chain of n
-    renames takes log2(n) rounds. Names that end nowhere are reported, and so are those in or behind a
+    renames takes log2(n) rounds. As long as a chain is left, its next names end in the next round; where
+    no fewer names move than in the round before, all that move are in or behind a cycle. Names that end nowhere are reported, and so are those in or behind a
     cycle, and names with several targets, which resolve to nothing."""
     given = aliases.filter("alias is not null and target is not null").distinct()
     count = given.groupBy("alias").agg(F.count("*").alias("n"), F.min("target").alias("target"))
     unclear = count.filter("n > 1").select("alias", F.lit("ALIAS_AMBIGUOUS").alias("issue"))
     final = codes.select(F.col("code").alias("target")).distinct()
     links = count.filter("n = 1").select("alias", "target", F.lit(1).cast("bigint").alias("steps"))
-    # A code is never renamed; the length of a chain is at most the number of names.
+    # A code is never renamed.
     links = materialize(links.join(final.withColumnRenamed("target", "alias"), "alias", "left_anti"), even=False)
-    total = links.count()
-    reach = 1
-    while reach <= total:
+    moving = None
+    while moving != 0:
         step = links.select(F.col("alias").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
-        joined = links.join(step, "target", "left")
+        # Sizes of compressed files say little of what a broadcast would take.
+        joined = links.join(step.hint("merge"), "target", "left")
         links = materialize(joined.select(
-            "alias", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), even=False)
-        reach *= 2
+            "alias", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("next").isNotNull().alias("moved")), even=False)
+        moved, links = links.filter("moved").count(), links.drop("moved")
+        moving = 0 if moved == moving else moved
     done = links.join(final, "target", "left_semi").select("alias", F.col("target").alias("code"), "steps")
+    names = links.select(F.col("alias").alias("target")).hint("merge")
     rest = links.join(final, "target", "left_anti")
     # What still points at a name that is renamed itself goes round.
-    round_ = rest.join(links.select(F.col("alias").alias("target")), "target", "left_semi")
-    open_ = rest.join(links.select(F.col("alias").alias("target")), "target", "left_anti")
+    round_ = rest.join(names, "target", "left_semi")
+    open_ = rest.join(names, "target", "left_anti")
     issues = unclear.unionByName(round_.select("alias", F.lit("ALIAS_CYCLE").alias("issue"))).unionByName(
         open_.select("alias", F.lit("ALIAS_UNKNOWN_TARGET").alias("issue")))
     return done, issues

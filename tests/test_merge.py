@@ -124,3 +124,20 @@ def test_statuses_and_what_they_ask(spark):
         5: (None, ["UNKNOWN"]), 6: ("IN_PROGRESS", ["EXCLUDES_COMPLETION_DATE"]), 7: (None, []),
         8: ("COMPLETED_LATE", ["REQUIRES_COMPLETION_DATE", "REQUIRES_COMPLETION_RESULT"]), 9: ("COMPLETED_ON_TIME", [])}
     assert statuses.with_status(tasks).filter(F.col("id") == 9).first()["status_code"] is None
+
+
+def test_alias_rounds_follow_the_longest_chain(spark, monkeypatch):
+    """A thousand names in chains of nine, and a cycle with a name behind it: as many rounds as a chain of
+    nine takes, not as many as a thousand names could."""
+    from reportlake.operators import statuses
+
+    rounds, keep = [], statuses.materialize
+    monkeypatch.setattr(statuses, "materialize", lambda df, **o: rounds.append(1) or keep(df, **o))
+    links = [(f"n{i}", "end" if i % 9 == 0 else f"n{i - 1}") for i in range(999)]
+    links += [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "nowhere")]
+    done, issues = statuses.resolve_aliases(
+        spark.createDataFrame(links, "alias string, target string"), spark.createDataFrame([("end",)], "code string"))
+    assert len(rounds) <= 1 + 6
+    assert {(r["alias"], r["code"], r["steps"]) for r in done.collect()} == {(f"n{i}", "end", i % 9 + 1) for i in range(999)}
+    assert {(r["alias"], r["issue"]) for r in issues.collect()} == {
+        *[(n, "ALIAS_CYCLE") for n in "abcd"], ("e", "ALIAS_UNKNOWN_TARGET")}
