@@ -4,8 +4,9 @@ A document may be of any size: packing is a segmented scan (see `packing`), and
 tiles. Only the blocks of one group are ever an array."""
 
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,7 +100,7 @@ def group_metadata(blocks: Column) -> dict[str, Column]:
     }
 
 
-def windows(size: int, marks: list[int], config: Chunking) -> Iterator[tuple[int, int]]:
+def windows(size: int, marks: Sequence[int], config: Chunking) -> Iterator[tuple[int, int]]:
     """(start, end) of overlapping windows over `size` characters; `marks` are the places of all
     split markers in order. A window ends behind the first character of the last marker that lies
     in it, if that leaves more than half of the target."""
@@ -113,16 +114,23 @@ def windows(size: int, marks: list[int], config: Chunking) -> Iterator[tuple[int
     yield start, size
 
 
+def cut(body: str, config: Chunking) -> list[str]:
+    """Segments of one text; its marks are gone when the next text comes."""
+    marks = array("q", (m.start() for m in re.finditer(SPLIT_AT, body)))
+    return [p for x, y in windows(len(body), marks, config) if (p := body[x:y].strip())]
+
+
+def split_segments(bodies: Iterable[str | None], config: Chunking) -> list[list[str]]:
+    return [cut(body, config) if body else [] for body in bodies]
+
+
 def split_text(body: Column, config: Chunking = Chunking()) -> Column:
     """Segments of a text; only texts above the maximum are split in Python. The marks of a text are
     found once, so the work grows with its length."""
 
     @F.pandas_udf("array<string>")
     def segments(bodies: pd.Series) -> pd.Series:
-        found = [[m.start() for m in re.finditer(SPLIT_AT, b or "")] for b in bodies]
-        ranges = [windows(len(b or ""), marks, config) for b, marks in zip(bodies, found)]
-        return pd.Series([[p for x, y in own if (p := b[x:y].strip())] if b else []
-                          for b, own in zip(bodies, ranges)], dtype=object)
+        return pd.Series(split_segments(bodies, config), dtype=object)
 
     long = F.length(body) > config.maximum
     return F.when(long, segments(F.when(long, body))).otherwise(F.array(body))
