@@ -6,19 +6,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Estimated bytes of a part that `spread` makes; texts take a few times their estimate.
+SHARE_BYTES = 8 * 1024 * 1024
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a share of a small input.
 
     A file of one row group is read by one task. Input of fewer full-size splits than cores is
-    therefore shuffled once (at most cores x split size moves); larger input is left as it is."""
+    therefore shuffled once (at most cores x split size moves), a part a core and more parts where these
+    would grow; larger input is left as it is. A union of spread tables reads a part of each in one task."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-    if input_bytes(df) > cores * split:
+    size = input_bytes(df)
+    if size > cores * split:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(cores, -(-size // SHARE_BYTES)), *keys)
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

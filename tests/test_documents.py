@@ -177,3 +177,38 @@ def test_context_and_citations(spark):
     done = {r["answer_id"]: r for r in context.supported_answers(answers, known).collect()}
     assert done[0]["used_source_ids"] == ["SOURCE_1"] and done[0]["human_review_required"]
     assert done[1]["used_source_ids"] == [] and not done[1]["human_review_required"]
+
+
+def test_cleaning_is_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """More input makes more parts, not larger ones."""
+    import re
+
+    from reportlake.operators import blocks, distribution
+    from reportlake.plans import document_queries, registry
+
+    monkeypatch.setattr(distribution, "SHARE_BYTES", 1 << 12, raising=False)
+    judged = blocks.judged_blocks(document_queries.framed_lines(registry.Tables(spark, "/root/testdata/sf0.001")))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    parts = [int(n) for n in re.findall(r"RepartitionByExpression \[doc_id#\d+L?\], (\d+)", plan)]
+    assert parts and min(parts) > spark.sparkContext.defaultParallelism
+
+
+def test_marks_of_one_text_at_a_time():
+    """Ten texts full of marks take hardly more than one."""
+    import tracemalloc
+
+    from reportlake.operators import chunks
+    from reportlake.settings import Chunking
+
+    body = "a. b; " * 20_000
+
+    def peak(n):
+        tracemalloc.start()
+        run = chunks.split_segments([body] * n, Chunking())
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, run
+
+    (one, own), (ten, all_) = peak(1), peak(10)
+    kept = sum(len(s) for s in own[0])
+    assert all_ == own * 10 and ten < one + 10 * 2 * kept
