@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from reportlake.sources.store import exists, remove
 
 KEYS = ("checksum", "domain")
+#: Marks rows that tell of a key that other runs have stored.
+KNOWN = "_known"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Batches of the state log between two compactions.
@@ -17,9 +19,9 @@ EVERY = 10
 
 
 class _Once(StatefulProcessor):
-    """Lets the first row of a key pass. With an expiry, a key is forgotten that long after it."""
+    """Lets the first row of a key pass and forgets the key when it expires."""
 
-    def __init__(self, expiry: int | None) -> None:
+    def __init__(self, expiry: int) -> None:
         self.expiry = expiry
 
     def init(self, handle) -> None:
@@ -41,15 +43,33 @@ class _Once(StatefulProcessor):
         pass
 
 
-def new_uploads(uploads: DataFrame, stored: DataFrame, expiry: int | None = None) -> DataFrame:
-    """Stream of the first upload of each checksum in a domain.
+def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
+    """Stream of the first row of each checksum in a domain, of uploads and `known` keys, a stream too.
 
-    What was seen is keyed state: a batch costs what its own keys cost, whatever was stored before.
-    `stored` (checksum, domain) is read once, when the query starts for the first time. `expiry` in
-    milliseconds bounds the state; without it a repeat is recognised for ever."""
+    What was seen is keyed state: a batch costs what its own keys cost, whatever was stored before. Keys
+    are looked up by Spark itself, none passes a Python worker. Rows of `known` are marked; they belong
+    to the first batch, where either row of a key may come first."""
+    marked = known.select(*KEYS, F.lit(True).alias(KNOWN))
+    both = marked.unionByName(uploads.withColumn(KNOWN, F.lit(False)), allowMissingColumns=True)
+    return both.select(*uploads.columns, KNOWN).dropDuplicates(list(KEYS))
+
+
+def expiring_uploads(uploads: DataFrame, stored: DataFrame, expiry: int) -> DataFrame:
+    """Stream of the first upload of each checksum in a domain, where a key is forgotten `expiry`
+    milliseconds after it.
+
+    `stored` (checksum, domain) is read once, when the query starts for the first time. Every key passes a
+    Python worker, about 2 ms each on eight cores."""
     known = stored.select(*KEYS).distinct().groupBy(*KEYS)
     return uploads.groupBy(*KEYS).transformWithStateInPandas(
-        _Once(expiry), uploads.schema, "Append", "ProcessingTime" if expiry else "None", known)
+        _Once(expiry), uploads.schema, "Append", "ProcessingTime", known)
+
+
+def _not_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key, null parts included, is not among the keys."""
+    held = keys.select(*[F.col(c).alias(f"_{c}") for c in KEYS])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEYS]
+    return rows.join(held, same[0] & same[1], "left_anti")
 
 
 def ingest(uploads: DataFrame, table: str, checkpoint: str, expiry: int | None = None, **trigger) -> StreamingQuery:
@@ -57,22 +77,40 @@ def ingest(uploads: DataFrame, table: str, checkpoint: str, expiry: int | None =
 
     Every batch overwrites its own folder, named by the checkpoint and the batch number, so a replayed
     batch leaves what it left before. A query with a new checkpoint starts from the keys that other
-    runs have stored; its own rows are in its state."""
+    runs have stored, which are written once to `known` in the checkpoint and read by its first batch only;
+    its own rows are in its state. `expiry` in milliseconds bounds the state; without it a repeat is
+    recognised for ever. A checkpoint goes on with the kind of query that made it, with or without expiry."""
     spark = uploads.sparkSession
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    keys = ", ".join(f"{c} string" for c in KEYS)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def others() -> DataFrame:
+        if not exists(spark, table):
+            return spark.createDataFrame([], keys)
+        stored = spark.read.schema(f"{keys}, run string").parquet(table)
+        return stored.filter(F.col("run") != run).select(*KEYS).distinct()
+
+    def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("domain").parquet(f"{table}/run={run}/batch={batch_id}")
 
-    if exists(spark, table):
-        stored = spark.read.parquet(table).filter(F.col("run").cast("string") != run)
+    def save_unknown(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.filter(~F.col(KNOWN)).drop(KNOWN)
+        if batch_id == 0:
+            fresh = _not_in(fresh, batch.sparkSession.read.schema(keys).parquet(snapshot))
+        save(fresh, batch_id)
+
+    if expiry:
+        stream, write = expiring_uploads(uploads, others(), expiry), save
     else:
-        stored = spark.createDataFrame([], "checksum string, domain string")
+        snapshot = f"{checkpoint}/known"
+        if not exists(spark, f"{snapshot}/_SUCCESS"):
+            others().write.mode("overwrite").parquet(snapshot)
+        stream, write = new_uploads(uploads, spark.readStream.schema(keys).parquet(snapshot)), save_unknown
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:  # a query keeps the settings it was started with
         return (
-            new_uploads(uploads, stored, expiry).writeStream.foreachBatch(write)
+            stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
     finally:
         if before is None:

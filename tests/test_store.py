@@ -173,3 +173,23 @@ def test_ingest_starts_from_what_other_runs_stored(spark, tmp_path):
         ingest.ingest(stream, table, str(tmp_path / f"cp{n}")).awaitTermination()
         assert sorted(r["checksum"] for r in spark.read.parquet(table).collect()) == (["a", "b"] if n == 0 else ["a", "b", "c"])
     assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
+
+
+def test_ingest_looks_up_keys_without_python_workers(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "checksum string, domain string, received_at timestamp"
+
+    def run(checkpoint, *rows):
+        spark.createDataFrame([(x, d, "2026-01-01") for x, d in rows], "checksum string, domain string, t string").select(
+            "checksum", "domain", F.col("t").cast("timestamp").alias("received_at")).write.mode("append").json(source)
+        query = ingest.ingest(spark.readStream.schema(schema).json(source), table, str(tmp_path / checkpoint))
+        query.awaitTermination()
+        return query.lastProgress.stateOperators[0]
+
+    assert run("cp0", ("a", "01"), ("b", None), ("b", None)).operatorName == "dedupe"
+    # A new checkpoint: keys of the other run, with a domain that looks like a number and without one.
+    assert run("cp1", ("a", "01"), ("c", "01"), ("c", "01")).numRowsTotal == 3
+    # A later batch: what the other run stored is known from the state.
+    assert run("cp1", ("a", "01"), ("b", None), ("c", "01"), ("d", "01")).numRowsTotal == 4
+    rows = spark.read.schema("checksum string, domain string").parquet(table).collect()
+    assert sorted((r["checksum"], r["domain"] or "") for r in rows) == [("a", "01"), ("b", ""), ("c", "01"), ("d", "01")]
