@@ -186,9 +186,14 @@ def _part(saturation: str = "saturation") -> Column:
     return F.rint(F.col(saturation) * F.col("weight") * FIXED).cast("bigint")
 
 
+def _grows(df: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: never sent through the driver, however small its files are."""
+    return df.hint("merge")
+
+
 def score_pairs(known: Lexicon, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, fixed): full scores of the given pairs."""
-    held = pairs.select("query_id", "chunk_id").join(known.postings.drop("block"), "chunk_id")
+    held = _grows(pairs.select("query_id", "chunk_id")).join(known.postings.drop("block"), "chunk_id")
     return (
         held.join(known.weights, ["query_id", "term"])
         .groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("fixed"))
@@ -226,7 +231,8 @@ def promising_pairs(known: Lexicon, k: int) -> DataFrame:
     bound of the query: a chunk with these terms alone cannot reach it. Only the other terms are
     matched, and only chunks that can still reach the bound with all the weak ones remain. For
     these, weak terms are added until what is left is below a share of the bound, and chunks are
-    judged again. Blocks whose terms together stay below the bound are never looked at."""
+    judged again. Blocks whose terms together stay below the bound are never looked at. Only tables
+    that grow with the queries alone may be broadcast."""
     tops = known.postings.groupBy("block", "term").agg(F.max("saturation").alias("top"))
     bounds = materialize(thresholds(known, k), even=False)
     inside = Window.partitionBy("query_id", "block")
@@ -241,14 +247,16 @@ def promising_pairs(known: Lexicon, k: int) -> DataFrame:
         .withColumns({"rest": below(bound), "least": below(bound * LEFT), "total": F.max("upto").over(inside)})
         .filter((F.col("total") >= bound) & (upto >= bound * LEFT))
         .drop("part", "total"), even=False)
-    strong = known.postings.join(terms.filter(upto >= bound), ["block", "term"])
+    strong = known.postings.join(_grows(terms.filter(upto >= bound)), ["block", "term"])
     partial = strong.groupBy("query_id", "chunk_id", "block").agg(
         F.sum(_part()).alias("fixed"), *[F.first(c).alias(c) for c in ("rest", "least", "bound")])
     first = materialize(partial.filter(F.col("fixed") + F.col("rest") >= bound).drop("rest"), even=False)
     weak = terms.filter(upto < bound).select("query_id", "block", "term", "weight")
+    unjudged = first.select(
+        "query_id", "chunk_id", "block", F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("bound"))
     more = (
-        first.select("query_id", "chunk_id", "block", F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("bound"))
-        .join(known.postings.drop("block"), "chunk_id").join(weak, ["query_id", "block", "term"])
+        _grows(unjudged.join(_grows(weak), ["query_id", "block"]))
+        .join(known.postings.drop("block"), ["chunk_id", "term"])
         .select("query_id", "chunk_id", "block", _part().alias("fixed"), "least", "bound")
     )
     judged = first.select(more.columns).unionByName(more).groupBy("query_id", "chunk_id").agg(

@@ -276,3 +276,17 @@ def test_dense_search_sends_the_corpus_once_for_a_tile_of_queries_that_fits_a_wo
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in found.collect()}
     want = {(q, n): int(c) for q in range(len(data)) for n, c in enumerate(np.lexsort((np.arange(len(data)), -scores[q]))[:3], 1)}
     assert got == want
+
+
+def test_bounds_broadcast_nothing_that_grows_with_the_corpus(spark, monkeypatch):
+    words = ("a b c", "a b", "a c c", "b c", "a")
+    corpus = spark.createDataFrame([(f"c{n}", words[n % 5]) for n in range(40)], "chunk_id string, content string")
+    queries = spark.createDataFrame([(0, "a b"), (1, "c a")], "query_id int, query string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    known, written, write = search.lexicon(corpus, queries), [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, even=True: written.append(plan(df)) or write(df, even))
+    pairs = search.promising_pairs(known, 2)
+    for text in (written[-1], plan(pairs)):
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    # The weights of the queries may be sent, the pairs may not.
+    assert "SortMergeJoin [chunk_id" in plan(search.score_pairs(known, pairs))
