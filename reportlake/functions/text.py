@@ -198,6 +198,16 @@ def classify_structure(df: DataFrame, column: str, name: str = "match") -> DataF
         name, F.when(number.isNotNull(), found)).drop("_rule")
 
 
+def structural_lines(df: DataFrame, column: str, name: str = "match") -> DataFrame:
+    """The structural lines of `classify_structure` alone.
+
+    Rows without a match are left out by a generator: a filter would be pushed below the projections, and
+    every pattern in it would make the column anew."""
+    found = classify_structure(df, column, "_match")
+    kept = F.when(F.col("_match").isNotNull(), F.array("_match"))
+    return found.select(*df.columns, F.explode(kept).alias(name))
+
+
 def intent_tags(request: Column) -> Column:
     """Every capability class whose keywords occur in the request, in fixed order."""
     hits = [F.when(request.rlike("(?iU)" + p), F.lit(tag)) for tag, p in INTENTS]

@@ -159,8 +159,8 @@ CLASSIFIED = f"""classified as (select *, {_KIND} as kind, cast({_LEVEL} as inte
 )
 def structure_classes(t):
     squashed = adapters.structured_lines(t).withColumn("line", text.squash(F.col("line")))
-    found = text.classify_structure(squashed, "line", "m")
-    return found.filter("m is not null").select("doc_id", "ord", "m.kind", "m.level", "m.identifier")
+    found = text.structural_lines(squashed, "line", "m")
+    return found.select("doc_id", "ord", "m.kind", "m.level", "m.identifier")
 
 
 _POS = ", ".join(

@@ -141,3 +141,12 @@ def test_scalars(spark):
             assert float(row["value_num"]) == expected
     assert got["31/02/2026"]["issue"] == "INVALID_DATE"
     assert column(spark, ["-1 2", "1.0", "", "x", " 7 "], scalars.to_integer) == [-12, None, None, None, 7]
+
+
+def test_structural_lines_make_their_column_once(spark):
+    df = spark.createDataFrame([("  Điều   5.  Hiệu lực ",), ("thân  bài",), (None,), ("",)], "x string").withColumn("y", text.squash(F.col("x")))
+    found = text.structural_lines(df, "y", "m").select("x", "m.kind", "m.identifier")
+    assert [(r["kind"], r["identifier"]) for r in found.collect()] == [("article", "5")]
+    whole = text.classify_structure(df, "y", "m").filter("m is not null").select("x", "m.kind", "m.identifier")
+    assert found.collect() == whole.collect()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(text.WHITESPACE) == 1
