@@ -50,23 +50,31 @@ def pack(blocks: DataFrame, documents: DataFrame, config: Chunking = Chunking(),
     documents (document_id, document_type, …) gives the strategy; `opens`, a condition over columns of
     both tables, gives another one: it is true where a block starts a group. A document may be of any
     size: only a group, which the target bounds, is ever an array."""
-    kinds = documents.select("document_id", *[c for c in documents.columns if c not in blocks.columns])
-    rows = (
-        blocks.filter(F.col("block_type") != PAGE_BREAK)
-        .join(kinds, "document_id")
-        .withColumn("content", content(blocks))
-    )
-    single = F.col("document_type").isin(*ISOLATED_TABLES) & F.col("table").isNotNull()
     part = F.struct(
         F.col("source_order").alias("at"), "block_id", "content", "page_number",
         *[F.col(c) if c in blocks.columns else F.lit(None).cast(
             "array<string>" if c == "heading_hierarchy" else "string").alias(c) for c in METADATA],
         F.col("table")["name"].alias("table_name"),
     )
+    placed = {"key": F.col("document_id"), "tile": F.col("_tile"), "order": F.col("source_order").cast("bigint")}
+    rows = ordered.tiled(blocks, "source_order", packing.TILE).filter(
+        (F.col("block_type") != PAGE_BREAK) & F.col("document_id").isNotNull() & F.col("_tile").isNotNull()
+    ).withColumn("content", content(blocks)).withColumns({"_item": part, "_size": F.length("content")})
+    rows = rows.withColumn("_tie", F.xxhash64("_item"))
+    # Only what decides the packing meets the documents; the blocks stay in their tiles.
+    # A document listed twice would judge its blocks twice.
+    kinds = documents.groupBy("document_id").agg(*[
+        (F.first if "map<" in kind else F.max)(c).alias(c) for c, kind in documents.dtypes if c not in blocks.columns])
+    single = F.col("document_type").isin(*ISOLATED_TABLES) & F.col("table").isNotNull()
     if opens is None:
         opens = opens_chunk(F.col("document_type"), F.col("block_type"))
-    packed = packing.pack(rows, "document_id", "source_order", part, F.length("content"), opens, single, config.target)
-    return packed.groupBy("document_id", "group").agg(F.array_sort(F.collect_list("item")).alias("blocks"))
+    judged = rows.join(kinds, "document_id").select(
+        *[c.alias(n) for n, c in placed.items()], F.col("_tie").alias("tie"), F.col("_size").alias("size"),
+        opens.alias("opens"), single.alias("alone"))
+    numbers = packing.numbered(packing.measured(judged, F.col("size"), F.col("opens"), F.col("alone")), config.target)
+    source = rows.select(*[c.alias(n) for n, c in placed.items()], F.col("_tie").alias("tie"), F.col("_item").alias("item"))
+    return packing.collected(source, numbers).select(
+        F.col("key").alias("document_id"), "group", F.array_sort("items").alias("blocks"))
 
 
 def render_group(blocks: Column) -> Column:

@@ -2,15 +2,17 @@
 
 A plain window puts a whole group into one task. Here a group is cut into tiles of consecutive
 order values: windows run inside tiles, one summary row per tile is combined over the group, and
-the value carried into each tile is joined back."""
+the value carried into each tile is joined back. Rows that were `tiled` before keep their tiles, and
+steps that follow on the same tiles find them in place."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE = 50_000
 
 
-def _tiled(df: DataFrame, order: str, tile: int) -> DataFrame:
-    return df.withColumn("_tile", F.floor(F.col(order) / tile).cast("bigint"))
+def tiled(df: DataFrame, order: str, tile: int = TILE) -> DataFrame:
+    """Rows with their `_tile`; such rows stay as they are."""
+    return df if "_tile" in df.columns else df.withColumn("_tile", F.floor(F.col(order) / tile).cast("bigint"))
 
 
 def _windows(group: list[str], order: str):
@@ -32,7 +34,7 @@ def last_values(
 ) -> DataFrame:
     """Add for each name the latest non-null value up to and including the row."""
     inside, earlier = _windows(group, order)
-    source = _tiled(df, order, tile).withColumns({f"_v_{n}": v for n, v in values.items()})
+    source = tiled(df, order, tile).withColumns({f"_v_{n}": v for n, v in values.items()})
     local = source.withColumns(
         {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}
     )
@@ -49,7 +51,7 @@ def last_values(
     )
     joined = local.join(carried, [*group, "_tile"], "left")
     result = joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in values})
-    return result.drop("_tile", *[f"_{k}_{n}" for k in "vlc" for n in values])
+    return result.drop(*{"_tile"} - set(df.columns), *[f"_{k}_{n}" for k in "vlc" for n in values])
 
 
 def running_sum(
@@ -57,7 +59,7 @@ def running_sum(
 ) -> DataFrame:
     """Add for each name the sum up to and including the row."""
     inside, earlier = _windows(group, order)
-    source = _tiled(df, order, tile).withColumns({f"_v_{n}": v for n, v in values.items()})
+    source = tiled(df, order, tile).withColumns({f"_v_{n}": v for n, v in values.items()})
     local = source.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
     ends = source.groupBy(*group, "_tile").agg(*[F.sum(f"_v_{n}").alias(n) for n in values])
     carried = ends.select(
@@ -70,7 +72,7 @@ def running_sum(
             for n in values
         }
     )
-    return result.drop("_tile", *[f"_{k}_{n}" for k in "vlc" for n in values])
+    return result.drop(*{"_tile"} - set(df.columns), *[f"_{k}_{n}" for k in "vlc" for n in values])
 
 
 def renumber(

@@ -11,7 +11,7 @@ may span any number of tasks and only tiles are ever held."""
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE = 4096
 SEPARATOR = 2
@@ -119,41 +119,97 @@ def _tables(target: int):
     return run
 
 
+def enters(used: int | None, table: dict, target: int) -> bool:
+    """Whether the first row of a tile belongs to the group that comes in open."""
+    return used is not None and int(np.searchsorted(table["limits"], target - used, "right")) > 0
+
+
 def _fold(target: int):
+    """State in front of every tile, and whether its last group goes on in the next one."""
     def run(stream):
-        key, groups, used = None, 0, None
+        key, groups, used, held = None, 0, None, None
         for batch in stream:
-            before, open_ = [], []
+            kinds = pa.schema([batch.schema.field("key"), ("tile", pa.int64()), ("groups", pa.int64()), ("used", pa.int64()), ("leaves", pa.bool_())])
+            out = []
             for row in batch.to_pylist():
                 if row["key"] != key:
                     key, groups, used = row["key"], 0, None
-                before.append(groups)
-                open_.append(used)
+                if held is not None:
+                    out.append(held | {"leaves": enters(used, row, target)})
+                held = {"key": key, "tile": row["tile"], "groups": groups, "used": used}
                 groups, used = advance(groups, used, row, target)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("tile"), pa.array(before, pa.int64()), pa.array(open_, pa.int64())],
-                ["key", "tile", "groups", "used"])
+            yield pa.RecordBatch.from_pylist(out, kinds)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held | {"leaves": False}], kinds)
 
     return run
 
 
+NUMBERS = "numbers array<int>, enters boolean, leaves boolean"
+
+
 def _numbered(target: int):
     """Every tile begins with its state."""
     def run(stream):
         for batch, edges in runs(stream, "key", "tile"):
             size, opens, alone = _measures(batch)
-            first = batch.select(["groups", "used"]).take(pa.array(edges[:-1])).to_pylist()
-            group = [np.append(0, numbers(s["groups"], s["used"], size[a + 1:b], _fresh(opens[a + 1:b], alone[a + 1:b]), target))
-                     for s, a, b in zip(first, edges, edges[1:])]
-            made = pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(np.concatenate(group), pa.int32()), batch.column("item")], ["key", "group", "item"])
-            rows = np.ones(len(size), bool)
-            rows[edges[:-1]] = False
-            yield made.filter(pa.array(rows))
+            first = batch.take(pa.array(edges[:-1]))
+            states = first.select(["groups", "used", "leaves"]).to_pylist()
+            made = [numbers(s["groups"], s["used"], size[a + 1:b], _fresh(opens[a + 1:b], alone[a + 1:b]), target)
+                    for s, a, b in zip(states, edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [first.column("key"), first.column("tile"), pa.array(made, pa.list_(pa.int32())),
+                 pa.array([int(n[0]) < s["groups"] for s, n in zip(states, made)]), first.column("leaves")],
+                ["key", "tile", "numbers", "enters", "leaves"])
 
     return run
 
 
+def numbered(measures: DataFrame, target: int) -> DataFrame:
+    """(key, tile, numbers, enters, leaves): the groups of a tile's rows in their order, whether the first one
+    began in a tile before, and whether the last one goes on behind.
+
+    measures: key, tile, order, tie, size, opens, alone. No text is moved here."""
+    kind, place = dict(measures.dtypes)["key"], ["order", "tie"]
+    tables = _together(measures, "key", "tile").sortWithinPartitions("key", "tile", *place).mapInArrow(
+        _tables(target), f"key {kind}, tile bigint, {TABLE}")
+    state = tables.repartition("key").sortWithinPartitions("key", "tile").mapInArrow(
+        _fold(target), f"key {kind}, tile bigint, groups bigint, used bigint, leaves boolean")
+    # The state of a tile is a row before its first one; it has no order and so comes first.
+    none = {c: F.lit(None).cast("bigint").alias(c) for c in ("order", "tie", "groups", "used")}
+    heads = state.select(
+        "key", "tile", none["order"], none["tie"], F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("opens"),
+        F.lit(False).alias("alone"), "groups", "used", "leaves")
+    ready = heads.unionByName(measures.select("*", none["groups"], none["used"], F.lit(False).alias("leaves")))
+    return _together(ready, "key", "tile").sortWithinPartitions("key", "tile", *[F.asc_nulls_first(c) for c in place]).mapInArrow(
+        _numbered(target), f"key {kind}, tile bigint, {NUMBERS}")
+
+
+def measured(rows: DataFrame, size: Column, opens: Column, alone: Column) -> DataFrame:
+    """What `numbered` takes, of rows with key, tile, order and tie."""
+    return rows.select(
+        "key", "tile", "order", "tie", size.cast("bigint").alias("size"), F.coalesce(opens, F.lit(False)).alias("opens"),
+        F.coalesce(alone, F.lit(False)).alias("alone"))
+
+
+def with_groups(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows (key, tile, order, tie, item) with their `group`, and `split`: whether it has rows in other tiles too."""
+    place = F.row_number().over(Window.partitionBy("key", "tile").orderBy("order", "tie"))
+    group = F.element_at("numbers", F.col("place"))
+    split = (F.col("enters") & (group == F.element_at("numbers", F.lit(1)))) | (F.col("leaves") & (group == F.element_at("numbers", F.lit(-1))))
+    return rows.withColumn("place", place).join(numbers, ["key", "tile"]).select("key", "tile", "item", group.alias("group"), split.alias("split"))
+
+
+def collected(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(key, group, items) of rows like those of `with_groups`.
+
+    Rows meet by tile, and a group inside one tile is collected where it lies; only groups that span tiles move again."""
+    known = with_groups(rows, numbers)
+    items = F.collect_list("item").alias("items")
+    whole = known.filter(~F.col("split")).groupBy("key", "tile", "group").agg(items).drop("tile")
+    return whole.unionByName(known.filter("split").groupBy("key", "group").agg(items))
+
+
 def pack(rows: DataFrame, key: str, order: str, item: Column, size: Column, opens: Column, alone: Column,
          target: int, tile: int = TILE) -> DataFrame:
     """(key, group, item) of every row, groups numbered from 0 in each key's order.
@@ -162,24 +218,9 @@ def pack(rows: DataFrame, key: str, order: str, item: Column, size: Column, open
     follow `item`. Rows without a key or an order form no group and are left out."""
     source = rows.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
         F.col(key).alias("key"), F.floor(F.col(order) / tile).cast("bigint").alias("tile"), F.col(order).cast("bigint").alias("order"),
-        size.cast("bigint").alias("size"), F.coalesce(opens, F.lit(False)).alias("opens"),
-        F.coalesce(alone, F.lit(False)).alias("alone"), item.alias("item"))
-    kind = dict(source.dtypes)
-    measures = source.select("key", "tile", "order", "size", "opens", "alone", F.xxhash64("item").alias("tie"))
-    # Rows of equal order must stand alike in both passes.
-    place = ["key", "tile", "order", "tie"]
-    tables = _together(measures, "key", "tile").sortWithinPartitions(*place).mapInArrow(
-        _tables(target), f"key {kind['key']}, tile bigint, {TABLE}")
-    state = tables.repartition("key").sortWithinPartitions("key", "tile").mapInArrow(
-        _fold(target), f"key {kind['key']}, tile bigint, groups bigint, used bigint")
-    # The state of a tile is a row before its first one; it has no order and so comes first.
-    none = {c: F.lit(None).cast("bigint").alias(c) for c in ("order", "groups", "used", "tie")}
-    heads = state.select(
-        "key", "tile", none["order"], F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("opens"), F.lit(False).alias("alone"),
-        F.lit(None).cast(kind["item"]).alias("item"), "groups", "used", none["tie"])
-    ready = heads.unionByName(source.select("*", none["groups"], none["used"], F.xxhash64("item").alias("tie")))
-    return _together(ready, "key", "tile").sortWithinPartitions(*[F.asc_nulls_first(c) for c in place]).mapInArrow(
-        _numbered(target), f"key {kind['key']}, group int, item {kind['item']}").withColumnRenamed("key", key)
+        size.alias("size"), opens.alias("opens"), alone.alias("alone"), item.alias("item"), F.xxhash64(item).alias("tie"))
+    numbers = numbered(measured(source, F.col("size"), F.col("opens"), F.col("alone")), target)
+    return with_groups(source.select("key", "tile", "order", "tie", "item"), numbers).select(F.col("key").alias(key), "group", "item")
 
 
 def _together(rows: DataFrame, *columns: str) -> DataFrame:

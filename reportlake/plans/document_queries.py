@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from reportlake.functions import text
-from reportlake.operators import blocks, chunks, context, search
+from reportlake.operators import blocks, chunks, context, ordered, search
 from reportlake.operators.distribution import materialize
 from reportlake.operators.search import Filters
 from reportlake.plans import adapters
@@ -187,6 +187,11 @@ def structured_blocks(t, tile=64):
     return blocks.propagate_structure(line_blocks(adapters.structured_lines(t)), tile=tile)
 
 
+def structured_tiles(t, tile=64):
+    """The same blocks, left in their tiles for the packing."""
+    return blocks.propagate_structure(ordered.tiled(line_blocks(adapters.structured_lines(t)), "source_order", tile), tile=tile)
+
+
 @query(
     f"""with {STRUCTURED} select cast(doc_id as varchar) as document_id, 'b' || ord as block_id, block_type,
       array_to_string(hierarchy, ' | ') as hierarchy, article, clause, point, parent as parent_block_id,
@@ -231,7 +236,7 @@ grouped as (select b.doc_id, g, string_agg(trim(line), chr(10) || chr(10) order
       pages from grouped"""
 )
 def chunk_pack(t):
-    groups = chunks.pack(materialize(structured_blocks(t)), document_kinds(t))
+    groups = chunks.pack(structured_tiles(t), document_kinds(t))
     meta = chunks.group_metadata(F.col("blocks"))
     return groups.select(
         "document_id", "group", chunks.render_group(F.col("blocks")).alias("body"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportlake.operators import packing
+from reportlake.operators import blocks, chunks, ordered, packing
 
 
 def plain(rows, target):
@@ -74,3 +74,47 @@ def test_packing_behind_a_join_that_becomes_a_broadcast_at_run_time(spark):
             spark.conf.unset(name) if limit is None else spark.conf.set(name, limit)
     each = plain([(10, False, False)] * 10, 40)
     assert got == {(str(d), i): g for d in range(2_000) for i, g in enumerate(each)}
+
+
+def moved(spark, action) -> int:
+    """Bytes that an action writes for shuffles."""
+    context = spark.sparkContext
+    context.setJobGroup("moved", "")
+    try:
+        action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("moved") for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+
+
+def text_blocks(spark, documents, lines, characters):
+    text = F.substring(F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(i)), 256) for i in range(-(-characters // 64))]), 1, characters)
+    return spark.range(documents * lines).select(
+        (F.col("id") % documents).cast("string").alias("document_id"), F.concat(F.lit("b"), F.col("id")).alias("block_id"),
+        F.lit("paragraph").alias("block_type"), text.alias("text"), F.lit(1).alias("page_number"),
+        F.floor(F.col("id") / documents).cast("int").alias("source_order"), F.lit(None).cast(blocks.TABLE_TYPE).alias("table"))
+
+
+def listed(spark, documents, times=1):
+    return spark.range(documents * times).select((F.col("id") % documents).cast("string").alias("document_id"), F.lit("legal").alias("document_type"))
+
+
+@pytest.mark.parametrize("tile", [1, 3, 4096])
+def test_blocks_packed_in_their_tiles(spark, tile):
+    """Groups of four blocks of 300 characters, whatever the tiles; a document listed twice counts once."""
+    found = blocks.propagate_structure(ordered.tiled(text_blocks(spark, 5, 30, 290), "source_order", tile), tile=tile)
+    got = chunks.pack(found, listed(spark, 5, 2)).select("document_id", "group", F.transform("blocks", lambda b: b["at"]).alias("at")).collect()
+    assert len(got) == 5 * 8
+    assert {(r["document_id"], r["group"]): r["at"] for r in got} == {
+        (str(d), g): list(range(g * 4, min(g * 4 + 4, 30))) for d in range(5) for g in range(8)}
+
+
+def test_texts_move_once_from_structure_to_groups(spark):
+    """Random text of 4 MB; half of it is left when compressed. It was shuffled four times."""
+    source = text_blocks(spark, 500, 20, 400)
+    once = moved(spark, lambda: source.repartition(4, "document_id").write.format("noop").mode("overwrite").save())
+    found = blocks.propagate_structure(ordered.tiled(source, "source_order", 8), tile=8)
+    packed = chunks.pack(found, listed(spark, 500))
+    assert 0 < moved(spark, lambda: packed.write.format("noop").mode("overwrite").save()) < 2.5 * once
