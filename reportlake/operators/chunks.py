@@ -154,19 +154,18 @@ def chunk_documents(blocks: DataFrame, documents: DataFrame, config: Chunking =
         *[v.alias(k) for k, v in group_metadata(F.col("blocks")).items()],
     )
     segments = materialize(described.withColumn("segments", split_text(F.col("body"), config)).drop("body"), even=False)
-    counted = ordered.running_sum(segments, ["document_id"], "group", {"_upto": F.size("segments")})
-    indexed = counted.select(
-        *[c for c in segments.columns if c != "segments"],
-        (F.col("_upto") - F.size("segments")).alias("_before"),
+    # Numbers and documents meet without the texts, which move once.
+    sizes = segments.select("document_id", "group", F.size("segments").alias("_size"))
+    counted = ordered.running_sum(sizes, ["document_id"], "group", {"_upto": F.col("_size")}).select(
+        "document_id", "group", (F.col("_upto") - F.col("_size")).alias("_before"))
+    placed = counted.join(documents, "document_id")
+    indexed = segments.join(placed, ["document_id", "group"]).select(
+        *[c for c in segments.columns if c != "segments"], *[c for c in placed.columns if c not in ("document_id", "group")],
         F.posexplode("segments").alias("segment", "content"),
     ).withColumn("chunk_index", (F.col("_before") + F.col("segment")).cast("int")).drop("_before")
     name = lambda index: F.format_string("%s-chunk-%05d", F.col("document_id"), index)
     parent = F.when(F.col("segment") > 0, name(F.col("chunk_index") - F.col("segment")))
-    return (
-        indexed.withColumns({"chunk_id": name(F.col("chunk_index")), "parent_chunk_id": parent})
-        .drop("group", "segment")
-        .join(documents, "document_id")
-    )
+    return indexed.withColumns({"chunk_id": name(F.col("chunk_index")), "parent_chunk_id": parent}).drop("group", "segment")
 
 
 def chunk_issues(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Estimated bytes of a part that `spread` makes; texts take a few times their estimate.
 SHARE_BYTES = 8 * 1024 * 1024
 
@@ -64,10 +66,23 @@ def working_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """An action in here removes its shuffle files when it ends; nothing may read them again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, even: bool = True) -> DataFrame:
     """Write a reused intermediate result as Parquet and read it back; this cuts lineage and
     survives the loss of executors. With `even`, the rows of a small input are spread first, or
-    one file would be written and every later read would be one task."""
+    one file would be written and every later read would be one task. What was shuffled for it is removed
+    from the disks of the executors, where it would stay until the driver collects its garbage."""
     path = f"{working_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    (spread(df) if even else df).write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        (spread(df) if even else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

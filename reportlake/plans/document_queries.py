@@ -290,8 +290,7 @@ def chunk_split(t):
       lpad(cast(i - n as varchar), 5, '0') end as parent_chunk_id from numbered"""
 )
 def chunk_documents(t):
-    made = chunks.chunk_documents(
-        materialize(structured_blocks(t)), document_kinds(t), Chunking())
+    made = chunks.chunk_documents(structured_tiles(t), document_kinds(t), Chunking())
     return made.select("document_id", "chunk_id", "chunk_index", "content", "parent_chunk_id")
 
 

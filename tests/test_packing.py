@@ -1,10 +1,12 @@
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportlake.operators import blocks, chunks, ordered, packing
+from reportlake.operators import blocks, chunks, distribution, ordered, packing
 
 
 def plain(rows, target):
@@ -118,3 +120,16 @@ def test_texts_move_once_from_structure_to_groups(spark):
     found = blocks.propagate_structure(ordered.tiled(source, "source_order", 8), tile=8)
     packed = chunks.pack(found, listed(spark, 500))
     assert 0 < moved(spark, lambda: packed.write.format("noop").mode("overwrite").save()) < 2.5 * once
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f.name for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    old = files()
+    table = distribution.materialize(spark.range(1000).repartition(4, "id"), even=False)
+    for _ in range(50):
+        left = files() - old
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 1000
