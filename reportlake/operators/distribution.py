@@ -84,5 +84,5 @@ def materialize(df: DataFrame, even: bool = True) -> DataFrame:
     from the disks of the executors, where it would stay until the driver collects its garbage."""
     path = f"{working_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
-        (spread(df) if even else df).write.parquet(path)
+        (spread(df) if even else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
